@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, _col, export_spaces, html_escape, nullif_blank, replace_all, trim_u
+from .text import WS, _col, export_spaces, html_escape, let, nullif_blank, replace_all, trim_u
 
 # Image placeholder words, markup patterns, attribute priority.
 PLACEHOLDER = "[图片]"
@@ -20,11 +20,6 @@ TEXT_BLOCK_GAP = "\n\n\n"
 HTML_UNESCAPES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
-def let(value: Column, use) -> Column:
-    """`use(value)` with the value computed once per row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def image_placeholder(url: Column | str) -> Column:
     u = trim_u(url)
     return F.when(u == "", F.lit(PLACEHOLDER)).otherwise(F.concat(F.lit(PLACEHOLDER + " "), u))

@@ -11,7 +11,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"\p{IsWhite_Space}"
+# The Unicode White_Space characters, as a set and as the inside of a regex class.
+WS_CHARS = "\t\n\x0b\x0c\r \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+WS_INLINE = r" \t\x0B\f\r\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+WS = rf"[{WS_INLINE}\n]"
 
 # Punctuation between a label and its text, and wording that sites put around fields.
 LABEL_MARKS = ("：", ":")
@@ -31,6 +34,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def replace_all(c: Column, pairs) -> Column:
     """Literal replacements, applied left to right."""
     return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), pairs, c)
@@ -38,11 +46,11 @@ def replace_all(c: Column, pairs) -> Column:
 
 def trim_u(c: Column | str) -> Column:
     """Trim Unicode white space on both ends."""
-    return F.regexp_replace(_col(c), rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def is_blank(c: Column | str) -> Column:
-    return ~F.coalesce(_col(c), F.lit("")).rlike(rf"[^{WS}]")
+    return trim_u(F.coalesce(_col(c), F.lit(""))) == ""
 
 
 def nullif_blank(c: Column | str) -> Column:
@@ -68,9 +76,9 @@ def fields(c: Column | str) -> Column:
 def clean_text(c: Column | str) -> Column:
     """Collapse white space inside each line, trim lines, drop blank lines and carriage returns."""
     x = F.replace(_col(c), F.lit("\r"), F.lit(""))
-    x = F.regexp_replace(x, rf"[{WS}&&[^\n]]+", " ")
-    x = F.regexp_replace(x, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(x, r"^[ \n]+|[ \n]+\z", "")
+    x = F.regexp_replace(x, rf"[{WS_INLINE}]{{2,}}|[{WS_INLINE.lstrip()}]", " ")
+    x = F.regexp_replace(x, r" \n[ \n]*|\n[ \n]+", "\n")
+    return F.btrim(x, F.lit(" \n"))
 
 
 def clean_lines(c: Column | str) -> Column:
@@ -85,7 +93,7 @@ def compact_whitespace(c: Column | str) -> Column:
 
 def norm(c: Column | str) -> Column:
     """Search key: lower case, letters, numbers and Han characters only."""
-    return F.regexp_replace(F.lower(_col(c)), r"[^\p{L}\p{N}\p{IsHan}]", "")
+    return F.regexp_replace(F.lower(_col(c)), r"[^a-z0-9\p{L}\p{N}\p{IsHan}]+", "")
 
 
 def norm_index(c: Column | str, char_map: Mapping[str, str] | None = None) -> Column:
@@ -289,11 +297,13 @@ def strip_leading_title(content: Column | str, title: Column | str) -> Column:
 def version_compare(a: Column | str, b: Column | str) -> Column:
     """-1, 0 or 1 by numeric parts; parts that are not numbers count as zero."""
     def parts(c):
-        raw = F.split(F.coalesce(_col(c), F.lit("")), r"[.+-]")
-        return F.transform(raw, lambda p: F.coalesce(
-            F.regexp_extract(p, r"^\s*(\d+)", 1).try_cast("bigint"), F.lit(0).cast("bigint")))
-    pa, pb = parts(a), parts(b)
-    width = F.greatest(F.size(pa), F.size(pb))
-    pad = lambda p: F.concat(p, F.array_repeat(F.lit(0).cast("bigint"), width - F.size(p)))
-    x, y = pad(pa), pad(pb)
-    return F.when(x > y, F.lit(1)).when(x < y, F.lit(-1)).otherwise(F.lit(0))
+        digits = F.regexp_replace(F.regexp_replace(F.coalesce(_col(c), F.lit("")), rf"(^|[.+-]){WS}+", "$1"),
+                                  r"[^0-9.+-][^.+-]*", "")
+        numbers = F.split(digits, r"[.+-]").try_cast("array<bigint>")
+        return F.transform(numbers, lambda n: F.coalesce(n, F.lit(0).cast("bigint")))
+    pad = lambda p, n: F.concat(p, F.array_repeat(F.lit(0).cast("bigint"), n - F.size(p)))
+    both = F.struct(parts(a).alias("a"), parts(b).alias("b"))
+    padded = lambda v: let(F.greatest(F.size(v["a"]), F.size(v["b"])), lambda n: F.struct(
+        pad(v["a"], n).alias("x"), pad(v["b"], n).alias("y")))
+    return let(both, lambda v: let(padded(v), lambda w: F.when(w["x"] > w["y"], F.lit(1))
+                                   .when(w["x"] < w["y"], F.lit(-1)).otherwise(F.lit(0))))

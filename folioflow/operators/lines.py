@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import _col, clean_lines, is_blank, replace_all, trim_u
+from ..functions.text import WS_INLINE, _col, clean_lines, is_blank, replace_all, trim_u
 
 # Markers of advert lines, one named rule set each.
 AD_MARKERS = {
@@ -112,8 +112,8 @@ def is_reusable(content: Column | str) -> Column:
     """A stored body is reusable when it has visible text and no image-placeholder line."""
     x = replace_all(F.coalesce(_col(content), F.lit("")), [("\r\n", "\n"), *[(i, "") for i in INVISIBLE_BODY]])
     words = "|".join(w.replace("?", r"\?") for w in IMAGE_WORDS)
-    ws = r"[\p{IsWhite_Space}&&[^\n]]*"
-    placeholder = x.rlike(rf"(?:^|\n){ws}\[(?:{words})\](?:{ws}(?:\n|\z)| [^\n]*[^\n\p{{IsWhite_Space}}])")
+    ws = rf"[{WS_INLINE}]*"
+    placeholder = x.rlike(rf"(?:^|\n){ws}\[(?:{words})\](?:{ws}(?:\n|\z)| [^\n]*[^\n{WS_INLINE}])")
     return ~placeholder & ~is_blank(x)
 
 

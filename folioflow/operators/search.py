@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores
-from ..functions.text import compact_items, first_non_blank, norm, norm_index, nullif_blank, trim_u
+from ..functions.text import first_non_blank, let, norm, norm_index, nullif_blank, trim_u
 
 DEFAULT_PER_SOURCE = 8
 HIT_FIELDS = ["title", "author", "description", "url", "latest_chapter", "cover_url"]
@@ -228,22 +228,31 @@ def _grams(text: Column, n: int) -> Column:
 
 def match_keywords(items: DataFrame, keywords: DataFrame, item_key: list[str],
                    char_map: Mapping[str, str] | None = None, max_gram: int = 8,
-                   inline_keywords: int = 4_096) -> DataFrame:
+                   inline_keywords: int = 4_096, scan_keywords: int = 256) -> DataFrame:
     """All (keyword, item) pairs whose index score is positive.
 
-    A pair can only match if one gram of the keyword occurs in the item, so each keyword is looked
-    up by a single gram (the one fewest other keywords share) with an equi-join and then verified.
-    Keywords shorter than `max_gram` use their whole length.  Up to `inline_keywords` keywords the
-    wanted grams are a literal set, so an item is reduced to the grams it shares with them where it
-    is read and its text never moves; beyond, grams and ids are shuffled and the texts are joined
-    back by key.
+    Up to `scan_keywords` keywords each text is scanned for all of them where it is read.  Beyond
+    that, a pair can only match if one gram of the keyword occurs in the item, so each keyword is
+    looked up by a single gram (the one fewest other keywords share) and then verified; keywords
+    shorter than `max_gram` use their whole length.  Up to `inline_keywords` keywords the wanted
+    grams are a literal set, so an item is reduced to the grams it shares with them and its text
+    never moves; with more, grams and ids are shuffled and the texts are joined back by key.
     """
     fields = ("title", "author", "description", "latest_chapter")
     k = (keywords.select("keyword").distinct()
          .withColumn("_k", norm_index("keyword", char_map)).filter(F.col("_k") != "")
          .withColumn("_len", F.least(F.char_length("_k"), F.lit(max_gram))))
-    lengths = [r[0] for r in k.select("_len").distinct().collect()]  # at most max_gram values
     n_keywords = k.count()
+    texts = items.withColumns({f"_n_{c}": norm_index(F.coalesce(F.col(c), F.lit("")), char_map) for c in fields})
+    # fields are joined by a character that `norm` never keeps, so no match spans two fields
+    whole = F.concat_ws("\n", *[f"_n_{c}" for c in fields])
+    if n_keywords <= scan_keywords:
+        wanted = [r[0] for r in k.select("_k").distinct().collect()]  # at most scan_keywords
+        hit = let(whole, lambda w: F.filter(F.lit(wanted), lambda x: F.contains(w, x))) if wanted \
+            else F.array().cast("array<string>")
+        found = texts.withColumn("_k", F.explode(hit)).join(k.select("keyword", "_k"), "_k")
+        return _scored_matches(found, fields)
+    lengths = [r[0] for r in k.select("_len").distinct().collect()]  # at most max_gram values
     cut = F.lit(None).cast("array<string>")
     for n in lengths:
         cut = F.when(F.col("_len") == n, _grams(F.col("_k"), n)).otherwise(cut)
@@ -251,19 +260,19 @@ def match_keywords(items: DataFrame, keywords: DataFrame, item_key: list[str],
     shared = k_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_f"))
     anchors = (k_grams.join(shared, "_gram").groupBy("keyword", "_k")
                .agg(F.min(F.struct("_f", "_gram"))["_gram"].alias("_gram")))
-    texts = items.withColumns({f"_n_{c}": norm_index(F.coalesce(F.col(c), F.lit("")), char_map) for c in fields})
-    # fields are joined by a character that `norm` never keeps, so no gram spans two fields
-    whole = F.concat_ws("\n", *[f"_n_{c}" for c in fields])
-    all_grams = F.array_distinct(F.flatten(F.array(*[_grams(whole, n) for n in lengths]))) if lengths \
-        else F.array().cast("array<string>")
+    all_grams = F.array_distinct(F.flatten(F.array(*[_grams(whole, n) for n in lengths])))
     if n_keywords <= inline_keywords:
         wanted = [r[0] for r in anchors.select("_gram").distinct().collect()]  # at most inline_keywords
-        shared_grams = F.array_intersect(all_grams, F.lit(wanted) if wanted else F.array().cast("array<string>"))
-        found = texts.withColumn("_gram", F.explode(shared_grams)).join(anchors, "_gram").drop("_gram")
+        found = (texts.withColumn("_gram", F.explode(F.array_intersect(all_grams, F.lit(wanted))))
+                 .join(anchors, "_gram").drop("_gram"))
     else:
         pairs = (texts.select(*item_key, F.explode(all_grams).alias("_gram"))
                  .join(anchors, "_gram").select(*item_key, "keyword", "_k").distinct())
         found = pairs.join(texts, item_key)
+    return _scored_matches(found, fields)
+
+
+def _scored_matches(found: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     score = scores.index_score(F.col("_k"), *[F.col(f"_n_{c}") for c in fields],
                                F.coalesce("cover_url", F.lit("")), F.coalesce("description", F.lit("")))
     return (found.withColumn("score", score).filter(F.col("score") > 0)

@@ -73,7 +73,7 @@ def running(df: DataFrame, keys: list[str], order: str, block: Column,
             .drop(BLOCK, *[f"_v_{n}" for n in outs], *[f"_c_{n}" for n in outs]))
 
 
-def with_lookback(df: DataFrame, at: Column, block: float, lookback: float) -> DataFrame:
+def with_lookback(df: DataFrame, at: Column, block: int, lookback: int) -> DataFrame:
     """Give each row its block along the numeric `at`, and repeat rows within `lookback` of the
     block end as context of the next block.  Windows partitioned by the block then see everything
     they need; keep only rows with `_context` false afterwards."""
@@ -94,3 +94,17 @@ def join_text(df: DataFrame, keys: list[str], order: str, text: str, sep: str, p
     packed = F.array_sort(F.collect_list(F.struct("_o", "_t")))
     return (rows.groupBy(*keys, "part").agg(packed.alias("_l"))
             .select(*keys, "part", F.array_join(F.transform("_l", lambda s: s["_t"]), sep).alias(out)))
+
+
+def with_previous(df: DataFrame, keys: list[str], order: str, block: Column, **outs: str) -> DataFrame:
+    """Values of the row before along `order`, as `name=column`; NULL on the first row of a key."""
+    rows = df.withColumn(BLOCK, block)
+    packed = F.struct(*[F.col(c).alias(n) for n, c in outs.items()])
+    ends = rows.groupBy(*keys, BLOCK).agg(F.max_by(packed, F.col(order)).alias("_e"))
+    prior = Window.partitionBy(*keys).orderBy(BLOCK)
+    carry = ends.select(*keys, BLOCK, F.lag("_e").over(prior).alias("_e"))
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
+    return (rows.join(carry, [*keys, BLOCK])
+            .withColumn("_p", F.coalesce(F.lag(packed).over(inside), F.col("_e")))
+            .withColumns({n: F.col(f"_p.{n}") for n in outs})
+            .drop(BLOCK, "_e", "_p"))

@@ -85,7 +85,7 @@ def html_escape(spark, d):
 @query("export_spaces", "SELECT page_id, md5(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&#160;', ' '), '&#xa0;', ' '), "
        "chr(160), ' '), chr(8239), ' ')) AS h FROM (SELECT page_id, replace(html, '&amp;', '&nbsp;' || chr(8239)) AS x FROM pages)")
 def export_spaces(spark, d):
-    x = F.replace("html", F.lit("&amp;"), F.lit("&nbsp; "))
+    x = F.replace("html", F.lit("&amp;"), F.lit("&nbsp;\u202f"))
     return table(spark, d, "pages").select("page_id", F.md5(T.export_spaces(x)).alias("h"))
 
 
@@ -94,7 +94,7 @@ def export_spaces(spark, d):
        "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS b, 'last' AS c FROM orders)")
 def first_non_blank(spark, d):
     o = table(spark, d, "orders").selectExpr(
-        "o_orderkey", r"CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE o_orderpriority END AS a",
+        "o_orderkey", "CASE WHEN o_orderkey % 2 = 0 THEN '\u00a0' ELSE o_orderpriority END AS a",
         "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS b", "'last' AS c")
     return o.select("o_orderkey", T.first_non_blank("a", "b", "c").alias("v"))
 

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import UNRANKED
+from ..plans.sizing import spread_small
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 # ---- search hits: one per distinct (part, supplier) pair ----------------------------------------
