@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,33 +42,36 @@ def https_if_protocol_relative(c: Column | str) -> Column:
     return F.when(F.startswith(x, F.lit("//")), F.concat(F.lit("https:"), x)).otherwise(x)
 
 
-@F.pandas_udf("string")
-def _join_relative(base: pd.Series, raw: pd.Series) -> pd.Series:
-    return pd.Series([urljoin(b.strip(), r) if b and r else r for b, r in zip(base, raw)])
+def _without_dots(path: Column) -> Column:
+    """Path with `.` and `..` segments resolved."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: (
+        F.when(p == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc))
+        .when(p == ".", acc).otherwise(F.concat(acc, F.array(p)))))
+    folder = last.isin(".", "..") & (F.element_at(walked, -1) != "")
+    return F.array_join(F.when(folder, F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/")
 
 
 def absolute_url(base: Column | str, raw: Column | str) -> Column:
-    """Absolute form of a link.  Root-relative links stay in JVM code; only dotted or
-    document-relative ones go through the Arrow helper."""
-    b, r = _col(base), trim_u(raw)
-    origin = F.regexp_extract(trim_u(b), r"^(https?://[^/?#]+)", 1)
-    plain_root = r.rlike(r"^/(?!/)") & ~r.rlike(r"(^|/)\.{1,2}(/|\z|[?#])") & (origin != "")
-    return (F.when(r == "", F.lit(""))
-            .when(r.rlike(r"^https?://"), r)
-            .when(F.startswith(r, F.lit("//")), F.concat(F.lit("https:"), r))
-            .when(plain_root, F.concat(origin, r))
-            .otherwise(_join_relative(b, r)))
-
-
-def absolute_root_url(base: Column | str, raw: Column | str) -> Column:
-    """Absolute form for tables whose links are absolute, protocol-relative or root-relative."""
-    b, r = _col(base), trim_u(raw)
-    origin = F.regexp_extract(trim_u(b), r"^(https?://[^/?#]+)", 1)
+    """Absolute form of a link found on the page `base`."""
+    b, r = trim_u(base), trim_u(raw)
+    origin = F.regexp_extract(b, r"^(https?://[^/?#]+)", 1)
+    page = F.regexp_extract(b, r"^[^#]*", 0)
+    base_path = F.regexp_extract(b, r"^https?://[^/?#]+([^?#]*)", 1)
+    folder = F.regexp_replace(F.when(base_path == "", F.lit("/")).otherwise(base_path), r"[^/]*\z", "")
+    path, rest = F.regexp_extract(r, r"^[^?#]*", 0), F.regexp_extract(r, r"[?#].*\z", 0)
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path))
+    # most links have no dot segments and skip the walk over the segments
+    clean = F.when(whole.rlike(r"(^|/)\.{1,2}(/|\z)"), _without_dots(whole)).otherwise(whole)
+    joined_plain = F.concat(F.regexp_replace(b, r"/+\z", ""), F.when(F.startswith(r, F.lit("/")), F.lit("")).otherwise(F.lit("/")), r)
     return (F.when(r == "", F.lit(""))
-            .when(r.rlike(r"^https?://"), r)
+            .when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), r)
             .when(F.startswith(r, F.lit("//")), F.concat(F.lit("https:"), r))
-            .when(F.startswith(r, F.lit("/")), F.concat(origin, r))
-            .otherwise(F.concat(F.regexp_replace(b, r"/+\z", ""), F.lit("/"), r)))
+            .when(origin == "", joined_plain)
+            .when(F.startswith(r, F.lit("#")), F.concat(page, r))
+            .when(F.startswith(r, F.lit("?")), F.concat(origin, base_path, r))
+            .otherwise(F.concat(origin, clean, rest)))
 
 
 def usable_metadata(c: Column | str) -> Column:

@@ -40,8 +40,9 @@ def fold_books(events: DataFrame) -> DataFrame:
     return g.select(
         *BOOK, "first_seq", F.when(F.col("_t") == "", F.col("book_id")).otherwise(F.col("_t")).alias("title"),
         "author", "cover_url", "description", "source_url", "latest_chapter", "parent_id", "implicit",
-        F.col("_p.id").alias("last_read_chapter_id"), F.col("_p.index").alias("last_read_chapter_index"),
-        F.col("_p.title").alias("last_read_chapter_title"), F.col("_p.at").alias("last_read_at"))
+        F.coalesce("_p.id", F.lit("")).alias("last_read_chapter_id"),
+        F.coalesce("_p.index", F.lit(0)).alias("last_read_chapter_index"),
+        F.coalesce("_p.title", F.lit("")).alias("last_read_chapter_title"), F.col("_p.at").alias("last_read_at"))
 
 
 def merge_fold(stored: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def resolve_urls(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
                 if any_rules else F.lit(None))
     hit = F.coalesce(*[first_match(F.col(c)) for c in ("_host_rules", "_bare_rules")],
                      *([first_match(anywhere)] if any_rules else []))
-    at = lambda group: F.regexp_extract(F.col("_path"), F.col("_r.path_regex"), F.col(f"_r.{group}"))
+    at = lambda group: F.expr(f"regexp_extract(_path, _r.path_regex, _r.{group})")
     resolved = df.withColumn("_r", hit).select(
         url, F.col("_r.site").alias("site"), F.when(F.col("_r").isNotNull(), at("book_group")).alias("book_id"),
         F.when(F.col("_r").isNotNull(), F.when(F.col("_r.chapter_group") > 0, at("chapter_group"))

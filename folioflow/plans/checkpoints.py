@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """New folder for intermediate tables beside the cluster's checkpoints; a temporary one only
+    where no checkpoint folder is configured."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return f"{configured.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="run-tables-")

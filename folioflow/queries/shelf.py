@@ -33,15 +33,15 @@ _EVENTS = """ev AS (SELECT o_orderkey AS seq, o_orderdate AS ts, o_orderstatus =
     max(seq) FILTER (WHERE NOT is_add) AS rq FROM ev GROUP BY book_id)"""
 
 
-@query("shelf_fold", f"""WITH {_EVENTS} SELECT book_id, title, author, cover_url, description, latest_chapter, parent_id, implicit, CAST(rq AS VARCHAR) AS last_read_chapter_id,
-  greatest(rq % 40 - 5, 0) AS last_read_chapter_index FROM books""")
+@query("shelf_fold", f"""WITH {_EVENTS} SELECT book_id, title, author, cover_url, description, latest_chapter, parent_id, implicit, coalesce(CAST(rq AS VARCHAR), '') AS last_read_chapter_id,
+  coalesce(greatest(rq % 40 - 5, 0), 0) AS last_read_chapter_index FROM books""")
 def shelf_fold(spark, d):
     return S.fold_books(_events(spark, d)).select(
         "book_id", "title", "author", "cover_url", "description", "latest_chapter", "parent_id", "implicit",
         "last_read_chapter_id", "last_read_chapter_index")
 
 
-@query("shelf_incremental_fold", f"""WITH {_EVENTS} SELECT book_id, title, author, cover_url, latest_chapter, parent_id, implicit, CAST(rq AS VARCHAR) AS last_read_chapter_id FROM books""")
+@query("shelf_incremental_fold", f"""WITH {_EVENTS} SELECT book_id, title, author, cover_url, latest_chapter, parent_id, implicit, coalesce(CAST(rq AS VARCHAR), '') AS last_read_chapter_id FROM books""")
 def shelf_incremental_fold(spark, d):
     """The fold of the first half merged with the fold of the rest equals the fold of everything."""
     e = _events(spark, d)

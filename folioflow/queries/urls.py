@@ -33,8 +33,7 @@ def url_scheme_fix(spark, d):
 def absolute_urls(spark, d):
     p = table(spark, d, "pages").select("page_id", "url", F.explode(
         F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
-    # the links of these pages are absolute or root-relative, so no row needs the Arrow helper
-    return (p.select("page_id", "href", U.absolute_root_url("url", "href").alias("link"))
+    return (p.select("page_id", "href", U.absolute_url("url", "href").alias("link"))
             .groupBy("page_id", "href", "link").agg(F.count(F.lit(1)).alias("n")))
 
 
