@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-GROUPS = ["search", "text", "library", "urls", "progress", "shelf", "pages", "publish"]
+GROUPS = ["search", "text", "library", "urls", "progress", "shelf", "pages", "publish", "streams"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

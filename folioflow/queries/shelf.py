@@ -10,8 +10,12 @@ from .views import SHELF, shelf_items, table
 
 
 def _events(spark, d):
+    return as_shelf_events(table(spark, d, "orders"))
+
+
+def as_shelf_events(orders):
     """Orders as shelf events of customers."""
-    return table(spark, d, "orders").selectExpr(
+    return orders.selectExpr(
         "o_orderkey AS seq", "o_orderdate AS ts", "CASE WHEN o_orderstatus = 'F' THEN 'add' ELSE 'progress' END AS op",
         "' shop ' AS site", "CAST(o_custkey AS STRING) AS book_id",
         "CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey END AS parent_id",
