@@ -269,27 +269,31 @@ def search_cards(nodes: Column | str, page_url: Column | str, id_pattern: str, a
     path = lambda href: F.regexp_extract(href, r"^https?://[^/?#]*([^?#]*)", 1)
 
     def card(box, h3):
-        tree = subtree(all_nodes, box)
-        book = lambda a: F.regexp_extract(path(absolute_url(_col(page_url), attr(a, "href"))), id_pattern, 1)
-        link = first(F.filter(select(tree, "a"), lambda a: F.exists(h3, lambda h: inside(a, h)) & (book(a) != "")))
-        notes = F.transform(select(tree, "dd", "book_other"), lambda d: F.struct(
-            clean_text(node_text(all_nodes, d)).alias("t"),
-            clean_text(node_text(all_nodes, first(select(subtree(all_nodes, d), "a")))).alias("a")))
-        note = lambda label: first(F.filter(notes, lambda n: F.startswith(n["t"], F.lit(label))))
-        after = lambda n, label: trim_u(F.substr(n["t"], F.lit(len(label) + 1)))
-
-        def row(a):
-            latest = let(note(latest_label), lambda n: F.when(n["a"] != "", n["a"]).otherwise(after(n, latest_label)))
-            cover = let(first(select(tree, "img")), lambda i: absolute_url(_col(page_url), attr(i, "src")))
-            return F.struct(
-                book(a).alias("book_id"), strip_category(clean_text(node_text(all_nodes, a))).alias("title"),
-                F.coalesce(let(note(author_label), lambda n: after(n, author_label)), F.lit("")).alias("author"),
-                absolute_url(_col(page_url), attr(a, "href")).alias("url"),
-                F.coalesce(latest, F.lit("")).alias("latest_chapter"), F.coalesce(cover, F.lit("")).alias("cover_url"))
-
-        return let(link, lambda a: F.when(a.isNotNull(), row(a)))
-
-    boxes = select(all_nodes, "dl", where=lambda n: F.exists(select(all_nodes, "dt"), lambda t: inside(t, n)))
+        page = _col(page_url)
+
+        def row(tree):
+            named = F.transform(F.filter(select(tree, "a"), lambda a: F.exists(h3, lambda h: inside(a, h))), lambda a: let(
+                absolute_url(page, attr(a, "href")), lambda u: F.struct(
+                    u.alias("url"), F.regexp_extract(path(u), id_pattern, 1).alias("book_id"), a.alias("a"))))
+            notes = F.transform(select(tree, "dd", "book_other"), lambda d: F.struct(
+                clean_text(node_text(all_nodes, d)).alias("t"),
+                clean_text(node_text(all_nodes, first(select(subtree(all_nodes, d), "a")))).alias("a")))
+            cover = let(first(select(tree, "img")), lambda i: absolute_url(page, attr(i, "src")))
+            return let(F.struct(first(F.filter(named, lambda n: n["book_id"] != "")).alias("link"), notes.alias("notes")), lambda c: F.when(
+                c["link"].isNotNull(), F.struct(
+                    c["link"]["book_id"].alias("book_id"), strip_category(clean_text(node_text(all_nodes, c["link"]["a"]))).alias("title"),
+                    F.coalesce(note(c["notes"], author_label, False), F.lit("")).alias("author"), c["link"]["url"].alias("url"),
+                    F.coalesce(note(c["notes"], latest_label, True), F.lit("")).alias("latest_chapter"),
+                    F.coalesce(cover, F.lit("")).alias("cover_url"))))
+
+        return let(subtree(all_nodes, box), row)
+
+    def note(notes, label, prefer_link):
+        found = first(F.filter(notes, lambda n: F.startswith(n["t"], F.lit(label))))
+        plain = lambda n: trim_u(F.substr(n["t"], F.lit(len(label) + 1)))
+        return let(found, lambda n: F.when(n["a"] != "", n["a"]).otherwise(plain(n)) if prefer_link else plain(n))
+
+    boxes = let(select(all_nodes, "dt"), lambda dts: select(all_nodes, "dl", where=lambda n: F.exists(dts, lambda t: inside(t, n))))
     return F.filter(let(heads, lambda h3: F.transform(boxes, lambda b: card(b, h3))), lambda c: c.isNotNull())
 
 

@@ -30,28 +30,28 @@ def similarity(a: Column, b: Column) -> Column:
             .otherwise(F.lit(1.0) - distance / long_))
 
 
-def relevance(keyword: Column, title: Column, author: Column) -> Column:
+def relevance(keyword: Column, title: Column, author: Column, title_similarity: Column, author_similarity: Column) -> Column:
     """How closely a hit matches a keyword, apart from its source; all arguments normalised."""
     coverage = F.char_length(keyword) / F.char_length(title)
     contained = F.when((title != "") & F.contains(title, keyword),
                        F.lit(RELEVANCE_CONTAINED) + coverage * RELEVANCE_SPAN).otherwise(F.lit(0.0))
-    by_author = F.when(author != "", similarity(keyword, author) * RELEVANCE_AUTHOR).otherwise(F.lit(0.0))
+    by_author = F.when(author != "", author_similarity * RELEVANCE_AUTHOR).otherwise(F.lit(0.0))
     return F.when(keyword == "", F.lit(0.0)).otherwise(
-        F.greatest(similarity(keyword, title), contained, by_author))
+        F.greatest(title_similarity, contained, by_author))
 
 
 def source_bonus(rank: Column) -> Column:
     return F.when(rank >= UNRANKED, F.lit(0.0)).otherwise(F.lit(SOURCE_BONUS) - rank * SOURCE_BONUS_STEP)
 
 
-def hit_score(keyword: Column, title: Column, author: Column, description: Column,
-              cover: Column, latest: Column, rank: Column) -> Column:
-    """Preference score of one hit; `keyword`, `title` and `author` normalised, the rest raw."""
+def hit_score(keyword: Column, author: Column, title_similarity: Column, author_similarity: Column,
+              description: Column, cover: Column, latest: Column, rank: Column) -> Column:
+    """Preference score of one hit; `keyword` and `author` normalised, the rest raw."""
     flag = lambda c, w: F.when(c != "", F.lit(w)).otherwise(F.lit(0.0))
-    by_author = F.when(author != "", similarity(keyword, author) * SCORE_AUTHOR).otherwise(F.lit(0.0))
+    by_author = F.when(author != "", author_similarity * SCORE_AUTHOR).otherwise(F.lit(0.0))
     named = F.when((author != "") & F.contains(keyword, author),
                    F.lit(SCORE_AUTHOR_IN_KEYWORD)).otherwise(F.lit(0.0))
-    return (similarity(keyword, title) * SCORE_TITLE + by_author + named
+    return (title_similarity * SCORE_TITLE + by_author + named
             + flag(description, SCORE_DESCRIPTION) + flag(cover, SCORE_COVER)
             + flag(latest, SCORE_LATEST) + source_bonus(rank))
 

@@ -158,26 +158,33 @@ def first_source(primary: DataFrame, other: DataFrame, position: str = "pos") ->
 
 # ---- lookup -----------------------------------------------------------------------------------
 
+def _keys(*kinds: tuple[str, Column, Column]) -> Column:
+    """Array of lookup keys (kind, a, b) whose `a` is filled."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    made = [F.struct(F.lit(kind).alias("kind"), text(x).alias("a"), text(y).alias("b")) for kind, x, y in kinds]
+    return F.filter(F.array(*made), lambda k: k["a"] != "")
+
+
 def lookup_stored(requests: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored body for a requested chapter: same id first, else the first stored chapter in order
-    that shares url, id or title.  One equi-join per key instead of a join on alternatives."""
-    s = stored.filter(~is_blank("content")).select(
-        *BOOK, F.col("chapter_id").alias("_id"), F.col("url").alias("_url"), F.col("title").alias("_title"),
-        F.col("order_index").alias("_o"))
-    tries = []
-    for tier, left, right in ((0, "chapter_id", "_id"), (1, "url", "_url"), (1, "title", "_title")):
-        # several stored chapters may share a url or title: reduce to the first before joining
-        pick = F.max if tier == 0 else F.min
-        side = s.filter(F.coalesce(right, F.lit("")) != "").groupBy(*BOOK, right).agg(
-            pick(F.struct("_o", "_id" if right != "_id" else F.lit("").alias("_x"))).alias("_hit"))
-        hit = F.struct(F.lit(tier).alias("tier"), F.col("_hit._o").alias("o"),
-                       (F.col("_id") if right == "_id" else F.col("_hit._id")).alias("id"))
-        tries.append(requests.filter(F.coalesce(left, F.lit("")) != "")
-                     .join(side.withColumnRenamed(right, left) if right != "_id"
-                           else side.withColumn("chapter_id", F.col("_id")), [*BOOK, left])
-                     .select("request_id", hit.alias("_m")))
-    best = (tries[0].unionByName(tries[1]).unionByName(tries[2])
-            .groupBy("request_id").agg(F.min("_m").alias("_m")))
+    """Stored body for a requested chapter: the last stored one of its id when that has content,
+    else the first with content, in order, that shares url, id or title.
+
+    Both sides list their keys as rows, so the alternatives are one equi-join; many stored chapters
+    with one key are reduced before the join.
+    """
+    none = F.lit("")
+    keys = _keys(("id", F.col("chapter_id"), none), ("url", F.col("url"), none), ("title", F.col("title"), none))
+    o, filled = F.col("_o"), F.col("_filled")
+    side = (stored.select(*BOOK, F.col("order_index").alias("_o"), (~is_blank("content")).alias("_filled"),
+                          F.col("chapter_id").alias("_id"), F.explode(keys).alias("_k"))
+            .filter(filled | (F.col("_k.kind") == "id"))
+            .groupBy(*BOOK, "_k").agg(F.max(F.struct("_o", "_filled", "_id")).alias("_last"),
+                                      F.min(F.when(filled, F.struct("_o", "_id"))).alias("_first")))
+    direct = (F.col("_k.kind") == "id") & F.col("_last._filled")
+    match = F.when(direct, F.struct(F.lit(0).alias("tier"), F.col("_last._o").alias("o"), F.col("_last._id").alias("id"))).when(
+        F.col("_first").isNotNull(), F.struct(F.lit(1).alias("tier"), F.col("_first._o").alias("o"), F.col("_first._id").alias("id")))
+    best = (requests.select("request_id", *BOOK, F.explode(keys).alias("_k")).join(side, [*BOOK, "_k"])
+            .groupBy("request_id").agg(F.min(match).alias("_m")))
     return (requests.join(best, "request_id", "left")
             .withColumn("stored_id", F.col("_m.id")).withColumn("stored_order", F.col("_m.o")).drop("_m"))
 
@@ -185,17 +192,15 @@ def lookup_stored(requests: DataFrame, stored: DataFrame) -> DataFrame:
 def same_chapter(requests: DataFrame, chapters: DataFrame) -> DataFrame:
     """Position of the first chapter identical to a requested one: by id, by url, or by title and
     order together; the clamped fallback index when none matches."""
-    pos = "position"
-    c = chapters.select(*BOOK, pos, "chapter_id", "url", "title", "order_index")
-    tries = []
-    for keys in (["chapter_id"], ["url"], ["title", "order_index"]):
-        filled = [F.coalesce(F.col(k).cast("string"), F.lit("")).isin("", "0") for k in keys]
-        usable = ~filled[0] if len(keys) == 1 else ~filled[0] & ~filled[1]
-        side = c.filter(usable).groupBy(*BOOK, *keys).agg(F.min(pos).alias("_p"))
-        tries.append(requests.join(side, [*BOOK, *keys]).select("request_id", "_p"))
-    first = (tries[0].unionByName(tries[1]).unionByName(tries[2])
+    none = F.lit("")
+    order = F.nullif(F.coalesce("order_index", F.lit(0)), F.lit(0))
+    both = _keys(("id", F.col("chapter_id"), none), ("url", F.col("url"), none),
+                 ("title", F.when(order.isNotNull(), F.col("title")), order))
+    side = (chapters.select(*BOOK, "position", F.explode(both).alias("_k"))
+            .groupBy(*BOOK, "_k").agg(F.min("position").alias("_p")))
+    first = (requests.select("request_id", *BOOK, F.explode(both).alias("_k")).join(side, [*BOOK, "_k"])
              .groupBy("request_id").agg(F.min("_p").alias("_p")))
-    sizes = chapters.groupBy(*BOOK).agg((F.max(pos)).alias("_last"))
+    sizes = chapters.groupBy(*BOOK).agg(F.max("position").alias("_last"))
     clamped = F.greatest(F.lit(0), F.least(F.coalesce("fallback_index", F.lit(0)), F.col("_last")))
     return (requests.join(first, "request_id", "left").join(sizes, BOOK, "left")
             .withColumn("matched_index", F.coalesce("_p", clamped, F.lit(0))).drop("_p", "_last"))
@@ -219,24 +224,20 @@ def fallback_match(books: DataFrame, hits: DataFrame) -> DataFrame:
     """Hit for a book: same id, else the first hit whose title and author equal the book's without
     white space; a blank title or author of the book matches anything.
 
-    The wildcard branches join on what is known, and the all-blank branch on the source alone with
-    the source's first hit, so no branch compares alternatives row by row.
+    A hit lists every key a book may ask by, a book the one it does ask by besides its id, so the
+    alternatives and wildcards are one equi-join on keys reduced to their first hit.
     """
     squash = lambda c: F.regexp_replace(trim_u(F.coalesce(F.col(c), F.lit(""))), r"[ \t\n\f\r]+", "")
-    h = hits.select("site", trim_u("book_id").alias("_id"), squash("title").alias("_t"), squash("author").alias("_a"),
-                    F.struct("ord", *[c for c in ("book_id", "title", "author", "description", "cover_url", "url")]).alias("hit"))
-    b = books.withColumns({"_id": trim_u("book_id"), "_t": squash("title"), "_a": squash("author")})
-    first = lambda keys: h.groupBy(*keys).agg(F.min_by("hit", F.col("hit.ord")).alias("_h"))
-    has_t, has_a = F.col("_t") != "", F.col("_a") != ""
-    branches = [(0, F.lit(True), ["site", "_id"]), (1, has_t & has_a, ["site", "_t", "_a"]),
-                (1, has_t & ~has_a, ["site", "_t"]), (1, ~has_t & has_a, ["site", "_a"]),
-                (1, ~has_t & ~has_a, ["site"])]
-    found = None
-    for tier, on, keys in branches:
-        part = (b.filter(on).select("site", "book_id", "_id", "_t", "_a").join(first(keys), keys)
-                .select("site", "book_id", F.struct(F.lit(tier).alias("tier"), F.col("_h.ord").alias("o")).alias("_k"), "_h"))
-        found = part if found is None else found.unionByName(part)
-    best = found.groupBy(*BOOK).agg(F.min_by("_h", "_k").alias("match"))
+    key = lambda kind, x=F.lit(""), y=F.lit(""): F.struct(F.lit(kind).alias("kind"), x.alias("a"), y.alias("b"))
+    t, a, i = squash("title"), squash("author"), trim_u("book_id")
+    hit = F.struct("ord", "book_id", "title", "author", "description", "cover_url", "url")
+    side = (hits.select("site", hit.alias("_hit"), F.explode(F.array(
+        key("id", i), key("both", t, a), key("title", t), key("author", a), key("any"))).alias("_k"))
+        .groupBy("site", "_k").agg(F.min_by("_hit", F.col("_hit.ord")).alias("_h")))
+    ask = (F.when((t != "") & (a != ""), key("both", t, a)).when(t != "", key("title", t))
+           .when(a != "", key("author", a)).otherwise(key("any")))
+    best = (books.select(*BOOK, F.posexplode(F.array(key("id", i), ask)).alias("_tier", "_k")).join(side, ["site", "_k"])
+            .groupBy(*BOOK).agg(F.min_by("_h", F.struct("_tier", "_h.ord")).alias("match")))
     return books.join(best, BOOK, "left")
 
 

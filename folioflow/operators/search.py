@@ -129,12 +129,14 @@ def score_hits(hits: DataFrame, keyword: Column, sources: DataFrame | None = Non
         "site_rank": F.coalesce("site_rank", F.lit(scores.UNRANKED)).cast("int")})
     key = (F.when((F.col("_t") == "") & (F.col("_a") == ""), F.concat_ws("|", "site", "book_id"))
            .when(F.col("_a") == "", F.col("_t")).otherwise(F.concat_ws("|", "_t", "_a")))
+    k, t, a = F.col("_k"), F.col("_t"), F.col("_a")
+    # the edit distances are columns of their own, so both scores share one computation
+    df = df.withColumns({"group_key": key, "_st": scores.similarity(k, t), "_sa": scores.similarity(k, a)})
+    st, sa = F.col("_st"), F.col("_sa")
     return df.withColumns({
-        "group_key": key,
-        "relevance": scores.relevance(F.col("_k"), F.col("_t"), F.col("_a")),
-        "score": scores.hit_score(F.col("_k"), F.col("_t"), F.col("_a"), F.col("description"),
-                                  F.col("cover_url"), F.col("latest_chapter"), F.col("site_rank")),
-    }).drop("_k", "_t", "_a")
+        "relevance": scores.relevance(k, t, a, st, sa),
+        "score": scores.hit_score(k, a, st, sa, F.col("description"), F.col("cover_url"), F.col("latest_chapter"), F.col("site_rank")),
+    }).drop("_k", "_t", "_a", "_st", "_sa")
 
 
 def variants(scored: DataFrame, by: list[str] = ("keyword",)) -> DataFrame:

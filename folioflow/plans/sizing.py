@@ -17,6 +17,6 @@ def spread_small(df: DataFrame, limit: int = 256 << 20) -> DataFrame:
     moving the rows costs less than reading and transforming them alone; above it the scan has
     splits enough and is never shuffled here.
     """
-    if 1 << 20 < estimated_bytes(df) <= limit:
+    if 64 << 10 < estimated_bytes(df) <= limit:
         return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df
