@@ -49,7 +49,7 @@ def _without_dots(path: Column) -> Column:
     walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: (
         F.when(p == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc))
         .when(p == ".", acc).otherwise(F.concat(acc, F.array(p)))))
-    folder = last.isin(".", "..") & (F.element_at(walked, -1) != "")
+    folder = last.isin(".", "..") & ((F.size(walked) == 1) | (F.element_at(walked, -1) != ""))
     return F.array_join(F.when(folder, F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/")
 
 
