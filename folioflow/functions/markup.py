@@ -26,8 +26,8 @@ def attr(node: Column, name: str) -> Column:
 
 
 def has_class(node: Column, name: str) -> Column:
-    classes = F.split(F.coalesce(F.try_element_at(node["attrs"], F.lit("class")), F.lit("")), r"[ \t\n\f\r]+")
-    return F.array_contains(classes, name)
+    classes = F.translate(F.coalesce(F.try_element_at(node["attrs"], F.lit("class")), F.lit("")), "\t\n\f\r", "    ")
+    return F.contains(F.concat(F.lit(" "), classes, F.lit(" ")), F.lit(f" {name} "))
 
 
 def inside(node: Column, outer: Column) -> Column:
@@ -303,10 +303,10 @@ def store_boxes(nodes: Column | str, page_url: Column | str, id_pattern: str, bo
     cover_url); boxes whose title link does not match are left out."""
     all_nodes = _col(nodes)
 
-    def of_box(b):
-        tree = subtree(all_nodes, b)
-        under = lambda tag, cls: first(within(select(tree, tag), select(tree, cls=cls)))
-        text = lambda n: clean_text(node_text(all_nodes, n))
+    text = lambda n: clean_text(node_text(all_nodes, n))
+
+    def of_tree(tree):
+        under = lambda tag, cls: let(select(tree, cls=cls), lambda outer: first(within(select(tree, tag), outer)))
         author = text(first(select(subtree(all_nodes, first(select(tree, "div", info))), "span")))
         cover = let(under("img", image), lambda i: F.coalesce(nullif_blank(attr(i, "data-original")), attr(i, "src"), F.lit("")))
         about = clean_text(node_text_breaks(all_nodes, first(select(tree, "div", intro))))
@@ -315,6 +315,7 @@ def store_boxes(nodes: Column | str, page_url: Column | str, id_pattern: str, bo
             text(a).alias("title"), author.alias("author"), about.alias("description"),
             absolute_url(_col(page_url), attr(a, "href")).alias("url"), absolute_url(_col(page_url), cover).alias("cover_url")))
 
+    of_box = lambda b: let(subtree(all_nodes, b), of_tree)
     return F.filter(F.transform(select(all_nodes, "div", box), of_box), lambda h: h["book_id"] != "")
 
 

@@ -106,23 +106,19 @@ def history(items: DataFrame, limit: int = 0) -> DataFrame:
 
 # ---- trees ------------------------------------------------------------------------------------
 
-def breadcrumbs(items: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Path of ids from the root to each item, and whether its parents form a cycle.
-
-    One join per level with the folders only, since nothing else has children; levels end when no
-    cursor is left.  Lineage is cut every eight levels.
-    """
-    folders = items.filter(F.col("kind") == "folder").select(F.col("item_id").alias("_cursor"), F.col("parent_id").alias("_up"))
-    start = items.select("item_id", F.array("item_id").alias("path"), F.col("parent_id").alias("_cursor"), F.lit(False).alias("cycle"))
-    walking, done = start, None
+def _folder_paths(folders: DataFrame, max_depth: int) -> DataFrame:
+    """(item_id, path, cycle) of the folders alone; lineage is cut every eight levels."""
+    up = folders.select(F.col("item_id").alias("_cursor"), F.col("parent_id").alias("_next"))
+    walking = folders.select("item_id", F.array("item_id").alias("path"), F.col("parent_id").alias("_cursor"), F.lit(False).alias("cycle"))
+    done = None
     for depth in range(max_depth):
         # an unknown parent, a finished path or a repeated id stops the walk
         ended = walking.filter(F.col("_cursor").isNull() | F.col("cycle")).select("item_id", "path", "cycle")
         done = ended if done is None else done.unionByName(ended)
-        going = walking.filter(F.col("_cursor").isNotNull() & ~F.col("cycle")).join(folders, "_cursor", "left")
+        going = walking.filter(F.col("_cursor").isNotNull() & ~F.col("cycle")).join(up, "_cursor", "left")
         walking = going.select(
-            "item_id", F.concat(F.array("_cursor"), F.col("path")).alias("path"), F.col("_up").alias("_next"),
-            F.array_contains("path", F.col("_cursor")).alias("cycle")).withColumnRenamed("_next", "_cursor")
+            "item_id", F.concat(F.array("_cursor"), F.col("path")).alias("path"),
+            F.array_contains("path", F.col("_cursor")).alias("cycle"), F.col("_next").alias("_cursor"))
         if depth % 8 == 7:
             walking = materialise(walking)
         if not walking.take(1):
@@ -130,23 +126,41 @@ def breadcrumbs(items: DataFrame, max_depth: int = 64) -> DataFrame:
     return done.unionByName(walking.select("item_id", "path", F.lit(True).alias("cycle")))
 
 
+def breadcrumbs(items: DataFrame, max_depth: int = 64) -> DataFrame:
+    """Path of ids from the root to each item, and whether its parents form a cycle.
+
+    Only folders have children, so the level-by-level walk runs over the folders, and every other
+    item takes its folder's path in one join.
+    """
+    paths = _folder_paths(items.filter(F.col("kind") == "folder"), max_depth)
+    above = paths.select(F.col("item_id").alias("parent_id"), F.col("path").alias("_path"), F.col("cycle").alias("_cycle"))
+    others = items.filter(F.col("kind") != "folder").select("item_id", "parent_id").join(above, "parent_id", "left")
+    known = F.coalesce("_path", F.when(F.col("parent_id").isNotNull(), F.array("parent_id")), F.array().cast("array<bigint>"))
+    return paths.unionByName(others.select("item_id", F.concat(known, F.array("item_id")).alias("path"),
+                                           F.coalesce("_cycle", F.lit(False)).alias("cycle")))
+
+
 def descendants(items: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(root, item, depth) for everything below each root, breadth first; cycles stop where an id
-    repeats."""
-    edges = items.select(F.col("parent_id").alias("_at"), "item_id", "kind")
-    level = roots.select(F.col("item_id").alias("root_id"), F.col("item_id").alias("_at"), F.array("item_id").alias("_seen"))
-    out = None
+    """(root, item, depth) for everything below each root.
+
+    The breadth-first walk runs over the folders; the items of all reached folders are then one
+    join.  Cycles stop where an id repeats.
+    """
+    edges = items.filter(F.col("kind") == "folder").select(F.col("parent_id").alias("_at"), "item_id")
+    level = roots.select(F.col("item_id").alias("root_id"), F.col("item_id").alias("_at"), F.array("item_id").alias("_seen"),
+                         F.lit(0).alias("_depth"))
+    reached = level
     for depth in range(1, max_depth + 1):
-        found = level.join(edges, "_at").filter(~F.array_contains("_seen", F.col("item_id")))
-        rows = found.select("root_id", "item_id", F.lit(depth).alias("depth"))
-        out = rows if out is None else out.unionByName(rows)
-        level = found.filter(F.col("kind") == "folder").select(
-            "root_id", F.col("item_id").alias("_at"), F.concat("_seen", F.array("item_id")).alias("_seen"))
+        level = level.join(edges, "_at").filter(~F.array_contains("_seen", F.col("item_id"))).select(
+            "root_id", F.col("item_id").alias("_at"), F.concat("_seen", F.array("item_id")).alias("_seen"), F.lit(depth).alias("_depth"))
         if depth % 8 == 0:
             level = materialise(level)
         if not level.take(1):
             break
-    return out
+        reached = reached.unionByName(level)
+    below = items.select(F.col("parent_id").alias("_at"), "item_id")
+    return (reached.join(below, "_at").filter(~F.array_contains("_seen", F.col("item_id")))
+            .select("root_id", "item_id", (F.col("_depth") + 1).alias("depth")))
 
 
 def move_violations(moves: DataFrame, items: DataFrame, below: DataFrame) -> DataFrame:

@@ -176,13 +176,16 @@ def epub_parts(books: DataFrame, chapters: DataFrame, assets: DataFrame, date: s
         *BOOK, fallback("title", "book_id").alias("book_title"), fallback("author", F.lit("unknown")).alias("book_author"),
         F.col("description").alias("book_description"), F.coalesce("cover_url", F.lit("")).alias("cover_url"),
         book_uuid("site", "book_id", "title").alias("uuid"))
-    rows = (chapters.select(*BOOK, F.col("order_index").cast("bigint"), "title", chapter_blocks("content").alias("blocks"))
+    rows = (chapters.select(*BOOK, F.col("order_index").cast("bigint"), "title", chapter_blocks("content").alias("blocks"),
+                            F.col("content").rlike(r"(?i)!\[|<img|\[(?:插图|插圖|图片|圖片|\?\?)\]").alias("_marked"))
             .withColumn("part", _part("order_index")))
     counted = rows.groupBy(*BOOK).agg(F.max("part").alias("_last"))
     # a row without chapter carries the cover to every part of its book
     covers = (info.select(*BOOK, "cover_url").join(counted, BOOK, "left")
               .select(*BOOK, F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0)))).alias("part"), "cover_url"))
-    wanted = (rows.select(*BOOK, "part", "order_index", F.explode("blocks").alias("b")).filter(F.col("b.kind") == "image")
+    # bodies without any image mark are not parsed a second time
+    marked = rows.filter(F.col("_marked")).select(*BOOK, "part", "order_index", F.explode("blocks").alias("b"))
+    wanted = (marked.filter(F.col("b.kind") == "image")
               .select(*BOOK, "part", F.col("b.image_url").alias("url"), "order_index")
               .unionByName(covers.filter("cover_url <> ''").select(*BOOK, "part", F.col("cover_url").alias("url"), F.lit(0).cast("bigint").alias("order_index")))
               .distinct().join(assets, "url")
