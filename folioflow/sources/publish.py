@@ -11,6 +11,7 @@ import html
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,18 +116,18 @@ def _page(title: str, body: str) -> str:
     return _XHTML.format(ns="", title=_esc(title), style=_LINK, body=body)
 
 
-def _volume(pdf: pd.DataFrame) -> bytes:
+def _volume(rows: list) -> bytes:
     """One EPUB from the rows of one part: chapters in order with ready markup and its images."""
-    first = pdf.iloc[0]
+    first = rows[0]
     images = {u: (f"images/{u_i:04d}", m, d) for u_i, (u, m, d) in enumerate(
-        {i["url"]: (i["url"], i["media_type"], i["data"]) for rows in pdf["images"] for i in rows}.values())}
-    cover = images.get(first["cover_url"])
-    pages = [(INFO_PAGE, INFO_TITLE, _page(first["book_title"], "<section class=\"cover\">" + (
-        f'<figure class="cover-art"><img src="{cover[0]}" alt="{_esc(first["book_title"])}"/></figure>' if cover else "")
-        + f'<h1>{_esc(first["book_title"])}</h1><p class="author">{_esc(first["book_author"])}</p>'
+        {i["url"]: (i["url"], i["media_type"], i["data"]) for r in rows for i in r.images}.values())}
+    cover = images.get(first.cover_url)
+    pages = [(INFO_PAGE, INFO_TITLE, _page(first.book_title, "<section class=\"cover\">" + (
+        f'<figure class="cover-art"><img src="{cover[0]}" alt="{_esc(first.book_title)}"/></figure>' if cover else "")
+        + f'<h1>{_esc(first.book_title)}</h1><p class="author">{_esc(first.book_author)}</p>'
         + (f'<section class="book-description"><h2>{INTRO_TITLE}</h2><p style="white-space:pre-line;">'
-           f'{_esc(first["book_description"]).replace(chr(10), "<br/>")}</p></section>' if (first["book_description"] or "").strip() else "") + "</section>"))]
-    for row in pdf.itertuples():
+           f'{_esc(first.book_description).replace(chr(10), "<br/>")}</p></section>' if (first.book_description or "").strip() else "") + "</section>"))]
+    for row in rows:
         if row.order_index <= 0:
             continue
         parts = []
@@ -139,11 +140,11 @@ def _volume(pdf: pd.DataFrame) -> bytes:
             else:
                 parts.append(f"<p>{_esc('[图片] ' + b['image_url'])}</p>")
         name = f"chapter-{int(row.order_index):03d}.xhtml"
-        pages.append((name, row.title, _page(f"{first['book_title']} - {row.title}", f"<article><h2>{_esc(row.title)}</h2>{''.join(parts)}</article>")))
+        pages.append((name, row.title, _page(f"{first.book_title} - {row.title}", f"<article><h2>{_esc(row.title)}</h2>{''.join(parts)}</article>")))
     items = ['<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>', '<item id="css" href="styles.css" media-type="text/css"/>']
     items += [f'<item id="{n[:-6]}" href="{n}" media-type="application/xhtml+xml"/>' for n, _, _ in pages]
     for u, (href, media, _) in images.items():
-        mark = ' properties="cover-image"' if cover and u == first["cover_url"] else ""
+        mark = ' properties="cover-image"' if cover and u == first.cover_url else ""
         items.append(f'<item id="{href.replace("/", "-")}" href="{href}" media-type="{media}"{mark}/>')
     nav = "".join(f'<li><a href="{n}">{_esc(t)}</a></li>' for n, t, _ in pages)
     out = io.BytesIO()
@@ -153,10 +154,10 @@ def _volume(pdf: pd.DataFrame) -> bytes:
         add = lambda name, data: z.writestr(entry(name), data, compress_type=zipfile.ZIP_DEFLATED)
         add("META-INF/container.xml", _CONTAINER)
         add("OEBPS/content.opf", _OPF.format(
-            uuid=first["uuid"], title=_esc(first["book_title"]), author=_esc(first["book_author"]), date=first["date"], items="".join(items),
+            uuid=first.uuid, title=_esc(first.book_title), author=_esc(first.book_author), date=first.date, items="".join(items),
             cover=f'<meta name="cover" content="{cover[0].replace("/", "-")}"/>' if cover else "", spine="".join(f'<itemref idref="{n[:-6]}"/>' for n, _, _ in pages)))
-        add("OEBPS/nav.xhtml", _XHTML.format(ns=' xmlns:epub="http://www.idpf.org/2007/ops"', title=_esc(first["book_title"]), style="",
-                                             body=f'<nav epub:type="toc" id="toc"><h1>{_esc(first["book_title"])}</h1><ol>{nav}</ol></nav>'))
+        add("OEBPS/nav.xhtml", _XHTML.format(ns=' xmlns:epub="http://www.idpf.org/2007/ops"', title=_esc(first.book_title), style="",
+                                             body=f'<nav epub:type="toc" id="toc"><h1>{_esc(first.book_title)}</h1><ol>{nav}</ol></nav>'))
         add("OEBPS/styles.css", _CSS)
         for href, _, data in images.values():
             add("OEBPS/" + href, bytes(data))
@@ -165,6 +166,13 @@ def _volume(pdf: pd.DataFrame) -> bytes:
     return out.getvalue()
 
 
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Volumes from rows sorted by (site, book, part, order): one part is held at a time."""
+    rows = (r for pdf in batches for r in pdf.itertuples(index=False))
+    for (site, book_id, part), group in groupby(rows, key=lambda r: (r.site, r.book_id, r.part)):
+        yield pd.DataFrame({"site": [site], "book_id": [book_id], "part": [part], "content": [_volume(list(group))]})
+
+
 def epub_parts(books: DataFrame, chapters: DataFrame, assets: DataFrame, date: str) -> DataFrame:
     """(site, book_id, part, content) with one EPUB volume per part.
 
@@ -197,12 +205,9 @@ def epub_parts(books: DataFrame, chapters: DataFrame, assets: DataFrame, date: s
             .withColumn("date", F.lit(date)))
     types = {f.name: f.dataType.simpleString() for f in full.schema.fields}
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("order_index")
-        first = pdf.iloc[0]
-        return pd.DataFrame({"site": [first["site"]], "book_id": [first["book_id"]], "part": [first["part"]], "content": [_volume(pdf)]})
-
-    return full.groupBy(*BOOK, "part").applyInPandas(pack, f"site {types['site']}, book_id {types['book_id']}, part int, content binary")
+    keys = [*BOOK, "part"]
+    ordered = full.repartition(*keys).sortWithinPartitions(*keys, "order_index")
+    return ordered.mapInPandas(_pack, f"site {types['site']}, book_id {types['book_id']}, part int, content binary")
 
 
 def part_name(name: Column, part: Column) -> Column:
