@@ -1,6 +1,7 @@
 """Wall time of the headline queries; prints one JSON line.
 
-Every query runs once to warm up and then `RUNS` times into a no-op sink; the median counts.
+Every query runs once to warm up and then `BENCH_RUNS` times (default 1) into a no-op sink; the
+median counts.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from folioflow.queries import QUERIES, load_all  # noqa: E402
 from folioflow.session import local_session  # noqa: E402
 
-RUNS = 3
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 HEADLINE = ["federated_search", "fuzzy_search", "keyword_index_match", "index_top_matches", "dedupe_hits", "variant_order",
             "merge_stored_chapters", "pending_chapters", "dedupe_chapters", "chapter_range", "context_window", "stored_chapter_lookup",
             "fallback_match", "stage_state", "library_listing", "windowed_rate", "throttled_progress", "task_state", "shelf_fold",

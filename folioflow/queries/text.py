@@ -283,8 +283,7 @@ def data_images(spark, d):
 
 # ---- line rules --------------------------------------------------------------------------------
 
-# Marker lines added after every sentence that ends in a given way.
-_AD = "['月票 now', 'see 推荐票', 'plain line', '', 'WWW.SHUHAIGE.NET x', '首 发 地 址', '第(1/3)页', '下一章']"
+# One marker line per document, by its id.
 SALT = ("CASE doc_id % 8 WHEN 0 THEN '月票 now' WHEN 1 THEN 'see 推荐票' WHEN 2 THEN 'plain line' WHEN 3 THEN '' "
         "WHEN 4 THEN 'WWW.SHUHAIGE.NET x' WHEN 5 THEN '首 发 地 址' WHEN 6 THEN '第(1/3)页' ELSE ' 下一章 ' END")
 
