@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language
+from . import bpe, language, toxicity
 from .common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 @query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
