@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, simhash, toxicity
+from . import bpe, language, lines, simhash, suffixes, toxicity
 from .common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.without_repeats(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_repeated", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeat_digests(read(spark, sf_dir, "documents"))
