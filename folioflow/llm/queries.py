@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, simhash, suffixes, toxicity
+from . import bpe, language, lines, simhash, spotsigs, suffixes, toxicity
 from .common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,8 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_digests(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(read(spark, sf_dir, "documents"))
