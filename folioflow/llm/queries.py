@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, simhash, spotsigs, suffixes, toxicity
+from . import bpe, language, lines, simhash, spotsigs, suffixes, token_files, toxicity
 from .common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,12 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_counts(read(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+ORACLES["op10_token_counts"] = r"""
+SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')) AS BIGINT) AS n_tokens FROM documents"""
