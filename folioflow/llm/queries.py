@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, simhash, spotsigs, suffixes, token_files, toxicity
+from . import bpe, language, lines, mixing, simhash, spotsigs, suffixes, token_files, toxicity
 from .common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: Weights of domains, and of English, among their siblings; all others have weight 1.
+WEIGHTS = {("d0",): 5.0, ("d1",): 3.0, ("d2",): 2.0} | {(f"d{i}", "en"): 3.0 for i in range(3)}
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens by weight, no source more than twice; a source's domain is its crc32 modulo 3."""
+    domain = F.concat(F.lit("d"), F.crc32(F.coalesce("source", F.lit(""))) % 3)
+    docs = read(spark, sf_dir, "documents").select("doc_id", domain.alias("domain"), "lang", "source", mixing.words_in("text").alias("n_tokens"))
+    return mixing.mix(docs, ["domain", "lang", "source"], WEIGHTS, share_of_supply=0.5, most_epochs=2, seed=7)
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

@@ -58,7 +58,7 @@ def patterns_of(text: str) -> list[bool]:
 
 def kin_of(words: set[str]) -> int:
     """The least hash of the longer words: copies and near copies of a text mostly share it."""
-    return min((zlib.crc32(w.encode()) for w in words if len(w) > 5), default=0)
+    return min(zlib.crc32(w.encode()) for w in [x for x in words if len(x) > 5] or [" ".join(sorted(words))])
 
 
 def term_counts(sample: DataFrame, text_col: str, label: str) -> DataFrame:
@@ -228,14 +228,11 @@ class Fitted:
     classifier: Classifier
 
 
-def sampled(docs: DataFrame, labels: DataFrame, learning: Column, id_col: str, text_col: str, label_col: str, sample_rows: int) -> DataFrame:
-    """At most `sample_rows` labelled learning rows, those with the least hash of the id: (id, text, label)."""
-    marks = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-             .select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label")).groupBy("id").agg(F.max("label").alias("label"))
-             .withColumnRenamed("id", id_col).where(learning)
-             .orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample_rows))
-    return (docs.where(learning).select(F.col(id_col), F.col(text_col)).join(F.broadcast(marks), id_col)
-            .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "label"))
+def sampled(labels: DataFrame, learning: Column, id_col: str, label_col: str, sample_rows: int) -> DataFrame:
+    """(id, label) of at most `sample_rows` labelled learning rows, those with the least hash of the id."""
+    return (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+            .select(F.col(id_col), (F.col(label_col) > 0).cast("int").alias("label")).groupBy(id_col).agg(F.max("label").alias("label"))
+            .where(learning).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample_rows).withColumnRenamed(id_col, "id"))
 
 
 def score(docs: DataFrame, labels: DataFrame, learning: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -246,7 +243,7 @@ def score(docs: DataFrame, labels: DataFrame, learning: Column, id_col: str = "d
     any text without a term; repeated rows get equal scores; with no labelled row, or labels of one
     class only, every score is 0 or 1 by that class (0 without labels); an empty table gives no rows.
     """
-    sample = materialise(sampled(docs, labels, learning, id_col, text_col, label_col, sample_rows))
+    sample = F.broadcast(materialise(sampled(labels, learning, id_col, label_col, sample_rows)))
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
@@ -256,14 +253,14 @@ def score(docs: DataFrame, labels: DataFrame, learning: Column, id_col: str = "d
     p, n = F.col("pos") + 0.5, F.col("neg") + 0.5
     share = F.lit(pos / (pos + neg))
     surprise = 2 * (p * F.log(p / (p + n) / share) + n * F.log(n / (p + n) / (1 - share)))
-    chosen = (term_counts(sample, "text", "label").withColumn("surprise", surprise)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
+    chosen = (term_counts(texts, "text", "label").withColumn("surprise", surprise)
               .where((F.col("pos") >= 3) & (p / (p + n) > share + (1 - share) / 3) & (F.col("surprise") > LEAST_SURPRISE))
               .orderBy(F.col("surprise").desc(), "term").limit(lexicon_terms))
     lexicon = Lexicon.of([r["term"] for r in chosen.select("term").collect()])
     votes = materialise(scan(docs, lexicon, id_col, text_col))
-    known = sample.select("id", "label").groupBy("id").agg(F.max("label").alias("label"))
     taught = (votes.withColumnRenamed("id", id_col).where(learning).withColumnRenamed(id_col, "id")
-              .join(F.broadcast(known), "id", "left").withColumn("label", F.coalesce("label", F.lit(-1))))
+              .join(sample, "id", "left").withColumn("label", F.coalesce("label", F.lit(-1))))
     counts = taught.groupBy("votes", "label").agg(F.count("*").alias("n")).toPandas()  # at most 3 rows a pattern
     model = LabelModel.fit(counts["votes"].to_numpy(), counts["label"].to_numpy(), counts["n"].to_numpy(float), lexicon.voters)
     fit = taught.where("label >= 0").select("votes", "hits", "label").toArrow()  # the bounded sample
