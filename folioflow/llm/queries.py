@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, mixing, simhash, spotsigs, suffixes, token_files, toxicity
+from . import bpe, chroma, language, lines, mixing, simhash, spotsigs, suffixes, token_files, toxicity
 from .common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, ["domain", "lang", "source"], WEIGHTS, share_of_supply=0.5, most_epochs=2, seed=7)
 
 
+@query
+def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings are the texts' bytes as 8-bit samples; every 50th id is searched among all rows."""
+    media = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("media"))
+    return chroma.search(media, F.col("id") % 50 == 0)
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
