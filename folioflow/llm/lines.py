@@ -5,8 +5,9 @@ equal are one node.  Two lines of at least `least_chars` characters are linked i
 edits turn one into the other: the shorter one is cut into `edits` + 1 segments of almost equal length,
 of which one must occur unchanged in the longer one, close to its own place.  An index holds the
 segments of every line by (length, segment number, text); every line probes it for each length from its
-own down to `edits` less, only at the starts that the difference of lengths leaves possible.  Pairs that
-meet are verified with a banded bit-parallel edit distance: a word of 2 * edits + 1 bits moves down the
+own down to `edits` less, only at the starts that the difference of lengths leaves possible.  A line's name
+in the index holds how often some common letters occur in it, modulo 8; where these counts differ by more
+than `edits` edits can make, lines do not meet, however many share a segment.  Pairs that meet are verified with a banded bit-parallel edit distance: a word of 2 * edits + 1 bits moves down the
 diagonal, one addition and a few bit operations for each character.
 
 Of each class (component of links) the first line by (id, line number) stays, the others go.  A document
@@ -22,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import materialise
+from .common import release_finished
 from .components import components
 
 EDITS = 2
 LEAST_CHARS = 24
 MOST_REMOVED = 0.5
+COUNTED = "entaoirsdlucmhpg"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,51 +50,128 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """
     width, full = 2 * edits + 1, F.lit((1 << 2 * edits + 1) - 1).cast("long")
     one, top = F.lit(1).cast("long"), F.lit(1 << 2 * edits).cast("long")
-    rows, columns = F.split(a, ""), F.split(b, "")
-    start = F.struct(F.lit(((1 << edits) - 1) << (edits + 1)).cast("long").alias("up"), F.lit(0).cast("long").alias("down"),
-                     F.lit(0).alias("cost"), F.lit(0).alias("j"), rows.alias("rows"))
-
-    def step(acc: Column, c: Column) -> Column:
-        equal = sum((F.when(F.get(acc["rows"], acc["j"] - edits + x) == c, F.lit(1 << x)).otherwise(F.lit(0)) for x in range(width)), F.lit(0)).cast("long")
-
-        def moved(v: Column) -> Column:
-            up, down, eq = v["up"], v["down"], v["eq"]
-            zero = ((eq.bitwiseAND(up) + up).bitwiseXOR(up)).bitwiseOR(eq).bitwiseOR(down).bitwiseAND(full)
-            return let(F.struct(zero.alias("zero"), up.alias("up"), down.alias("down")), grown)
-
-        def grown(v: Column) -> Column:
-            right = v["down"].bitwiseOR(F.bitwise_not(v["zero"].bitwiseOR(v["up"]))).bitwiseAND(full)
-            return let(F.struct(_shift(right, 1).bitwiseOR(one).bitwiseAND(full).alias("right"), _shift(v["zero"].bitwiseAND(v["up"]), 1).alias("left"), v["zero"].alias("zero")), stepped)
-
-        def stepped(v: Column) -> Column:
-            return F.struct(
-                v["left"].bitwiseOR(F.bitwise_not(v["zero"].bitwiseOR(v["right"]))).bitwiseAND(full).alias("up"),
-                v["zero"].bitwiseAND(v["right"]).alias("down"),
-                (acc["cost"] + 1 - _shift(v["zero"], -edits).bitwiseAND(one).cast("int")).alias("cost"),
-                (acc["j"] + 1).alias("j"), acc["rows"].alias("rows"))
-
-        return let(F.struct(_shift(acc["up"], -1).bitwiseOR(top).alias("up"), _shift(acc["down"], -1).alias("down"), equal.alias("eq")), moved)
-
-    def last(acc: Column) -> Column:
-        """From the diagonal cell of the last column to the row of the last character."""
-        more = F.size(acc["rows"]) - acc["j"]
-        cost = acc["cost"]
-        for x in range(width):
-            grows = (_shift(acc["up"], -x).bitwiseAND(one) - _shift(acc["down"], -x).bitwiseAND(one)).cast("int")
-            if x > edits:
-                cost = cost + F.when(more >= x - edits, grows).otherwise(0)
-            else:
-                cost = cost - F.when(more < x - edits, grows).otherwise(0)
-        return cost
+    start = F.struct(F.lit(((1 << edits) - 1) << (edits + 1)).cast("long").alias("up"), F.lit(0).cast("long").alias("down"), F.lit(0).alias("cost"), F.lit(0).alias("j"))
+
+    def run(rows: Column) -> Column:
+        """The accumulator is copied at every step, so the characters of `a` stay outside it."""
+
+        def step(acc: Column, c: Column) -> Column:
+            equal = sum((F.when(F.get(rows, acc["j"] - edits + x) == c, F.lit(1 << x)).otherwise(F.lit(0)) for x in range(width)), F.lit(0)).cast("long")
+
+            def moved(v: Column) -> Column:
+                up, down, eq = v["up"], v["down"], v["eq"]
+                zero = ((eq.bitwiseAND(up) + up).bitwiseXOR(up)).bitwiseOR(eq).bitwiseOR(down).bitwiseAND(full)
+                return let(F.struct(zero.alias("zero"), up.alias("up"), down.alias("down")), grown)
+
+            def grown(v: Column) -> Column:
+                right = v["down"].bitwiseOR(F.bitwise_not(v["zero"].bitwiseOR(v["up"]))).bitwiseAND(full)
+                return let(F.struct(_shift(right, 1).bitwiseOR(one).bitwiseAND(full).alias("right"), _shift(v["zero"].bitwiseAND(v["up"]), 1).alias("left"), v["zero"].alias("zero")), stepped)
+
+            def stepped(v: Column) -> Column:
+                return F.struct(
+                    v["left"].bitwiseOR(F.bitwise_not(v["zero"].bitwiseOR(v["right"]))).bitwiseAND(full).alias("up"),
+                    v["zero"].bitwiseAND(v["right"]).alias("down"),
+                    (acc["cost"] + 1 - _shift(v["zero"], -edits).bitwiseAND(one).cast("int")).alias("cost"), (acc["j"] + 1).alias("j"))
+
+            return let(F.struct(_shift(acc["up"], -1).bitwiseOR(top).alias("up"), _shift(acc["down"], -1).alias("down"), equal.alias("eq")), moved)
+
+        def last(acc: Column) -> Column:
+            """From the diagonal cell of the last column to the row of the last character."""
+            more = F.size(rows) - acc["j"]
+            cost = acc["cost"]
+            for x in range(width):
+                grows = (_shift(acc["up"], -x).bitwiseAND(one) - _shift(acc["down"], -x).bitwiseAND(one)).cast("int")
+                if x > edits:
+                    cost = cost + F.when(more >= x - edits, grows).otherwise(0)
+                else:
+                    cost = cost - F.when(more < x - edits, grows).otherwise(0)
+            return cost
+
+        return F.aggregate(characters(b), start, step, last)
 
     far = F.abs(F.char_length(a) - F.char_length(b)) > edits
-    return F.when(far, F.lit(edits + 1)).otherwise(F.aggregate(columns, start, step, last))
+    return F.when(far, F.lit(edits + 1)).otherwise(let(characters(a), run))
+
+
+def characters(s: Column) -> Column:
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
+
+
+def shared_start(a: Column, b: Column, most: int = 1 << 13) -> Column:
+    """Length of the common beginning of two strings, up to about twice `most`; by doubling steps."""
+    def longer(size: int) -> Callable[[Column], Column]:
+        return lambda n: n + F.when((F.char_length(a) >= n + size) & (F.substring(a, n + 1, F.lit(size)) == F.substring(b, n + 1, F.lit(size))), size).otherwise(0)
+
+    at = F.lit(0)
+    while most:
+        at = let(at, longer(most))
+        most //= 2
+    return at
+
+
+def parts_near(a: Column, b: Column, first: Column, last: Column, edits: int, parts: int) -> Column:
+    """How many of `parts` parts of a[first..last] (from 1) stand in b within `edits` of their place."""
+    n = last - first + 1
+
+    def near(i: int) -> Column:
+        low, high = first + F.floor(n * i / parts).cast("int"), first + F.floor(n * (i + 1) / parts).cast("int")
+        start = F.greatest(low - edits, F.lit(1))
+        return F.when(F.contains(F.substring(b, start, high + edits - start), F.substring(a, low, high - low)), 1).otherwise(0)
+
+    return sum((near(i) for i in range(1, parts)), near(0))
+
+
+def verified(a: Column, b: Column, edits: int) -> Column:
+    """Whether two strings are at most `edits` edits apart.
+
+    An edit spoils at most one part of a string, so all parts but `edits` stand near their place in the
+    other.  The common beginning and end are left out.  What then remains differs at both ends, which
+    takes two edits if it is longer than one character; its inside has two less to spoil.  Only strings
+    that pass both are compared bit by bit.
+    """
+    parts = 4 * edits
+    n = F.char_length(a)
+
+    def rest(s: Column) -> Column:
+        return let(shared_start(s["x"], s["y"]), lambda n: F.struct(F.substring(s["x"], n + 1, F.char_length(s["x"]) - n).alias("x"), F.substring(s["y"], n + 1, F.char_length(s["y"]) - n).alias("y")))
+
+    def turned(s: Column) -> Column:
+        return F.struct(F.reverse(s["x"]).alias("x"), F.reverse(s["y"]).alias("y"))
+
+    def compare(s: Column) -> Column:
+        size = F.char_length(s["x"])
+        inside = parts_near(s["x"], s["y"], F.lit(2), size - 1, edits, parts) >= parts - max(edits - 2, 0)
+        return F.when((size < 2 * parts) | inside, banded_distance(s["x"], s["y"], edits)).otherwise(edits + 1)
+
+    both = let(let(F.struct(a.alias("x"), b.alias("y")), rest), lambda s: let(turned(s), rest))
+    enough = parts_near(a, b, F.lit(1), n, edits, parts) >= parts - edits
+    return F.when((F.abs(n - F.char_length(b)) <= edits) & enough, let(both, compare) <= edits).otherwise(False)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line, key) of every line that is not blank."""
+    """(id, line_no, line, key) of every line that is not blank; key is its name and a 64-bit hash."""
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    return rows.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''").withColumn("key", F.md5("line"))
+    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\f"))).where("line <> ''")
+    return rows.withColumn("key", F.struct(name_of(F.col("line")).alias("k"), F.xxhash64(F.lit(1), "line").alias("k2")))
+
+
+def name_of(line: Column) -> Column:
+    """16 bits of a hash before 3 bits for each counted letter."""
+    out = F.shiftleft(F.xxhash64(line), 48)
+    for i, letter in enumerate(COUNTED):
+        times = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft((times % 8).cast("long"), 3 * i))
+    return out
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """By how much the letter counts in two names differ at least; an edit makes 2 at most."""
+    out = F.lit(0).cast("long")
+    for i in range(len(COUNTED)):
+        x, y = (F.shiftright(v, 3 * i).bitwiseAND(F.lit(7).cast("long")) for v in (a, b))
+        d = (x - y).bitwiseAND(F.lit(7).cast("long"))
+        out = out + F.least(d, 8 - d)
+    return out
 
 
 def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -106,14 +186,14 @@ def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
 
 
 def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b): keys of pairs of distinct lines (`key`, `line`) that share a segment, each pair once."""
+    """(a, b): names `k` of pairs of distinct lines (`k`, `line`) that share a segment, each pair once."""
     n = F.char_length("line")
 
     def entry(length: Column, i: int, text: Column) -> Column:
         return F.xxhash64(length, F.lit(i), text)
 
     own = [entry(n, i, F.substring(F.col("line"), at, size)) for i, (at, size) in enumerate(_segments(n, edits))]
-    index = lines.select("key", F.explode(F.array_distinct(F.array(*own))).alias("entry"))
+    index = lines.select("k", F.explode(F.array_distinct(F.array(*own))).alias("entry"))
     probes = []
     for shorter in range(edits + 1):
         length = n - shorter
@@ -121,33 +201,37 @@ def candidates(lines: DataFrame, edits: int) -> DataFrame:
             low = max(-i, shorter - (edits - i))
             high = min(i, shorter + (edits - i))
             probes += [entry(length, i, F.substring(F.col("line"), at + by, size)) for by in range(low, high + 1)]
-    probe = lines.select(F.col("key").alias("b"), F.explode(F.array_distinct(F.array(*probes))).alias("entry"))
-    return (index.join(probe, "entry").where(F.col("key") != F.col("b"))
-            .select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct())
+    probe = lines.select(F.col("k").alias("b"), F.explode(F.array_distinct(F.array(*probes))).alias("entry"))
+    return (index.join(probe, "entry").where((F.col("k") != F.col("b")) & (counts_apart(F.col("k"), F.col("b")) <= 2 * edits))
+            .select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct())
 
 
-def line_links(distinct: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(a, b): keys of distinct lines (`key`, `line`) at most `edits` edits apart."""
-    long_ones = distinct.where(F.char_length("line") >= max(least_chars, 2 * edits + 2))
-    pairs = candidates(long_ones, edits)
-    text = long_ones.select("key", "line")
-    return (pairs.join(text.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
-            .join(text.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
-            .where(banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits).select("a", "b"))
+def line_links(lines: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(a, b): keys of lines (`key`, `line`) at most `edits` edits apart.
+
+    The texts are shuffled once, by the name of a line in index and probes; a line that occurs very often
+    is combined before.  Lines with one name are kept apart by their texts.
+    """
+    once = (lines.where(F.char_length("line") >= max(least_chars, 2 * edits + 2))
+            .groupBy(F.col("key.k").alias("k")).agg(F.collect_set(F.struct("key", "line")).alias("all")))
+    distinct = once.select("k", F.explode("all").alias("one")).select("k", "one.key", "one.line")
+    pairs = candidates(distinct.select("k", "line"), edits)
+    a, b = (distinct.select(F.col("k").alias(x), F.col("key").alias(f"key_{x}"), F.col("line").alias(f"line_{x}")) for x in "ab")
+    return (pairs.join(a, "a").join(b, "b").where(verified(F.col("line_a"), F.col("line_b"), edits))
+            .select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(id, line_no, chars) of each line that is not the first of its class."""
+    """(id, line_no) of each line that is not the first of its class."""
     lines = lines_of(docs, id_col, text_col)
-    distinct = materialise(lines.groupBy("line").agg(F.count("*").alias("n")).select(F.md5("line").alias("key"), "line", "n"))
-    found = components(line_links(distinct, edits, least_chars), "a", "b")
-    repeated = (distinct.select("key", "n").join(found, F.col("key") == F.col("node"), "left")
-                .where("n > 1 OR root IS NOT NULL").select("key", F.coalesce("root", "key").alias("class")))
-    members = materialise(lines.select("id", "line_no", "key", F.char_length("line").alias("chars")).join(repeated, "key"))
+    found = components(line_links(lines, edits, least_chars), "a", "b")
+    counts = lines.select("key").groupBy("key").agg(F.count("*").alias("n"))
+    repeated = materialise(counts.join(found, F.col("key") == F.col("node"), "left")
+                           .where("n > 1 OR root IS NOT NULL").select("key", F.coalesce("root", "key").alias("class")))
+    members = materialise(lines.select("id", "line_no", "key").join(repeated, "key").select("id", "line_no", "class"))
     first = members.groupBy("class").agg(F.min(F.struct("id", "line_no")).alias("first"))
     # a class may hold a third of all lines: its first line is one row beside them, their side is split
-    return (members.join(first, "class").where(~F.struct("id", "line_no").eqNullSafe(F.col("first")))
-            .select(F.col("id").alias(id_col), "line_no", "chars"))
+    return members.join(first, "class").where(~F.struct("id", "line_no").eqNullSafe(F.col("first"))).select(F.col("id").alias(id_col), "line_no")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS,
@@ -158,8 +242,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a line of theirs stays or goes in all of them.  Rows with a null id keep every line.  An empty table
     gives none.  Columns of `docs` named like the three counts are replaced.
     """
-    gone = (removed_lines(docs.where(F.col(id_col).isNotNull()), id_col, text_col, edits, least_chars)
-            .groupBy(id_col).agg(F.collect_set("line_no").alias("__gone")))
+    gone = materialise(removed_lines(docs.where(F.col(id_col).isNotNull()), id_col, text_col, edits, least_chars)
+                       .groupBy(id_col).agg(F.collect_set("line_no").alias("__gone")))
+    release_finished(docs.sparkSession)  # the texts by line, before they are shuffled by document
     names = [c for c in docs.columns if c not in ("n_lines", "n_repeated", "n_removed", "__gone")]
     lines = F.split(text_col, "\n")
     joined = docs.select(*(F.col(f"`{c}`") for c in names)).join(gone, id_col, "left")
