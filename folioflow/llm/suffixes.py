@@ -12,7 +12,10 @@ of neighbours give for any two pieces of a group how far they agree to the right
 their anchors, which are the windows they share, exactly.
 
 A group of more than `GROUP` distinct pieces (the ends of a passage that very many texts share) is not
-gathered: each of its windows goes by its 128-bit hash into a count.  No row is capped or dropped.
+gathered.  Its windows are dealt by their anchor's offset into strips; the windows of a strip have a core
+in common, so pieces are grouped anew by strip and core.  Most cores are either unique or come with equal
+contents; what remains large is cut into finer strips, down to single windows, whose groups have one
+content.  No row is capped or dropped.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ from .common import slices
 
 LENGTH = 400
 GRAM = 64
-GROUP = 256
+GROUP = 512
 SHALLOW = 128
+STRIPS = (48, 8, 1)
 SLICE_BYTES = 1 << 20
 CHUNK = 1 << 22  # windows of a long text that are anchored at once; positions have 24 bits
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -224,16 +228,14 @@ def deep_shallow_order(strings: list[bytes], shallow: int = SHALLOW) -> np.ndarr
 
 # ---- shared windows of a group ---------------------------------------------------------------------
 
-def _agreement(strings: list[bytes], rank: list[int]) -> np.ndarray:
-    """Common length of any two strings, from the common lengths of neighbours in sorted order."""
-    n = len(strings)
-    near = np.array([_common(strings[rank[i]], strings[rank[i + 1]], 0) for i in range(n - 1)])
-    out = np.zeros((n, n), np.int64)
-    at = np.array(rank)
+def _agreement(near: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Common length of any two strings of a group, from those of neighbours in sorted order."""
+    n = len(order)
+    out = np.zeros((n, n), np.int16)
     for i in range(n - 1):
         run = np.minimum.accumulate(near[i:])
-        out[at[i], at[i + 1:]] = run
-        out[at[i + 1:], at[i]] = run
+        out[order[i], order[i + 1:]] = run
+        out[order[i + 1:], order[i]] = run
     return out
 
 
@@ -242,41 +244,43 @@ def shared_windows(groups: np.ndarray, contents: list[bytes], anchors: list[int]
 
     `groups` numbers the members' groups, which stand together; anchors are offsets in the contents.
     """
-    right = [c[a:] for c, a in zip(contents, anchors, strict=True)]
-    left = [c[:a][::-1] for c, a in zip(contents, anchors, strict=True)]
-    ranks = []
-    for side in (right, left):
+    sides = [[c[a:] for c, a in zip(contents, anchors, strict=True)], [c[:a][::-1] for c, a in zip(contents, anchors, strict=True)]]
+    places = []
+    for side in sides:
         place = np.empty(len(side), np.int64)
         place[deep_shallow_order(side)] = np.arange(len(side))
-        ranks.append(place)
+        places.append(place)
     out = []
     bounds = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
     for low, high in zip(bounds.tolist(), np.append(bounds[1:], len(groups)).tolist(), strict=True):
-        if high - low < 2:
+        n = high - low
+        if n < 2:
             continue
-        r, l = (_agreement(side[low:high], np.argsort(place[low:high]).tolist()) for side, place in zip((right, left), ranks, strict=True))
-        for i, j in zip(*np.nonzero(r + l >= length), strict=True):
+        common = []
+        for side, place in zip(sides, places, strict=True):
+            order = np.argsort(place[low:high])
+            own = [side[low + i] for i in order.tolist()]
+            common.append(_agreement(np.array([_common(x, y, 0) for x, y in zip(own, own[1:], strict=False)], np.int16), order))
+        right, left = common
+        # the farthest reach to the right among pieces that agree at least so far to the left
+        reach = np.full((n, length + 1), -1, np.int16)
+        off = ~np.eye(n, dtype=bool)
+        np.maximum.at(reach, (np.nonzero(off)[0], left[off]), right[off])
+        reach = np.maximum.accumulate(reach[:, ::-1], axis=1)[:, ::-1]
+        shared = reach + np.arange(length + 1) >= length
+        for i in np.flatnonzero(shared.any(axis=1)).tolist():
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], shared[i].view(np.int8), [0]))))
             a = anchors[low + i]
-            out.append((low + int(i), a - int(l[i, j]), a + int(r[i, j]) - length))
+            out.extend((low + i, a - int(y) + 1, a - int(x)) for x, y in zip(edge[::2], edge[1::2], strict=True))
     return out
 
 
-def _unions(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out: list[list[int]] = []
-    for who, low, high in sorted(ranges):
-        if out and out[-1][0] == who and low <= out[-1][2] + 1:
-            out[-1][2] = max(out[-1][2], high)
-        else:
-            out.append([who, low, high])
-    return [tuple(x) for x in out]
-
-
 def sort_groups(pieces: DataFrame, length: int, batch_bytes: int = 4 << 20) -> DataFrame:
     """(c1, c2, low, high) of the shared windows of pieces (mini, c1, c2, anchor, content).  A task reads
     its groups in order and sorts several at once; a group has at most `GROUP` pieces."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _unions(shared_windows(rows["mini"].to_numpy(), rows["content"].tolist(), rows["anchor"].tolist(), length))
+        found = shared_windows(rows["mini"].to_numpy(), rows["content"].tolist(), rows["anchor"].tolist(), length)
         who = [w for w, _, _ in found]
         return pd.DataFrame({"c1": rows["c1"].to_numpy()[who], "c2": rows["c2"].to_numpy()[who],
                              "low": np.array([x for _, x, _ in found], np.int64), "high": np.array([x for _, _, x in found], np.int64)})
@@ -285,19 +289,20 @@ def sort_groups(pieces: DataFrame, length: int, batch_bytes: int = 4 << 20) -> D
         held: list[pd.DataFrame] = []
         size = 0
         for part in parts:
+            part = part.drop_duplicates(["mini", "c1", "c2"])  # repeated rows bring a piece again
             held.append(part)
             size += int(part["content"].map(len).sum())
             if size >= batch_bytes:
-                rows = pd.concat(held, ignore_index=True)
+                rows = pd.concat(held, ignore_index=True).drop_duplicates(["mini", "c1", "c2"], ignore_index=True)
                 whole = rows["mini"] != rows["mini"].iloc[-1]  # the last group may go on
                 if whole.any():
                     yield solve(rows[whole].reset_index(drop=True))
                 held = [rows[~whole].reset_index(drop=True)]
                 size = int(held[0]["content"].map(len).sum())
         if held:
-            yield solve(pd.concat(held, ignore_index=True))
+            yield solve(pd.concat(held, ignore_index=True).drop_duplicates(["mini", "c1", "c2"], ignore_index=True))
 
-    return pieces.repartition("mini").sortWithinPartitions("mini").mapInPandas(run, "c1 long, c2 long, low long, high long")
+    return pieces.select("mini", "c1", "c2", "anchor", "content").repartition("mini").sortWithinPartitions("mini").mapInPandas(run, "c1 long, c2 long, low long, high long")
 
 
 # ---- the operator ----------------------------------------------------------------------------------
@@ -317,36 +322,66 @@ def _contents(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, le
                     F.substring(F.col("data"), (F.col("p.first") + 1).cast("int"), (F.col("p.last") - F.col("p.first") + length).cast("int")).alias("content")))
 
 
-def _counted_windows(contents: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, low, high) for pieces of very large groups: windows whose hash occurs again."""
+def _strips(pieces: DataFrame, length: int, width: int) -> DataFrame:
+    """(p1, p2, base, mini, c1, c2, anchor, content): for each piece (c1, c2) and strip of `width` anchor
+    offsets the part that holds the strip's windows, with its first window in the piece, a hash of strip
+    and core, and a hash of its content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for c1, c2, content in zip(*(part.column(x).to_pylist() for x in ("c1", "c2", "content")), strict=True):
-                n = len(content) - length + 1
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(content[i:i + length]) for i in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([c1] * n), pa.array([c2] * n), pa.array(np.arange(n)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["c1", "c2", "low", "w1", "w2"])
-
-    windows = contents.select("c1", "c2", "content").mapInArrow(run, "c1 long, c2 long, low long, w1 long, w2 long")
-    often = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    return windows.join(often, ["w1", "w2"], "left_semi").select("c1", "c2", "low", F.col("low").alias("high"))
+            out: list[tuple] = []
+            for c1, c2, mini, anchor, content in zip(*(part.column(x).to_pylist() for x in ("c1", "c2", "mini", "anchor", "content")), strict=True):
+                least, most = anchor - (len(content) - length), anchor  # anchor offsets of its windows
+                for strip in range(least // width, most // width + 1):
+                    low, high = strip * width, strip * width + width - 1
+                    first, last = anchor - min(high, most), anchor - max(low, least)
+                    own = content[first:last + length]
+                    mark = mini.to_bytes(8, "little", signed=True) + strip.to_bytes(4, "little")
+                    core = np.frombuffer(xxhash.xxh3_64_digest(mark + content[anchor - low:anchor - high + length]), np.int64)
+                    c = np.frombuffer(xxhash.xxh3_128_digest(mark + (anchor - first).to_bytes(4, "little") + own), np.int64)
+                    out.append((c1, c2, first, int(core[0]), int(c[0]), int(c[1]), anchor - first, own))
+            if out:
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "content" else pa.int64()) for n, x in zip(names, columns, strict=True)], names)
+
+    names = ["p1", "p2", "base", "mini", "c1", "c2", "anchor", "content"]
+    return (pieces.select("c1", "c2", "mini", "anchor", "content")
+            .mapInArrow(run, "p1 long, p2 long, base long, mini long, c1 long, c2 long, anchor long, content binary"))
+
+
+def _split_groups(pieces: DataFrame, length: int, group: int, widths: tuple[int, ...] = STRIPS) -> DataFrame:
+    """(c1, c2, low, high) of the shared windows of pieces in groups too large to gather."""
+    strips = materialise(_strips(pieces, length, widths[0]))
+    counts = strips.groupBy("mini", "c1", "c2").agg(F.count("*").alias("n"))
+    kinds = counts.groupBy("mini").agg(F.count("*").alias("kinds"))
+    marked = materialise(counts.join(kinds, "mini").where("n > 1 OR kinds > 1"))
+    contents = strips.select("mini", "c1", "c2", "anchor", "content")
+    size = strips.select("c1", "c2", (F.octet_length("content") - length).cast("long").alias("high")).distinct()
+    whole = marked.where("n > 1").join(size, ["c1", "c2"]).select("c1", "c2", F.lit(0).cast("long").alias("low"), "high")
+    few = marked.where((F.col("kinds") > 1) & (F.col("kinds") <= group)).select("mini", "c1", "c2")
+    found = whole.unionByName(sort_groups(contents.join(few, ["mini", "c1", "c2"], "left_semi"), length))
+    many = marked.where(F.col("kinds") > group).select("mini", "c1", "c2")
+    if len(widths) > 1 and not many.isEmpty():
+        large = contents.join(many, ["mini", "c1", "c2"], "left_semi").dropDuplicates(["mini", "c1", "c2"])
+        found = found.unionByName(_split_groups(large, length, group, widths[1:]))
+    return (strips.select("p1", "p2", "base", "c1", "c2").join(found, ["c1", "c2"])
+            .select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), (F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high")))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(id, rid, spans): for each text with a repeated passage its ranges of bytes [low, high), not merged."""
     cuts = cut(docs, id_col, text_col, length, gram)
-    often = cuts.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1").select("mini")
+    # written first, so that the join reads plain shuffles and a hash that very many pieces share is split
+    often = materialise(cuts.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1").select("mini"))
     members = materialise(cuts.join(often, "mini", "left_semi"))
     distinct = members.groupBy("mini", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("id", "rid", "first", "last", "anchor")).alias("one"))
     sizes = distinct.groupBy("mini").agg(F.count("*").alias("kinds")).where("kinds > 1")
     distinct = materialise(distinct.join(sizes, "mini", "left").select("mini", "c1", "c2", "n", "kinds", "one.*"))
     sorted_ = distinct.where(F.col("kinds") <= group)
-    # an exact copy may stand for a piece in several rows, so contents are made distinct by their hash
-    contents = _contents(docs, sorted_, id_col, text_col, length).dropDuplicates(["mini", "c1", "c2"])
-    found = sort_groups(contents, length)
+    found = sort_groups(_contents(docs, sorted_, id_col, text_col, length), length)
     counted = distinct.where(F.col("kinds") > group)
     if not counted.isEmpty():
-        found = found.unionByName(_counted_windows(_contents(docs, counted, id_col, text_col, length).dropDuplicates(["mini", "c1", "c2"]), length))
+        found = found.unionByName(_split_groups(_contents(docs, counted, id_col, text_col, length), length, group))
     whole = distinct.where("n > 1").select("c1", "c2", F.lit(0).cast("long").alias("low"), (F.col("last") - F.col("first")).alias("high"))
     ranges = found.unionByName(whole)
     return (members.join(ranges, ["c1", "c2"])
