@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +13,6 @@ from .text import _col, is_blank, substitute, trim_u
 
 # Locale styles that ask for conversion.
 CONVERTING = ("simplified", "zh_cn", "zh-cn", "zh-hans")
-MAX_MAPPING = 500_000
 
 
 def wants_conversion(style: str | None) -> bool:
@@ -24,8 +23,6 @@ def to_simplified(c: Column | str, mapping: Mapping[str, str]) -> Column:
     """Convert text; blank text passes through.  Single-character maps stay in the JVM, phrases
     are replaced longest first by one Arrow pass."""
     x = _col(c)
-    if len(mapping) > MAX_MAPPING:
-        raise ValueError("mapping too large to ship with every task")
     if all(len(k) == 1 for k in mapping):
         return F.when(is_blank(x), x).otherwise(substitute(x, mapping))
     table = dict(mapping)
@@ -44,12 +41,21 @@ def keyword_for_locale(keyword: Column | str, style: Column | str, mapping: Mapp
     return F.when(s.isin(*CONVERTING), to_simplified(k, mapping)).otherwise(k)
 
 
+def _where_given(c: str) -> Callable[[Column, Column], Column]:
+    return lambda x, i: F.when(F.get(F.col(c), i).isNotNull(), x)
+
+
 def convert_columns(df: DataFrame, style: str | None, mapping: Mapping[str, str], columns: list[str],
                     arrays: list[str] = ()) -> DataFrame:
     """Convert text columns, and array-of-text columns, when the locale style asks for it."""
     if not wants_conversion(style):
         return df
     out = {c: to_simplified(c, mapping) for c in columns}
-    out |= {c: F.transform(c, lambda x: substitute(x, {k: v for k, v in mapping.items() if len(k) == 1}))
-            for c in arrays}
+    # the items of an array as one text: a phrase holds no line separator, so it cannot join two items
+    mark = "\u2028"
+    safe = {k: v for k, v in mapping.items() if mark not in k}
+    for c in arrays:
+        plain = F.transform(c, lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit(mark), F.lit("\n")))
+        whole = F.split(F.coalesce(to_simplified(F.array_join(plain, mark), safe), F.lit("")), mark)
+        out[c] = F.when(F.size(c) > 0, F.transform(whole, _where_given(c))).otherwise(F.col(c))
     return df.withColumns(out)

@@ -71,14 +71,14 @@ def renumber(chapters: DataFrame, order: str, block: Column | None = None, out:
 def chapter_range(chapters: DataFrame, requests: DataFrame, order: str = "order_index") -> DataFrame:
     """Chapters between the requested start and end ids inclusive, without ignored ids.
 
-    A missing id means the end of the list on its side; reversed ends are swapped.
+    A missing or empty id means the end of the list on its side; reversed ends are swapped.
     """
     r = requests.select(*BOOK, "start_id", "end_id")
     marks = (chapters.select(*CHAPTER, F.col(order).alias("_o")).join(r, BOOK)
              .groupBy(*BOOK).agg(
                  F.min("_o").alias("_first"), F.max("_o").alias("_last"),
-                 F.min(F.when(F.col("chapter_id") == F.col("start_id"), F.col("_o"))).alias("_s"),
-                 F.min(F.when(F.col("chapter_id") == F.col("end_id"), F.col("_o"))).alias("_e")))
+                 F.min(F.when((F.col("start_id") != "") & (F.col("chapter_id") == F.col("start_id")), F.col("_o"))).alias("_s"),
+                 F.min(F.when((F.col("end_id") != "") & (F.col("chapter_id") == F.col("end_id")), F.col("_o"))).alias("_e")))
     ends = marks.select(*BOOK, F.coalesce("_s", "_first").alias("_s"), F.coalesce("_e", "_last").alias("_e"))
     kept = (chapters.join(ends, BOOK)
             .filter(F.col(order).between(F.least("_s", "_e"), F.greatest("_s", "_e"))).drop("_s", "_e"))
@@ -190,20 +190,25 @@ def lookup_stored(requests: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def same_chapter(requests: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Position of the first chapter identical to a requested one: by id, by url, or by title and
-    order together; the clamped fallback index when none matches."""
+    """Position of a chapter identical to a requested one, by id, by url, or by title and order
+    together: the clamped fallback index if that chapter is one, else the first; the fallback index
+    when none matches."""
     none = F.lit("")
     order = F.nullif(F.coalesce("order_index", F.lit(0)), F.lit(0))
     both = _keys(("id", F.col("chapter_id"), none), ("url", F.col("url"), none),
                  ("title", F.when(order.isNotNull(), F.col("title")), order))
     side = (chapters.select(*BOOK, "position", F.explode(both).alias("_k"))
-            .groupBy(*BOOK, "_k").agg(F.min("position").alias("_p")))
-    first = (requests.select("request_id", *BOOK, F.explode(both).alias("_k")).join(side, [*BOOK, "_k"])
-             .groupBy("request_id").agg(F.min("_p").alias("_p")))
+            .withColumnRenamed("position", "_p"))
     sizes = chapters.groupBy(*BOOK).agg(F.max("position").alias("_last"))
     clamped = F.greatest(F.lit(0), F.least(F.coalesce("fallback_index", F.lit(0)), F.col("_last")))
-    return (requests.join(first, "request_id", "left").join(sizes, BOOK, "left")
-            .withColumn("matched_index", F.coalesce("_p", clamped, F.lit(0))).drop("_p", "_last"))
+    asked = requests.join(sizes, BOOK, "left").withColumn("_at", F.coalesce(clamped, F.lit(0)))
+    keyed = asked.select("request_id", *BOOK, "_at", F.explode(both).alias("_k"))
+    # the least position of a key, and whether the fallback chapter has the key: both combine before the shuffle
+    first = keyed.join(side.groupBy(*BOOK, "_k").agg(F.min("_p").alias("_p")), [*BOOK, "_k"]).select("request_id", "_p")
+    here = keyed.join(side.withColumnRenamed("_p", "_at").distinct(), [*BOOK, "_k", "_at"]).select("request_id", F.lit(-1).cast("long").alias("_p"))
+    best = first.select("request_id", F.col("_p").cast("long").alias("_p")).unionByName(here).groupBy("request_id").agg(F.min("_p").alias("_p"))
+    return (asked.join(best, "request_id", "left")
+            .withColumn("matched_index", F.when(F.col("_p") >= 0, F.col("_p")).otherwise(F.col("_at"))).drop("_p", "_last", "_at"))
 
 
 def resume_index(items: DataFrame, chapters: DataFrame) -> DataFrame:

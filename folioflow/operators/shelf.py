@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,12 +108,12 @@ def history(items: DataFrame, limit: int = 0) -> DataFrame:
 
 # ---- trees ------------------------------------------------------------------------------------
 
-def _folder_paths(folders: DataFrame, max_depth: int) -> DataFrame:
-    """(item_id, path, cycle) of the folders alone; lineage is cut every eight levels."""
+def _folder_paths(folders: DataFrame) -> DataFrame:
+    """(item_id, path, cycle) of the folders alone, however deep; lineage is cut every eight levels."""
     up = folders.select(F.col("item_id").alias("_cursor"), F.col("parent_id").alias("_next"))
     walking = folders.select("item_id", F.array("item_id").alias("path"), F.col("parent_id").alias("_cursor"), F.lit(False).alias("cycle"))
     done = None
-    for depth in range(max_depth):
+    for depth in count():
         # an unknown parent, a finished path or a repeated id stops the walk
         ended = walking.filter(F.col("_cursor").isNull() | F.col("cycle")).select("item_id", "path", "cycle")
         done = ended if done is None else done.unionByName(ended)
@@ -123,16 +125,15 @@ def _folder_paths(folders: DataFrame, max_depth: int) -> DataFrame:
             walking = materialise(walking)
         if not walking.take(1):
             return done
-    return done.unionByName(walking.select("item_id", "path", F.lit(True).alias("cycle")))
 
 
-def breadcrumbs(items: DataFrame, max_depth: int = 64) -> DataFrame:
+def breadcrumbs(items: DataFrame) -> DataFrame:
     """Path of ids from the root to each item, and whether its parents form a cycle.
 
     Only folders have children, so the level-by-level walk runs over the folders, and every other
     item takes its folder's path in one join.
     """
-    paths = _folder_paths(items.filter(F.col("kind") == "folder"), max_depth)
+    paths = _folder_paths(items.filter(F.col("kind") == "folder"))
     above = paths.select(F.col("item_id").alias("parent_id"), F.col("path").alias("_path"), F.col("cycle").alias("_cycle"))
     others = items.filter(F.col("kind") != "folder").select("item_id", "parent_id").join(above, "parent_id", "left")
     known = F.coalesce("_path", F.when(F.col("parent_id").isNotNull(), F.array("parent_id")), F.array().cast("array<bigint>"))
@@ -140,7 +141,7 @@ def breadcrumbs(items: DataFrame, max_depth: int = 64) -> DataFrame:
                                            F.coalesce("_cycle", F.lit(False)).alias("cycle")))
 
 
-def descendants(items: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def descendants(items: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, item, depth) for everything below each root.
 
     The breadth-first walk runs over the folders; the items of all reached folders are then one
@@ -150,7 +151,7 @@ def descendants(items: DataFrame, roots: DataFrame, max_depth: int = 64) -> Data
     level = roots.select(F.col("item_id").alias("root_id"), F.col("item_id").alias("_at"), F.array("item_id").alias("_seen"),
                          F.lit(0).alias("_depth"))
     reached = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         level = level.join(edges, "_at").filter(~F.array_contains("_seen", F.col("item_id"))).select(
             "root_id", F.col("item_id").alias("_at"), F.concat("_seen", F.array("item_id")).alias("_seen"), F.lit(depth).alias("_depth"))
         if depth % 8 == 0:
@@ -179,20 +180,23 @@ def move_violations(moves: DataFrame, items: DataFrame, below: DataFrame) -> Dat
 
 
 def fold_patches(items: DataFrame, patches: DataFrame) -> DataFrame:
-    """Apply partial updates in order: NULL leaves a field, counts clamp at zero, and a
-    clear-parent patch moves the item to the root."""
-    text = [c for c in ("title", "author", "cover_url", "description", "latest_chapter") if c in patches.columns]
+    """Apply partial updates in order: NULL leaves a field, texts are trimmed, counts clamp at zero, a
+    reading time is taken as it is, and a clear-parent patch moves the item to the root."""
+    text = [c for c in ("name", "title", "author", "cover_url", "description", "latest_chapter", "source_url", "last_read_chapter_id", "last_read_chapter_title")
+            if c in patches.columns]
+    times = [c for c in ("last_read_at",) if c in patches.columns]
     counts = [c for c in ("total_chapters", "cached_chapters", "last_read_chapter_index") if c in patches.columns]
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
     moves = F.coalesce("clear_parent", F.lit(False)) | F.col("parent_id").isNotNull()
     target = F.when(F.coalesce("clear_parent", F.lit(False)), F.lit(None)).otherwise(F.col("parent_id"))
     g = patches.groupBy("item_id").agg(
-        *[trim_u(last(c)).alias(f"_{c}") for c in text], *[F.greatest(last(c), F.lit(0)).alias(f"_{c}") for c in counts],
+        *[trim_u(last(c)).alias(f"_{c}") for c in text], *[F.greatest(last(c), F.lit(0)).alias(f"_{c}") for c in counts], *[last(c).alias(f"_{c}") for c in times],
         F.max(F.when(moves, F.struct("seq", target.alias("p")))).alias("_move"))
     df = items.join(g, "item_id", "left")
     df = df.withColumn("parent_id", F.when(F.col("_move").isNotNull(), F.col("_move.p")).otherwise(F.col("parent_id")))
-    return (df.withColumns({c: F.coalesce(f"_{c}", c) for c in [*text, *counts]})
-            .drop("_move", *[f"_{c}" for c in [*text, *counts]]))
+    fields = [*text, *counts, *times]
+    return (df.withColumns({c: F.coalesce(f"_{c}", c) if c in items.columns else F.col(f"_{c}") for c in fields})
+            .drop("_move", *[f"_{c}" for c in fields]))
 
 
 def delete_items(items: DataFrame, removed: DataFrame) -> DataFrame:

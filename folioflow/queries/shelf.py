@@ -49,10 +49,9 @@ def shelf_fold(spark, d):
 def shelf_incremental_fold(spark, d):
     """The fold of the first half merged with the fold of the rest equals the fold of everything."""
     e = _events(spark, d)
-    half = e.agg((F.max("seq") / 2).cast("bigint").alias("h"))
-    split = e.join(half, F.lit(True))  # one-row side
-    old = S.fold_books(split.filter("seq <= h").drop("h"))
-    new = S.fold_books(split.filter("seq > h").drop("h"))
+    half = (e.agg(F.max("seq")).first()[0] or 0) // 2
+    old = S.fold_books(e.filter(F.col("seq") <= half))
+    new = S.fold_books(e.filter(F.col("seq") > half))
     return S.merge_fold(old, new).select("book_id", "title", "author", "cover_url", "latest_chapter", "parent_id", "implicit", "last_read_chapter_id")
 
 
@@ -121,15 +120,16 @@ def move_violations(spark, d):
 
 
 @query("patch_fold", f"""WITH {SHELF}, pt AS (SELECT o_orderkey AS seq, o_custkey + 1001 AS item_id, CASE WHEN o_orderkey % 3 = 0 THEN 'N' || o_orderkey END AS title,
-    CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 25 + 101 END AS parent_id, o_orderkey % 8 = 0 AS clr FROM orders),
-  g AS (SELECT item_id, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS t, max(seq) FILTER (WHERE clr OR parent_id IS NOT NULL) AS ms,
+    CASE WHEN o_orderkey % 4 = 0 THEN 'https://h/' || o_orderkey END AS url, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 25 + 101 END AS parent_id, o_orderkey % 8 = 0 AS clr FROM orders),
+  g AS (SELECT item_id, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS t, arg_max(url, seq) FILTER (WHERE url IS NOT NULL) AS u, max(seq) FILTER (WHERE clr OR parent_id IS NOT NULL) AS ms,
     arg_max(CASE WHEN clr THEN -1 ELSE parent_id END, seq) FILTER (WHERE clr OR parent_id IS NOT NULL) AS mp FROM pt GROUP BY 1)
-  SELECT s.item_id, coalesce(t, s.title) AS title, CASE WHEN ms IS NULL THEN s.parent_id ELSE nullif(mp, -1) END AS parent_id FROM shelf s LEFT JOIN g ON g.item_id = s.item_id""")
+  SELECT s.item_id, coalesce(t, s.title) AS title, u AS source_url, CASE WHEN ms IS NULL THEN s.parent_id ELSE nullif(mp, -1) END AS parent_id FROM shelf s LEFT JOIN g ON g.item_id = s.item_id""")
 def patch_fold(spark, d):
     patches = table(spark, d, "orders").selectExpr(
         "o_orderkey AS seq", "o_custkey + 1001 AS item_id", "CASE WHEN o_orderkey % 3 = 0 THEN concat(' N', o_orderkey) END AS title",
+        "CASE WHEN o_orderkey % 4 = 0 THEN concat('https://h/', o_orderkey) END AS source_url",
         "CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 25 + 101 END AS parent_id", "o_orderkey % 8 = 0 AS clear_parent")
-    return S.fold_patches(shelf_items(spark, d), patches).select("item_id", "title", "parent_id")
+    return S.fold_patches(shelf_items(spark, d), patches).select("item_id", "title", "source_url", "parent_id")
 
 
 @query("delete_items", f"""WITH RECURSIVE {SHELF}, rm AS (SELECT item_id FROM shelf WHERE item_id = 2 OR item_id % 17 = 0),

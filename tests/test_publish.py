@@ -45,13 +45,22 @@ def test_epub_volume(spark, monkeypatch):
     first = z.infolist()[0]
     assert (first.filename, first.compress_type, z.read("mimetype")) == ("mimetype", zipfile.ZIP_STORED, b"application/epub+zip")
     names = z.namelist()
-    assert {"META-INF/container.xml", "OEBPS/content.opf", "OEBPS/nav.xhtml", "OEBPS/styles.css", "OEBPS/cover.xhtml", "OEBPS/chapter-001.xhtml"} <= set(names)
-    opf = z.read("OEBPS/content.opf").decode()
+    assert {"META-INF/container.xml", "OEBPS/book.opf", "OEBPS/toc.xhtml", "OEBPS/sheet.css", "OEBPS/about.xhtml", "OEBPS/c1.xhtml"} <= set(names)
+    opf = z.read("OEBPS/book.opf").decode()
     assert "Book &amp; Co" in opf and 'properties="cover-image"' in opf and opf.count("<itemref") == 5
-    assert "<img src=" in z.read("OEBPS/chapter-002.xhtml").decode()
-    assert "[图片] /i1.png" in z.read("OEBPS/chapter-001.xhtml").decode()
+    assert "<img " in z.read("OEBPS/c2.xhtml").decode()
+    assert "[图片] /i1.png" in z.read("OEBPS/c1.xhtml").decode()
     second = zipfile.ZipFile(io.BytesIO(bytes(parts[1].content)))
-    assert "OEBPS/chapter-005.xhtml" in second.namelist() and second.testzip() is None
+    assert "OEBPS/c5.xhtml" in second.namelist() and second.testzip() is None
+
+
+def test_missing_bodies_and_embedded_images(spark):
+    books = spark.createDataFrame([("s", "b", "T", "A", None, "", None)], BOOKS)
+    chapters = spark.createDataFrame([("s", "b", "1", "One", None, "", "", 1, True), ("s", "b", "2", "Two", "x\n\n[图片] data:image/png;base64,aGk=", "", "", 2, True)], CHAPTERS)
+    assets = spark.createDataFrame([], "url string, media_type string, data binary")
+    z = zipfile.ZipFile(io.BytesIO(bytes(P.epub_parts(books, chapters, assets, "2024-01-01T00:00:00Z").first().content)))
+    assert z.read("OEBPS/pictures/p1") == b"hi" and "base64" not in z.read("OEBPS/c2.xhtml").decode()
+    assert "# One" in P.txt_parts(books, chapters).first().body and "<h2>One</h2>" in P.html_parts(books, chapters).first().body
 
 
 def test_names_and_formats(spark):
