@@ -15,7 +15,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from folioflow.queries import QUERIES, load_all  # noqa: E402
+from folioflow.queries import QUERIES, load_all, views  # noqa: E402
 from folioflow.session import local_session  # noqa: E402
 
 RUNS = int(os.environ.get("BENCH_RUNS", "1"))
@@ -29,6 +29,7 @@ HEADLINE = ["federated_search", "fuzzy_search", "keyword_index_match", "index_to
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     load_all()
+    views.SPREAD = True  # single-file tables, see there
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")))
     times = {}
     for name in HEADLINE:

@@ -201,7 +201,7 @@ def same_chapter(requests: DataFrame, chapters: DataFrame) -> DataFrame:
             .withColumnRenamed("position", "_p"))
     sizes = chapters.groupBy(*BOOK).agg(F.max("position").alias("_last"))
     clamped = F.greatest(F.lit(0), F.least(F.coalesce("fallback_index", F.lit(0)), F.col("_last")))
-    asked = requests.join(sizes, BOOK, "left").withColumn("_at", F.coalesce(clamped, F.lit(0)))
+    asked = requests.join(sizes, BOOK, "left").withColumn("_at", F.when(F.col("_last").isNull(), F.lit(0)).otherwise(clamped))
     keyed = asked.select("request_id", *BOOK, "_at", F.explode(both).alias("_k"))
     # the least position of a key, and whether the fallback chapter has the key: both combine before the shuffle
     first = keyed.join(side.groupBy(*BOOK, "_k").agg(F.min("_p").alias("_p")), [*BOOK, "_k"]).select("request_id", "_p")

@@ -8,15 +8,3 @@ from pyspark.sql import DataFrame
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; for a file scan, the size of the files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread_small(df: DataFrame, limit: int = 256 << 20) -> DataFrame:
-    """Redistribute a scan too small to split over the cores; a larger scan is left as it is.
-
-    A file with one row group is read by one task however many cores wait.  Below `limit` bytes
-    moving the rows costs less than reading and transforming them alone; above it the scan has
-    splits enough and is never shuffled here.
-    """
-    if 64 << 10 < estimated_bytes(df) <= limit:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df

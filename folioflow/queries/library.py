@@ -241,8 +241,8 @@ def stored_chapter_lookup(spark, d):
     UNION ALL SELECT request_id, l.position FROM req r JOIN lib l ON r.book_id = l.book_id AND r.url = l.url
     UNION ALL SELECT request_id, l.position FROM req r JOIN lib l ON r.book_id = l.book_id AND r.title = l.title AND r.order_index = l.ord5 AND r.order_index <> 0),
   b AS (SELECT request_id, min(p) AS p FROM m GROUP BY 1), z AS (SELECT book_id, max(position) AS last FROM lib GROUP BY 1)
-  SELECT r.request_id, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.request_id = r.request_id AND m.p = coalesce(greatest(0, least(coalesce(fallback_index, 0), last)), 0))
-    THEN coalesce(greatest(0, least(coalesce(fallback_index, 0), last)), 0) ELSE coalesce(p, greatest(0, least(coalesce(fallback_index, 0), last)), 0) END AS matched_index
+  SELECT r.request_id, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.request_id = r.request_id AND m.p = CASE WHEN last IS NULL THEN 0 ELSE greatest(0, least(coalesce(fallback_index, 0), last)) END)
+    THEN CASE WHEN last IS NULL THEN 0 ELSE greatest(0, least(coalesce(fallback_index, 0), last)) END ELSE coalesce(p, greatest(0, least(coalesce(fallback_index, 0), last)), 0) END AS matched_index
   FROM req r LEFT JOIN b ON b.request_id = r.request_id LEFT JOIN z ON z.book_id = r.book_id""")
 def same_chapter(spark, d):
     req = _requests(spark, d).join(_single(spark, d), "request_id", "left_semi")

@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import UNRANKED
-from ..plans.sizing import spread_small
+
+
+#: Deal every table to all cores after reading it, whatever its size.  For benches and tests on one
+#: machine, whose tables are single files that one task would read and transform alone; off elsewhere.
+SPREAD = False
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spread_small(spark.read.parquet(f"{d}/{name}.parquet"))
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if SPREAD else df
 
 
 # ---- search hits: one per distinct (part, supplier) pair ----------------------------------------
