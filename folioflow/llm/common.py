@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.sizing import estimated_bytes
 
 HELD_OUT = 2
+UNKNOWN_SIZE = 1 << 60
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,8 +28,12 @@ def held_out(id_col: str) -> Column:
 
 
 def pieces(df: DataFrame, piece_bytes: int, least: int = 16) -> int:
-    """How many parts of about `piece_bytes` the files below `df` make."""
-    return max(least, math.ceil(estimated_bytes(df) / piece_bytes))
+    """How many parts of about `piece_bytes` the files below `df` make.  Where Spark knows no size (rows
+    of an RDD or a checkpoint), as many as the session's shuffle partitions."""
+    size = estimated_bytes(df)
+    if size >= UNKNOWN_SIZE:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, math.ceil(size / piece_bytes))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int) -> Iterator[pa.RecordBatch]:
