@@ -162,7 +162,7 @@ def test_mixing_takes_the_prefix_of_seeded_epochs(shared, texts):
     taken = defaultdict(list)
     for r in got:
         taken[r["lang"], r["source"]].append(r)
-    hashes = {(r["doc_id"], r["epoch"]): r["h"] for r in docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("epoch"))
+    hashes = {(r["doc_id"], r["epoch"]): r["h"] for r in docs.select("doc_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("epoch"))
               .select("doc_id", "epoch", F.xxhash64(F.lit(5), F.col("epoch"), F.col("doc_id").cast("string")).alias("h")).collect()}
     for k, rows in taken.items():
         assert sum(r["take_tokens"] for r in rows) == budgets[k]
