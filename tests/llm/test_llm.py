@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioflow.llm import bpe, chroma, components, language, lines, mixing, queries, simhash, spotsigs, suffixes, token_files, toxicity
+from folioflow.llm import bpe, chroma, components, language, lines, mixing, queries, resemblance, simhash, spotsigs, suffixes, token_files, toxicity
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 # columns whose names the operators use inside
@@ -306,6 +306,54 @@ def test_simhash_blocks_at_every_level(shared, block):
     assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, by_brute.values()))
 
 
+# ---- resemblance -----------------------------------------------------------------------------------
+
+def near_copies(rng, count, words=120):
+    """Texts with copies of which a few words differ."""
+    out = []
+    for i in range(count):
+        base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+        out.append(" ".join(base))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(words)] = f"x{rng.randrange(5000)}"
+            out.append(" ".join(copy))
+    return out
+
+
+def jaccard_groups(rows):
+    """The least id of each id's group, by all pairs."""
+    sets = {d: {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").split()) else set() for d, t in rows}
+    parent = {d: d for d in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+            x, y = find(parent, a), find(parent, b)
+            parent[max(x, y)] = min(x, y)
+    return {d: find(parent, d) for d in sets}
+
+
+def test_groups_by_jaccard_are_those_of_all_pairs(shared):
+    rng = random.Random(12)
+    notice = " ".join(f"notice{i}" for i in range(60))
+    texts = near_copies(rng, 25) + [f"{notice} {t}" for t in near_copies(rng, 12, 40)] + ["", None, "a", "a", "one two three", " "]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in resemblance.groups(documents(shared, rows)).collect()}
+    want = jaccard_groups(rows)
+    assert got == want and 37 < len(set(want.values())) < len(want)
+    assert resemblance.groups(documents(shared, [])).collect() == []
+
+
+def test_pipeline_drops_copies_that_two_bits_keep(shared):
+    import corpus_pipeline as pipeline
+    rows = list(enumerate(near_copies(random.Random(13), 10)))
+    docs = documents(shared, rows)
+    want = set(jaccard_groups(rows).values())
+    assert {r["doc_id"] for r in pipeline.drop_near_duplicates(shared, docs, "").collect()} == want
+    assert len({r["component_id"] for r in simhash.near_duplicates(docs).collect()}) > len(want)
+
+
 # ---- lines -----------------------------------------------------------------------------------------
 
 def edits_between(a, b):
