@@ -98,11 +98,17 @@ def characters(s: Column) -> Column:
 
 
 def shared_start(a: Column, b: Column, most: int = 1 << 13) -> Column:
-    """Length of the common beginning of two strings, up to about twice `most`; by doubling steps."""
+    """Length of the common beginning of two strings: whole steps of twice `most` as long as they are
+    equal, then halving steps."""
     def longer(size: int) -> Callable[[Column], Column]:
         return lambda n: n + F.when((F.char_length(a) >= n + size) & (F.substring(a, n + 1, F.lit(size)) == F.substring(b, n + 1, F.lit(size))), size).otherwise(0)
 
-    at = F.lit(0)
+    step = 2 * most
+    whole = F.floor(F.char_length(a) / step).cast("int")  # most lines have no such step
+    # a step that differs ends the run: later ones would have to start where it began
+    at = F.when(whole == 0, F.lit(0)).otherwise(F.aggregate(
+        F.sequence(F.lit(0), F.greatest(whole, F.lit(1)) - 1), F.lit(0),
+        lambda n, i: n + F.when((n == i * step) & (F.substring(a, n + 1, F.lit(step)) == F.substring(b, n + 1, F.lit(step))), step).otherwise(0)))
     while most:
         at = let(at, longer(most))
         most //= 2

@@ -389,6 +389,21 @@ def test_banded_distance_and_verification(shared):
         assert df.where(lines.verified(F.col("a"), F.col("b"), k) != (F.col("d") <= k)).count() == 0
 
 
+def test_verification_of_very_long_lines(shared):
+    rng = random.Random(15)
+    rows = []
+    for n in (16384, 20000, 32768, 40000, 50000):
+        a = "".join(rng.choice("abcdef ") for _ in range(n))
+        for places in ((n // 2,), (0,), (n - 1,), (n // 2, n // 2 + 5), (17000 % n, n - 17000), (9, n // 2), (n // 3, n // 2, n - 9)):
+            b = list(a)
+            for i in places:
+                b[i] = "é"
+            rows += [(a, "".join(b), len(set(places)) <= 2), ("".join(b), a, len(set(places)) <= 2)]
+        rows += [(a, a[:n // 2] + a[n // 2 + 1:], True), (a, a[:n // 2] + "é" + a[n // 2:n - 7] + a[n - 6:], True), (a, a, True)]
+    df = shared.createDataFrame(rows, "a string, b string, near boolean")
+    assert df.where(lines.verified(F.col("a"), F.col("b"), 2) != F.col("near")).count() == 0
+
+
 def test_line_links_are_those_of_all_pairs(shared):
     rng = random.Random(6)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(24, 40))).strip().ljust(24, "z") for _ in range(40)]
