@@ -216,15 +216,18 @@ def line_links(lines: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     """(a, b): keys of lines (`key`, `line`) at most `edits` edits apart.
 
     The texts are shuffled once, by the name of a line in index and probes; a line that occurs very often
-    is combined before.  Lines with one name are kept apart by their texts.
+    is combined before.  Lines with one name are kept apart by their texts, and compared with each other.
     """
     once = (lines.where(F.char_length("line") >= max(least_chars, 2 * edits + 2))
             .groupBy(F.col("key.k").alias("k")).agg(F.collect_set(F.struct("key", "line")).alias("all")))
     distinct = once.select("k", F.explode("all").alias("one")).select("k", "one.key", "one.line")
     pairs = candidates(distinct.select("k", "line"), edits)
     a, b = (distinct.select(F.col("k").alias(x), F.col("key").alias(f"key_{x}"), F.col("line").alias(f"line_{x}")) for x in "ab")
-    return (pairs.join(a, "a").join(b, "b").where(verified(F.col("line_a"), F.col("line_b"), edits))
-            .select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+    # candidates are pairs of names, so the lines of one name meet here; few names have more than one
+    inside = (once.where(F.size("all") > 1).select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where("x.key < y.key")
+              .select(F.col("x.key").alias("key_a"), F.col("x.line").alias("line_a"), F.col("y.key").alias("key_b"), F.col("y.line").alias("line_b")))
+    met = pairs.join(a, "a").join(b, "b").select("key_a", "line_a", "key_b", "line_b").unionByName(inside)
+    return met.where(verified(F.col("line_a"), F.col("line_b"), edits)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:

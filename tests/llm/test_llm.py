@@ -415,6 +415,17 @@ def test_line_links_are_those_of_all_pairs(shared):
     assert pairs == {(a, b) for a, b in itertools.combinations(all_lines, 2) if edits_between(a, b) <= 2}
 
 
+def test_lines_of_one_name_are_linked(shared):
+    signs = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ!?.,;:"
+    rows = [(i, f"Order {a} was sent to you on day {b} of it") for i, (a, b) in enumerate(itertools.product(signs, signs))]
+    by_name = defaultdict(list)
+    for r in shared.createDataFrame(rows, "i long, line string").select("line", lines.name_of(F.col("line")).alias("k")).collect():
+        by_name[r["k"]].append(r["line"])
+    same = next(v for v in by_name.values() if len(v) > 1)[:2]
+    found = lines.line_links(lines.lines_of(documents(shared, list(enumerate(same))), "doc_id", "text")).collect()
+    assert len(found) == 1 and found[0]["a"]["k"] == found[0]["b"]["k"] and found[0]["a"] != found[0]["b"]
+
+
 def test_repeated_lines_go_but_copies_stay(shared):
     own = [f"This line number {'abcdefgh'[i]} belongs to one document alone {i * 37}." for i in range(8)]
     common = "A notice that stands under very many of the texts here."
