@@ -10,9 +10,9 @@ in the index holds how often some common letters occur in it, modulo 8; where th
 than `edits` edits can make, lines do not meet, however many share a segment.  Pairs that meet are verified with a banded bit-parallel edit distance: a word of 2 * edits + 1 bits moves down the
 diagonal, one addition and a few bit operations for each character.
 
-Of each class (component of links) the first line by (id, line number) stays, the others go.  A document
-that would lose more than `most_removed` of its characters is a copy, not a text with repeated lines: it
-stays whole, for the operators on documents.
+Of each class (component of links) the first line by (id, line number) stays, the others go.  A caller may
+keep documents whole that would lose more than `most_removed` of their characters; the query and the
+pipeline remove every repeated line (`EVERY_LINE`), so of a group of copies the first alone keeps its text.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .components import components
 
 EDITS = 2
 LEAST_CHARS = 24
-MOST_REMOVED = 0.5
+MOST_REMOVED, EVERY_LINE = 0.5, 1.0
 COUNTED = "entaoirsdlucmhpg"
 
 

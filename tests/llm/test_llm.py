@@ -437,6 +437,21 @@ def test_repeated_lines_go_but_copies_stay(shared):
     assert text[9] == (rows[6][1], 2, 0)  # most of it stands elsewhere: a copy, left to other operators
 
 
+def test_query_and_stage_remove_every_repeated_line(shared, tmp_path):
+    import corpus_pipeline as pipeline
+    own = [f"This line number {'abcdefgh'[i]} belongs to one document alone {i * 37}." for i in range(4)]
+    common = "A notice that stands under very many of the texts here."
+    texts = [f"{own[0]}\n{common}", f"{common}\n{own[0]}!\n{own[1][::-1]}", f"{own[2]}\n{common}\n{own[1][::-1]}", f"{own[2]}\n{common}\n{own[1][::-1]}", f"{common}?\nshort"]
+    want = [texts[0], own[1][::-1], own[2], "", "short"]
+    docs = documents(shared, list(enumerate(texts))).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op7_lines"](shared, str(tmp_path)).collect()}
+    assert [got[i]["kept_sha256"] for i in range(5)] == [hashlib.sha256(t.encode()).hexdigest() for t in want]
+    assert [(got[i]["n_repeated"], got[i]["n_removed"]) for i in range(5)] == [(n, n) for n in (0, 2, 2, 3, 1)]
+    kept = pipeline.drop_repeated_lines(shared, docs, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept} == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
 # ---- suffixes --------------------------------------------------------------------------------------
 
 def test_deep_shallow_order_sorts():
