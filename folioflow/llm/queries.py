@@ -48,7 +48,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings are the texts' bytes as 8-bit samples; every 50th id is searched among all rows."""
     media = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("media"))
-    return chroma.search(media, F.col("id") % 50 == 0)
+    return chroma.search(media, F.col("id") % 50 == 0, likeness=0.0)
 
 
 @query

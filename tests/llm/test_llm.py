@@ -205,6 +205,28 @@ def test_chroma_finds_shifted_and_changed_recordings(shared):
     assert {k for k in got if k[0] != k[1] and 20 not in k} == brute and brute
 
 
+def test_chroma_finds_excerpts_and_short_recordings(shared):
+    rng = np.random.default_rng(8)
+    sounds = {i: rng.integers(0, 256, 16000).astype(np.uint8).tobytes() for i in range(6)}
+    sounds[10] = sounds[0][4800:6400]  # a tenth
+    sounds[11] = sounds[1][3200:6000]
+    for i in range(20, 50):  # short ones, some without any landmark, with a part of theirs
+        sounds[i] = rng.integers(0, 256, 900).astype(np.uint8).tobytes()
+        sounds[100 + i] = sounds[i][:800]
+    sounds[60] = sounds[2][8000:8800]  # short, out of a long one
+    got = {(r["doc_id"], r["match_id"]) for r in chroma.search(shared.createDataFrame(list(sounds.items()), "doc_id long, media binary"), F.lit(True), likeness=0.0).collect()}
+    prints = dict(zip(sounds, chroma.fingerprint_batch(list(sounds.values())), strict=True))
+    assert any(not len(chroma.landmarks(p)) for p in prints.values())
+    brute = set()
+    for a, b in itertools.permutations(prints, 2):
+        _, common, error = chroma.align(prints[a], prints[b])
+        if common >= chroma.LEAST_FRAMES and error <= chroma.ERROR:
+            brute.add((a, b))
+    assert {k for k in got if k[0] != k[1]} == brute
+    parts = {(0, 10), (1, 11), (2, 60)} | {(i, 100 + i) for i in range(20, 50)}
+    assert parts | {(b, a) for a, b in parts} <= brute
+
+
 # ---- language --------------------------------------------------------------------------------------
 
 def test_ppm_code_lengths_are_those_of_a_dictionary_of_contexts():
