@@ -589,5 +589,13 @@ def test_pipeline_stages(shared, sf, tmp_path):
     assert kept["bpe"].count() == kept["mixing"].count()
 
 
+def test_pipeline_rejects_what_op1_calls_toxic(shared, sf, monkeypatch):
+    import corpus_pipeline as pipeline
+    docs = documents(shared, [(i, f"text {i}") for i in range(10)])
+    value = F.col("doc_id") / 10
+    monkeypatch.setattr(toxicity, "score", lambda d, *_: d.select("doc_id", value.alias("score"), (value >= 0.3).cast("int").alias("predicted")))
+    assert sorted(r["doc_id"] for r in pipeline.drop_toxic(shared, docs, sf).collect()) == [0, 1, 2]
+
+
 def test_registered_queries():
     assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(i) for i in range(1, 11)]
