@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chroma, language, lines, mixing, simhash, spotsigs, suffixes, token_files, toxicity
+from . import bpe, chroma, conversation_repair, language, lines, mixing, simhash, spotsigs, suffixes, token_files, toxicity
 from .common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,5 +85,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_counts(read(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(read(spark, sf_dir, "conversations"))
+
+
 ORACLES["op10_token_counts"] = r"""
 SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')) AS BIGINT) AS n_tokens FROM documents"""
