@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chroma, conversation_repair, conversation_trie, language, lines, mixing, simhash, spotsigs, suffixes, token_files, toxicity
+from . import bpe, chroma, conversation_repair, conversation_trie, language, lines, mixing, ngram_join, simhash, spotsigs, suffixes, token_files, toxicity
 from .common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,5 +95,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.shared_prefixes(read(spark, sf_dir, "conversations"))
 
 
+@query
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(read(spark, sf_dir, "documents"))
+
+
 ORACLES["op10_token_counts"] = r"""
 SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')) AS BIGINT) AS n_tokens FROM documents"""
