@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import first_non_blank, is_blank, nullif_blank, trim_u
+from ..plans.checkpoints import materialise
 from ..plans.ordering import block_of, number_rows
 from .lines import is_reusable, is_reusable_for
 
@@ -54,11 +55,12 @@ def pending_chapters(plan: DataFrame, stored: DataFrame, sources: DataFrame | No
 
 
 def dedupe_chapters(chapters: DataFrame, order: str, block: Column | None = None) -> DataFrame:
-    """First of each chapter id in a book, blank ids dropped, renumbered from 1."""
+    """First of each chapter id in a book, blank ids dropped, renumbered from 1.  NULL books are one
+    group; a NULL order comes first.  What is left is written once and then numbered."""
     rest = [c for c in chapters.columns if c not in CHAPTER]
     once = (chapters.filter(F.coalesce("chapter_id", F.lit("")) != "")
-            .groupBy(*CHAPTER).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_c")).select(*CHAPTER, "_c.*"))
-    return renumber(once, order, block)
+            .groupBy(*CHAPTER).agg(F.min_by(F.struct(*rest), F.struct(order)).alias("_c")).select(*CHAPTER, "_c.*"))
+    return renumber(materialise(once), order, block)
 
 
 def renumber(chapters: DataFrame, order: str, block: Column | None = None, out: str = "order_index") -> DataFrame:

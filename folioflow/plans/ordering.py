@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from .checkpoints import materialise
 
-BLOCK = "_block"
+KEY, BLOCK = "_key", "_block"
 
 
 def block_of(order: Column | str, size: int) -> Column:
@@ -22,16 +22,27 @@ def block_of(order: Column | str, size: int) -> Column:
     return F.floor(c / F.lit(size))
 
 
+def _keyed(df: DataFrame, keys: list[str], block: Column) -> DataFrame:
+    """Rows with their key and their block inside it, as structs: a struct equals another one also
+    where fields are NULL, so NULL keys and NULL blocks (which come first) are kept by every join."""
+    return df.withColumn(KEY, F.struct(*keys)).withColumn(BLOCK, F.struct(KEY, block.alias("block")))
+
+
+def _earlier_blocks() -> WindowSpec:
+    return Window.partitionBy(f"{BLOCK}.{KEY}").orderBy(f"{BLOCK}.block").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list, out: str, block: Column) -> DataFrame:
-    """Add the 1-based position inside `keys`.  `block` must not decrease along `order`."""
-    rows = df.withColumn(BLOCK, block)
-    counts = rows.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, BLOCK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    return (rows.join(starts, [*keys, BLOCK])
+    """Add the 1-based position inside `keys`.  `block` must not decrease along `order`; NULL keys are
+    one group, NULL orders come first.  The rows are read twice, the second time for keys and blocks
+    alone: materialise a `df` that is dear to compute."""
+    rows = _keyed(df, keys, block)
+    counts = rows.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(BLOCK, F.coalesce(F.sum("_n").over(_earlier_blocks()), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(BLOCK).orderBy(*order)
+    return (rows.join(starts, BLOCK)
             .withColumn(out, (F.col("_start") + F.row_number().over(inside)).cast("bigint"))
-            .drop(BLOCK, "_start"))
+            .drop(KEY, BLOCK, "_start"))
 
 
 def number_rows_any(df: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
@@ -43,26 +54,23 @@ def number_rows_any(df: DataFrame, keys: list[str], order: list, out: str) -> Da
 
 def running(df: DataFrame, keys: list[str], order: str, block: Column,
             **outs: tuple[str, Column]) -> DataFrame:
-    """Inclusive running values along `order`.
+    """Inclusive running values along `order`, NULLs of `keys` and `order` as in `number_rows`.
 
     Each output is `name=(kind, column)` with kind `last` (last non-null), `sum` or `max`.
     """
-    rows = df.withColumn(BLOCK, block).withColumns({f"_v_{n}": c for n, (_, c) in outs.items()})
+    rows = _keyed(df, keys, block).withColumns({f"_v_{n}": c for n, (_, c) in outs.items()})
     total = {
-        "last": lambda v: F.max_by(v, F.when(v.isNotNull(), F.col(order))),
+        "last": lambda v: F.max_by(v, F.when(v.isNotNull(), F.struct(order))),
         "sum": F.sum, "max": F.max,
     }
     over = {
         "last": lambda c, w: F.last(c, ignorenulls=True).over(w),
         "sum": lambda c, w: F.sum(c).over(w), "max": lambda c, w: F.max(c).over(w),
     }
-    sums = rows.groupBy(*keys, BLOCK).agg(
-        *[total[k](F.col(f"_v_{n}")).alias(f"_t_{n}") for n, (k, _) in outs.items()])
-    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*keys, BLOCK, *[over[k](F.col(f"_t_{n}"), before).alias(f"_c_{n}")
-                                        for n, (k, _) in outs.items()])
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(carry, [*keys, BLOCK])
+    sums = rows.groupBy(BLOCK).agg(*[total[k](F.col(f"_v_{n}")).alias(f"_t_{n}") for n, (k, _) in outs.items()])
+    carry = sums.select(BLOCK, *[over[k](F.col(f"_t_{n}"), _earlier_blocks()).alias(f"_c_{n}") for n, (k, _) in outs.items()])
+    inside = Window.partitionBy(BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(carry, BLOCK)
     merge = {
         "last": lambda here, c: F.coalesce(here, c),
         "sum": lambda here, c: F.coalesce(here, F.lit(0)) + F.coalesce(c, F.lit(0)),
@@ -70,7 +78,7 @@ def running(df: DataFrame, keys: list[str], order: str, block: Column,
     }
     return (joined.withColumns({n: merge[k](over[k](F.col(f"_v_{n}"), inside), F.col(f"_c_{n}"))
                                 for n, (k, _) in outs.items()})
-            .drop(BLOCK, *[f"_v_{n}" for n in outs], *[f"_c_{n}" for n in outs]))
+            .drop(KEY, BLOCK, *[f"_v_{n}" for n in outs], *[f"_c_{n}" for n in outs]))
 
 
 def with_lookback(df: DataFrame, at: Column, block: int, lookback: int) -> DataFrame:
@@ -98,13 +106,13 @@ def join_text(df: DataFrame, keys: list[str], order: str, text: str, sep: str, p
 
 def with_previous(df: DataFrame, keys: list[str], order: str, block: Column, **outs: str) -> DataFrame:
     """Values of the row before along `order`, as `name=column`; NULL on the first row of a key."""
-    rows = df.withColumn(BLOCK, block)
+    rows = _keyed(df, keys, block)
     packed = F.struct(*[F.col(c).alias(n) for n, c in outs.items()])
-    ends = rows.groupBy(*keys, BLOCK).agg(F.max_by(packed, F.col(order)).alias("_e"))
-    prior = Window.partitionBy(*keys).orderBy(BLOCK)
-    carry = ends.select(*keys, BLOCK, F.lag("_e").over(prior).alias("_e"))
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
-    return (rows.join(carry, [*keys, BLOCK])
+    ends = rows.groupBy(BLOCK).agg(F.max_by(packed, F.struct(order)).alias("_e"))
+    prior = Window.partitionBy(f"{BLOCK}.{KEY}").orderBy(f"{BLOCK}.block")
+    carry = ends.select(BLOCK, F.lag("_e").over(prior).alias("_e"))
+    inside = Window.partitionBy(BLOCK).orderBy(order)
+    return (rows.join(carry, BLOCK)
             .withColumn("_p", F.coalesce(F.lag(packed).over(inside), F.col("_e")))
             .withColumns({n: F.col(f"_p.{n}") for n in outs})
-            .drop(BLOCK, "_e", "_p"))
+            .drop(KEY, BLOCK, "_e", "_p"))

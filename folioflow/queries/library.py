@@ -57,12 +57,12 @@ def pending_chapters(spark, d):
 # A supplier's line items are its chapter list; a part listed twice is the same chapter.
 def _listing(spark, d):
     return table(spark, d, "lineitem").selectExpr(
-        "'catalog' AS site", "CAST(l_suppkey AS STRING) AS book_id",
+        "'catalog' AS site", "CAST(nullif(l_suppkey, 3) AS STRING) AS book_id",
         "CASE WHEN l_partkey % 50 = 0 THEN '' ELSE CAST(l_partkey AS STRING) END AS chapter_id",
         "(l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS pos", "l_returnflag AS title")
 
 
-_LISTING = """listing AS (SELECT CAST(l_suppkey AS VARCHAR) AS book_id, CASE WHEN l_partkey % 50 = 0 THEN '' ELSE
+_LISTING = """listing AS (SELECT CAST(nullif(l_suppkey, 3) AS VARCHAR) AS book_id, CASE WHEN l_partkey % 50 = 0 THEN '' ELSE
     CAST(l_partkey AS VARCHAR) END AS chapter_id, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS pos, l_returnflag AS title FROM lineitem),
   once AS (SELECT book_id, chapter_id, min(pos) AS pos, arg_min(title, pos) AS title FROM listing WHERE chapter_id <> '' GROUP BY 1, 2),
   numbered AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY pos) AS order_index FROM once)"""
@@ -78,15 +78,15 @@ def dedupe_chapters(spark, d):
     return _numbered(spark, d).select("book_id", "chapter_id", "title", "order_index")
 
 
-@query("renumber_chapters", "SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY "
-       "l_orderkey * 10 + l_linenumber, l_partkey) AS n FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_suppkey, l_orderkey, l_linenumber) = 1")
+@query("renumber_chapters", """SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY nullif(l_suppkey, 5) ORDER BY
+  pos NULLS FIRST, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM (SELECT *, CASE WHEN l_orderkey % 70 = 1 THEN NULL ELSE l_orderkey * 10 + l_linenumber END AS pos FROM lineitem)""")
 def renumber_chapters(spark, d):
+    """Line items of a supplier in order; some have no supplier, some no order."""
     li = table(spark, d, "lineitem").selectExpr(
-        "'catalog' AS site", "l_suppkey AS book_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        "l_orderkey * 10 + l_linenumber AS pos")
-    n = number_rows(li, ["site", "book_id"], [F.col("pos"), F.col("l_partkey")], "n", block_of("pos", 20_000))
-    same = li.groupBy("book_id", "pos").agg(F.count(F.lit(1)).alias("c")).filter("c = 1")
-    return n.join(same, ["book_id", "pos"]).select("l_suppkey", "l_orderkey", "l_linenumber", "n")
+        "'catalog' AS site", "nullif(l_suppkey, 5) AS book_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        "CASE WHEN l_orderkey % 70 = 1 THEN NULL ELSE l_orderkey * 10 + l_linenumber END AS pos")
+    order = [F.col(c).asc_nulls_first() for c in ("pos", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    return number_rows(li, ["site", "book_id"], order, "n", block_of("pos", 20_000)).select("l_suppkey", "l_orderkey", "l_linenumber", "n")
 
 
 @query("chapter_range", f"""WITH {_LISTING}, r AS (SELECT CAST(s_suppkey AS VARCHAR) AS book_id,
@@ -103,10 +103,16 @@ def chapter_range(spark, d):
     return L.chapter_range(_numbered(spark, d), req).select("book_id", "chapter_id", "order_index")
 
 
-@query("volume_fill", """SELECT conv_id, turn AS pos, coalesce(last_value(CASE WHEN role = 'user' THEN 'Volume ' || turn END IGNORE NULLS)
-  OVER (PARTITION BY conv_id ORDER BY turn), '') AS volume FROM conversations""")
+_SCATTERED = ["CASE WHEN conv_id % 10 <> 3 THEN conv_id END AS book", "CASE WHEN conv_id % 10 <> 4 OR turn <> 1 THEN conv_id * 1000 + turn END AS place"]
+
+
+@query("volume_fill", f"""WITH x AS (SELECT conv_id, turn, role, {', '.join(_SCATTERED)} FROM conversations)
+  SELECT conv_id, turn AS pos, coalesce(last_value(CASE WHEN role = 'user' THEN 'Volume ' || turn END IGNORE NULLS)
+  OVER (PARTITION BY book ORDER BY place NULLS FIRST), '') AS volume FROM x""")
 def volume_fill(spark, d):
-    return L.forward_fill(turns(spark, d), ["conv_id"], "pos", "heading").select("conv_id", "pos", "volume")
+    """A tenth of the conversations are one group without a name, another tenth have a turn without a place."""
+    rows = turns(spark, d).withColumn("turn", F.col("pos")).selectExpr("*", *_SCATTERED)
+    return L.forward_fill(rows, ["book"], "place", "heading").select("conv_id", "pos", "volume")
 
 
 @query("collect_after_marker", """WITH m AS (SELECT conv_id, min(turn) AS f FROM conversations WHERE role = 'assistant' GROUP BY 1)
@@ -242,7 +248,7 @@ def stored_chapter_lookup(spark, d):
     UNION ALL SELECT request_id, l.position FROM req r JOIN lib l ON r.book_id = l.book_id AND r.title = l.title AND r.order_index = l.ord5 AND r.order_index <> 0),
   b AS (SELECT request_id, min(p) AS p FROM m GROUP BY 1), z AS (SELECT book_id, max(position) AS last FROM lib GROUP BY 1)
   SELECT r.request_id, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.request_id = r.request_id AND m.p = CASE WHEN last IS NULL THEN 0 ELSE greatest(0, least(coalesce(fallback_index, 0), last)) END)
-    THEN CASE WHEN last IS NULL THEN 0 ELSE greatest(0, least(coalesce(fallback_index, 0), last)) END ELSE coalesce(p, greatest(0, least(coalesce(fallback_index, 0), last)), 0) END AS matched_index
+    THEN CASE WHEN last IS NULL THEN 0 ELSE greatest(0, least(coalesce(fallback_index, 0), last)) END ELSE coalesce(p, CASE WHEN last IS NULL THEN 0 ELSE greatest(0, least(coalesce(fallback_index, 0), last)) END) END AS matched_index
   FROM req r LEFT JOIN b ON b.request_id = r.request_id LEFT JOIN z ON z.book_id = r.book_id""")
 def same_chapter(spark, d):
     req = _requests(spark, d).join(_single(spark, d), "request_id", "left_semi")

@@ -29,3 +29,11 @@ def test_rank_limits_are_applied_before_the_shuffle(spark, sf, name):
 def test_scans_read_only_what_they_need(spark, sf):
     p = plan(QUERIES["pending_chapters"](spark, sf))
     assert "n_chars" not in "".join(re.findall(r"ReadSchema: [^\n]*", p))
+
+
+@pytest.mark.parametrize("name", ["dedupe_chapters", "context_window", "chapter_range", "chapter_page", "renumber_chapters"])
+def test_ordered_queries_read_their_table_once(spark, sf, name):
+    # what is numbered is written once; a plain table is read a second time for its keys and blocks alone
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan(QUERIES[name](spark, sf)).split("== Physical Plan ==")[-1])
+    wide = [s for s in scans if "l_orderkey" in s and s.count(",") > 2]
+    assert len(wide) <= 1
