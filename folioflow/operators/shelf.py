@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,32 +106,43 @@ def history(items: DataFrame, limit: int = 0) -> DataFrame:
 
 # ---- trees ------------------------------------------------------------------------------------
 
-def _folder_paths(folders: DataFrame) -> DataFrame:
-    """(item_id, path, cycle) of the folders alone, however deep; lineage is cut every eight levels."""
-    up = folders.select(F.col("item_id").alias("_cursor"), F.col("parent_id").alias("_next"))
-    walking = folders.select("item_id", F.array("item_id").alias("path"), F.col("parent_id").alias("_cursor"), F.lit(False).alias("cycle"))
-    done = None
-    for depth in count():
-        # an unknown parent, a finished path or a repeated id stops the walk
-        ended = walking.filter(F.col("_cursor").isNull() | F.col("cycle")).select("item_id", "path", "cycle")
-        done = ended if done is None else done.unionByName(ended)
-        going = walking.filter(F.col("_cursor").isNotNull() & ~F.col("cycle")).join(up, "_cursor", "left")
-        walking = going.select(
-            "item_id", F.concat(F.array("_cursor"), F.col("path")).alias("path"),
-            F.array_contains("path", F.col("_cursor")).alias("cycle"), F.col("_next").alias("_cursor"))
-        if depth % 8 == 7:
-            walking = materialise(walking)
-        if not walking.take(1):
-            return done
+def folder_paths(folders: DataFrame) -> DataFrame:
+    """(item_id, path, cycle) of the folders: ids from the root to each, however deep.
+
+    Every folder points at its parent; in each round all pointers and the paths they stand for are
+    doubled by one join, so a tree of a million levels takes twenty rounds.  A round is written to the
+    checkpoint folder.  An unknown parent begins a path; parents that form a cycle give the path up to
+    the first repeated id, which stands in front.
+    """
+    open_ = F.col("next").isNotNull() & ~F.col("cycle")
+    now = folders.select("item_id", F.array("item_id").alias("path"), F.col("parent_id").alias("next"), F.lit(False).alias("cycle"))
+    while True:
+        now = materialise(now)
+        if now.filter(open_).isEmpty():
+            return now.select("item_id", _up_to_repeat("path", "cycle").alias("path"), "cycle")
+        step = now.select(F.col("item_id").alias("next"), F.col("path").alias("_above"), F.col("next").alias("_further"), F.col("cycle").alias("_round"))
+        going = now.filter(open_).join(step, "next", "left")
+        path = F.concat(F.coalesce("_above", F.array("next")), "path")
+        repeats = F.coalesce("_round", F.lit(False)) | (F.size(F.array_distinct("path")) < F.size("path"))
+        moved = going.select("item_id", path.alias("path"), F.col("_further").alias("next"), "_round").select("item_id", "path", "next", repeats.alias("cycle"))
+        now = now.filter(~open_).unionByName(moved)
+
+
+def _up_to_repeat(path: str, cycle: str) -> Column:
+    """The end of a path from its last repeated id on; other paths as they are."""
+    p = F.col(path)
+    later = lambda i: F.slice(p, i + 2, F.size(p))
+    at = F.array_max(F.transform(p, lambda x, i: F.when(F.array_contains(later(i), x), i + 1)))
+    return F.when(F.col(cycle), F.slice(p, F.coalesce(at, F.lit(1)), F.size(p))).otherwise(p)
 
 
 def breadcrumbs(items: DataFrame) -> DataFrame:
     """Path of ids from the root to each item, and whether its parents form a cycle.
 
-    Only folders have children, so the level-by-level walk runs over the folders, and every other
-    item takes its folder's path in one join.
+    Only folders have children, so the pointers are doubled over the folders, and every other item
+    takes its folder's path in one join.
     """
-    paths = _folder_paths(items.filter(F.col("kind") == "folder"))
+    paths = folder_paths(items.filter(F.col("kind") == "folder"))
     above = paths.select(F.col("item_id").alias("parent_id"), F.col("path").alias("_path"), F.col("cycle").alias("_cycle"))
     others = items.filter(F.col("kind") != "folder").select("item_id", "parent_id").join(above, "parent_id", "left")
     known = F.coalesce("_path", F.when(F.col("parent_id").isNotNull(), F.array("parent_id")), F.array().cast("array<bigint>"))
@@ -141,44 +150,58 @@ def breadcrumbs(items: DataFrame) -> DataFrame:
                                            F.coalesce("_cycle", F.lit(False)).alias("cycle")))
 
 
+def _ancestors(folders: DataFrame) -> DataFrame:
+    """(folder, ancestor, up): each folder with itself (up 0) and what is above it, every id once."""
+    paths = folder_paths(folders)
+    once = F.when(F.col("cycle"), F.slice("path", 2, F.size("path"))).otherwise(F.col("path"))
+    return paths.select(F.col("item_id").alias("folder"), F.posexplode(F.reverse(once)).alias("up", "ancestor"))
+
+
 def descendants(items: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, item, depth) for everything below each root.
+    """(root, item, depth) for everything below each root: the roots on the path of an item's folder.
+    In a cycle of parents every item is below the others once."""
+    above = _ancestors(items.filter(F.col("kind") == "folder"))
+    wanted = roots.select(F.col("item_id").alias("ancestor")).distinct()
+    reached = above.join(wanted, "ancestor")
+    below = items.select(F.col("parent_id").alias("folder"), "item_id")
+    return (reached.join(below, "folder").filter(F.col("ancestor") != F.col("item_id"))
+            .select(F.col("ancestor").alias("root_id"), "item_id", (F.col("up") + 1).alias("depth")))
 
-    The breadth-first walk runs over the folders; the items of all reached folders are then one
-    join.  Cycles stop where an id repeats.
-    """
-    edges = items.filter(F.col("kind") == "folder").select(F.col("parent_id").alias("_at"), "item_id")
-    level = roots.select(F.col("item_id").alias("root_id"), F.col("item_id").alias("_at"), F.array("item_id").alias("_seen"),
-                         F.lit(0).alias("_depth"))
-    reached = level
-    for depth in count(1):
-        level = level.join(edges, "_at").filter(~F.array_contains("_seen", F.col("item_id"))).select(
-            "root_id", F.col("item_id").alias("_at"), F.concat("_seen", F.array("item_id")).alias("_seen"), F.lit(depth).alias("_depth"))
-        if depth % 8 == 0:
-            level = materialise(level)
-        if not level.take(1):
-            break
-        reached = reached.unionByName(level)
-    below = items.select(F.col("parent_id").alias("_at"), "item_id")
-    return (reached.join(below, "_at").filter(~F.array_contains("_seen", F.col("item_id")))
-            .select("root_id", "item_id", (F.col("_depth") + 1).alias("depth")))
-
-
-def move_violations(moves: DataFrame, items: DataFrame, below: DataFrame) -> DataFrame:
+
+def move_violations(moves: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of (item_id, new_parent) that must be refused, with the first broken rule: into itself,
-    a folder below another item, a parent that is missing or no folder, into its own subtree."""
+    a folder below another item, a parent that is missing or no folder, into its own subtree (the item
+    is on the new parent's path)."""
     me = items.select("item_id", F.col("kind").alias("_kind"))
+    paths = folder_paths(items.filter(F.col("kind") == "folder")).select(F.col("item_id").alias("_folder"), F.col("path").alias("_path"))
     parent = items.select(F.col("item_id").alias("new_parent"), F.col("kind").alias("_parent_kind"))
-    inside = below.select(F.col("root_id").alias("item_id"), F.col("item_id").alias("new_parent")).distinct().withColumn("_in", F.lit(True))
-    df = (moves.join(me, "item_id").join(parent, "new_parent", "left").join(inside, ["item_id", "new_parent"], "left"))
+    df = moves.join(me, "item_id").join(parent, "new_parent", "left").join(paths, F.col("new_parent") == F.col("_folder"), "left")
     why = (F.when(F.col("new_parent") == F.col("item_id"), F.lit("itself"))
            .when(F.col("_kind") == "folder", F.lit("folder below root"))
-           .when(F.col("_parent_kind").isNull(), F.lit("parent missing"))
-           .when(F.col("_parent_kind") != "folder", F.lit("parent is no folder"))
-           .when(F.col("_in"), F.lit("own subtree")))
+           .otherwise(_parent_fault(F.col("_parent_kind"))))
+    why = F.coalesce(why, F.when(F.array_contains("_path", F.col("item_id")), F.lit("own subtree")))
     return df.withColumn("violation", why).filter(F.col("violation").isNotNull()).select("item_id", "new_parent", "violation")
 
 
+def _parent_fault(kind: Column) -> Column:
+    return F.when(kind.isNull(), F.lit("parent missing")).when(kind != "folder", F.lit("parent is no folder"))
+
+
+def refused_changes(changes: DataFrame, items: DataFrame) -> DataFrame:
+    """Additions and patches (item_id, seq, parent_id) that name a parent which is missing, no folder
+    or the item itself, or give a folder a parent, with the reason."""
+    parent = items.select(F.col("item_id").alias("parent_id"), F.col("kind").alias("_parent_kind"))
+    me = items.select("item_id", F.col("kind").alias("_kind"))
+    df = changes.filter(F.col("parent_id").isNotNull()).select("item_id", "seq", "parent_id").join(parent, "parent_id", "left").join(me, "item_id", "left")
+    why = F.when(F.col("parent_id") == F.col("item_id"), F.lit("itself")).when(F.col("_kind") == "folder", F.lit("folder below root")).otherwise(_parent_fault(F.col("_parent_kind")))
+    return df.withColumn("violation", why).filter(F.col("violation").isNotNull()).select("item_id", "seq", "parent_id", "violation")
+
+
+def accepted_changes(changes: DataFrame, items: DataFrame) -> DataFrame:
+    """Changes without those that are refused; a refused one changes nothing at all."""
+    return changes.join(refused_changes(changes, items).select("item_id", "seq"), ["item_id", "seq"], "left_anti")
+
+
 def fold_patches(items: DataFrame, patches: DataFrame) -> DataFrame:
     """Apply partial updates in order: NULL leaves a field, texts are trimmed, counts clamp at zero, a
     reading time is taken as it is, and a clear-parent patch moves the item to the root."""
@@ -203,11 +226,11 @@ def delete_items(items: DataFrame, removed: DataFrame) -> DataFrame:
     """Shelf after deletions.  Folders take everything below them; books that were read stay as
     implicit rows at the root, all else goes."""
     ids = removed.select("item_id").distinct()
-    folders = items.filter(F.col("kind") == "folder").join(ids, "item_id", "left_semi")
-    below = descendants(items, folders).select("item_id")
-    gone = ids.unionByName(below).distinct().withColumn("_gone", F.lit(True))
-    df = items.join(gone, "item_id", "left")
+    emptied = _ancestors(items.filter(F.col("kind") == "folder")).join(ids, F.col("ancestor") == F.col("item_id"), "left_semi").select("folder").distinct()
+    hit = F.col("_below").isNotNull() | F.col("_named").isNotNull()
+    df = (items.join(emptied.withColumn("_below", F.lit(True)), F.col("parent_id") == F.col("folder"), "left").drop("folder")
+          .join(ids.withColumn("_named", F.lit(True)), "item_id", "left").withColumn("_gone", hit).drop("_below", "_named"))
     read_book = (F.col("kind") == "book") & F.col("last_read_at").isNotNull()
-    kept = df.filter(F.col("_gone").isNull() | read_book)
-    return (kept.withColumn("implicit", F.when(F.col("_gone").isNotNull(), F.lit(True)).otherwise(F.col("implicit")))
-            .withColumn("parent_id", F.when(F.col("_gone").isNull(), F.col("parent_id"))).drop("_gone"))
+    kept = df.filter(~F.col("_gone") | read_book)
+    return (kept.withColumn("implicit", F.col("_gone") | F.col("implicit"))
+            .withColumn("parent_id", F.when(~F.col("_gone"), F.col("parent_id"))).drop("_gone"))

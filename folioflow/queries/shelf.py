@@ -49,9 +49,8 @@ def shelf_fold(spark, d):
 def shelf_incremental_fold(spark, d):
     """The fold of the first half merged with the fold of the rest equals the fold of everything."""
     e = _events(spark, d)
-    half = (e.agg(F.max("seq")).first()[0] or 0) // 2
-    old = S.fold_books(e.filter(F.col("seq") <= half))
-    new = S.fold_books(e.filter(F.col("seq") > half))
+    middle = e.agg((F.max("seq") / 2).alias("_half"))
+    old, new = (S.fold_books(e.join(middle, on).drop("_half")) for on in (F.col("seq") <= F.col("_half"), F.col("seq") > F.col("_half")))
     return S.merge_fold(old, new).select("book_id", "title", "author", "cover_url", "latest_chapter", "parent_id", "implicit", "last_read_chapter_id")
 
 
@@ -70,9 +69,9 @@ def shelf_listing(spark, d):
             .select("item_id", "kind", "title", "sort", "child_count"))
 
 
-@query("folder_contents", f"WITH {SHELF} SELECT item_id, kind, sort FROM shelf WHERE NOT implicit AND parent_id = 103 ORDER BY kind, sort, item_id LIMIT 30")
+@query("folder_contents", f"WITH {SHELF} SELECT item_id, kind, sort FROM shelf WHERE NOT implicit AND parent_id = 103 ORDER BY kind, sort, item_id")
 def folder_contents(spark, d):
-    return S.visible_items(shelf_items(spark, d), 103).orderBy(*S.shelf_order()).limit(30).select("item_id", "kind", "sort")
+    return S.visible_items(shelf_items(spark, d), 103).orderBy(*S.shelf_order()).select("item_id", "kind", "sort")
 
 
 @query("child_counts", f"WITH {SHELF} SELECT parent_id, count(*) AS child_count FROM shelf WHERE NOT implicit AND parent_id IS NOT NULL GROUP BY 1")
@@ -116,7 +115,7 @@ def descendants(spark, d):
 def move_violations(spark, d):
     items = shelf_items(spark, d)
     moves = items.selectExpr("item_id", "CASE item_id % 4 WHEN 0 THEN item_id WHEN 1 THEN 102 WHEN 2 THEN 1003 ELSE 99 END AS new_parent")
-    return S.move_violations(moves, items, S.descendants(items, items.filter("kind = 'folder'")))
+    return S.move_violations(moves, items)
 
 
 @query("patch_fold", f"""WITH {SHELF}, pt AS (SELECT o_orderkey AS seq, o_custkey + 1001 AS item_id, CASE WHEN o_orderkey % 3 = 0 THEN 'N' || o_orderkey END AS title,
@@ -140,3 +139,54 @@ def patch_fold(spark, d):
 def delete_items(spark, d):
     items = shelf_items(spark, d)
     return S.delete_items(items, items.filter("item_id = 2 OR item_id % 17 = 0")).select("item_id", "parent_id", "implicit")
+
+
+def _chains(spark, d):
+    """Customers as folders inside each other, four hundred levels deep, and their orders as books."""
+    folders = table(spark, d, "customer").selectExpr(
+        "c_custkey AS item_id", "CASE WHEN c_custkey % 400 <> 0 THEN c_custkey - 1 END AS parent_id", "'folder' AS kind", "false AS implicit",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS last_read_at")
+    books = table(spark, d, "orders").selectExpr("o_orderkey + 1000000000L AS item_id", "o_custkey AS parent_id", "'book' AS kind", "false AS implicit",
+                                                 "CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS TIMESTAMP_NTZ) END AS last_read_at")
+    return folders.unionByName(books)
+
+
+# what a folder's key says about its chain, since every key from 0 on is a customer
+_CHAIN = """chain AS (SELECT c_custkey AS item_id, c_custkey // 400 * 400 AS top FROM customer),
+  book AS (SELECT o_orderkey + 1000000000 AS item_id, o_custkey AS parent_id, o_orderkey % 3 = 0 AS was_read FROM orders)"""
+
+
+@query("deep_breadcrumbs", f"""WITH RECURSIVE {_CHAIN}, up AS (SELECT c_custkey AS item_id, c_custkey AS cursor, CAST(c_custkey AS VARCHAR) AS path FROM customer
+  UNION ALL SELECT item_id, cursor - 1, (cursor - 1) || '/' || path FROM up WHERE cursor % 400 <> 0),
+  f AS (SELECT item_id, path FROM up WHERE cursor % 400 = 0)
+  SELECT item_id, md5(path) AS h FROM f UNION ALL SELECT b.item_id, md5(path || '/' || b.item_id) FROM book b JOIN f ON f.item_id = b.parent_id""")
+def deep_breadcrumbs(spark, d):
+    return S.breadcrumbs(_chains(spark, d)).select("item_id", F.md5(F.array_join("path", "/")).alias("h"))
+
+
+@query("deep_descendants", f"""WITH {_CHAIN}, r AS (SELECT c_custkey AS root_id FROM customer WHERE c_custkey % 50 = 0),
+  below AS (SELECT root_id, item_id, item_id - root_id AS depth FROM r JOIN chain ON item_id > root_id AND top = root_id // 400 * 400)
+  SELECT root_id, count(*) AS n, CAST(sum(depth) AS BIGINT) AS depths FROM (SELECT * FROM below UNION ALL SELECT root_id, b.item_id, depth + 1 FROM below JOIN book b ON b.parent_id = below.item_id
+    UNION ALL SELECT root_id, b.item_id, 1 FROM r JOIN book b ON b.parent_id = root_id) GROUP BY root_id""")
+def deep_descendants(spark, d):
+    items = _chains(spark, d)
+    below = S.descendants(items, items.filter("kind = 'folder' AND item_id % 50 = 0"))
+    return below.groupBy("root_id").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("depths"))
+
+
+@query("deep_delete", f"""WITH {_CHAIN}, cut AS (SELECT item_id, top, item_id % 400 >= 300 AS gone FROM chain)
+  SELECT item_id, CASE WHEN item_id <> top THEN item_id - 1 END AS parent_id, false AS implicit FROM cut WHERE NOT gone
+  UNION ALL SELECT b.item_id, CASE WHEN NOT gone THEN parent_id END, gone FROM book b JOIN cut ON cut.item_id = parent_id WHERE NOT gone OR was_read""")
+def deep_delete(spark, d):
+    """The three hundredth folder of each chain goes, with what is below it."""
+    items = _chains(spark, d)
+    return S.delete_items(items, items.filter("kind = 'folder' AND item_id % 400 = 300")).select("item_id", "parent_id", "implicit")
+
+
+@query("refused_patches", f"""WITH {SHELF}, pt AS (SELECT o_orderkey AS seq, o_custkey + 1001 AS item_id, CASE WHEN o_orderkey % 5 < 3 THEN o_custkey % 30 + 101 ELSE o_custkey % 9 + 1000 END AS parent_id FROM orders)
+  SELECT pt.item_id, seq, pt.parent_id, CASE WHEN pt.parent_id = pt.item_id THEN 'itself' WHEN p.kind IS NULL THEN 'parent missing' WHEN p.kind <> 'folder' THEN 'parent is no folder' END AS violation
+  FROM pt LEFT JOIN shelf p ON p.item_id = pt.parent_id WHERE pt.parent_id = pt.item_id OR p.kind IS NULL OR p.kind <> 'folder'""")
+def refused_patches(spark, d):
+    patches = table(spark, d, "orders").selectExpr("o_orderkey AS seq", "o_custkey + 1001 AS item_id",
+                                                   "CASE WHEN o_orderkey % 5 < 3 THEN o_custkey % 30 + 101 ELSE o_custkey % 9 + 1000 END AS parent_id")
+    return S.refused_changes(patches, shelf_items(spark, d))
