@@ -257,12 +257,36 @@ def zipped_title_lists(spark, d):
 
 # ---- catalogs and snapshots ---------------------------------------------------------------------------
 
-@query("decoded_pages", "SELECT doc_id, md5(text) AS h FROM documents")
+#: Text of a page, its bytes in a charset, and what they read as.
+_CHARSETS = [("GB2312", "C4E3BAC3", "你好"), ("gbk", "D6D0FF41", "中\ufffdA"), ("Big5", "A7DAAD CC".replace(" ", ""), "我們"), ("Shift_JIS", "93FA967B8340", "日本ァ"),
+             ("euc-kr", "C7D1B1DB", "한글"), ("windows-1252", "E98093", "é€“"), ("utf-8", "E4BDA0FFE5A5BD", "你\ufffd好"), ("none", "E4BDA0", "你"), ("none", "E920", "é "),
+             ("utf-16le", "604F0000", "你\x00"), ("EUC-JP", "C6FCCBDC", "日本"), ("windows-1251", "CFF0E8", "При"), ("koi8-r", "F0D2C9", "При")]
+
+
+def _charset_sql(i, text):
+    return f"WHEN {i} THEN " + " || ".join(f"chr({ord(c)})" for c in text)
+
+
+@query("decoded_pages", f"""SELECT page_id, md5(regexp_replace(html, '[^ -~]|charset', '', 'g') || CASE page_id % {len(_CHARSETS)} {' '.join(_charset_sql(i, t) for i, (_, _, t) in enumerate(_CHARSETS) if i != 9)}
+  ELSE '' END) AS h, page_id % {len(_CHARSETS)} AS kind FROM pages WHERE page_id % {len(_CHARSETS)} <> 9
+  UNION ALL SELECT page_id, md5(chr(20320)) AS h, 9 AS kind FROM pages WHERE page_id % {len(_CHARSETS)} = 9""")
 def decoded_pages(spark, d):
-    x = table(spark, d, "documents").selectExpr(
-        "doc_id", "CASE WHEN doc_id % 2 = 0 THEN encode(text, 'UTF-16LE') ELSE encode(text, 'UTF-8') END AS body",
-        "CASE WHEN doc_id % 2 = 0 THEN 'text/html; charset=UTF-16LE' ELSE 'text/html' END AS content_type")
-    return x.select("doc_id", F.md5(P.decoded("body", "content_type")).alias("h"))
+    """Pages with a tail in one of thirteen charsets, some broken, named by the content type or a meta tag."""
+    n = len(_CHARSETS)
+    kind = F.col("page_id") % n
+    chosen = lambda values: F.element_at(F.array(*map(F.lit, values)), (kind + 1).cast("int"))
+    plain = F.regexp_replace("html", "[^ -~]|charset", "")
+    label, tail = chosen([c for c, _, _ in _CHARSETS]), F.unhex(chosen([b for _, b, _ in _CHARSETS]))
+    x = table(spark, d, "pages").select(
+        "page_id", kind.alias("kind"), F.when(kind == 9, F.unhex(F.lit("FFFE604F"))).otherwise(F.concat(plain.cast("binary"), tail)).alias("body"),
+        F.when((label != "none") & (kind % 2 == 0), F.concat(F.lit("text/html; charset="), label)).otherwise(F.lit("text/html")).alias("content_type"), label.alias("label"))
+    # odd kinds name the charset in the page itself, which must not change what is compared
+    tag = F.concat(F.lit('<meta charset="'), F.col("label"), F.lit('">'))
+    inside = (F.col("kind") % 2 == 1) & (F.col("label") != "none") & (F.col("kind") != 9)
+    x = x.withColumn("body", F.when(inside, F.concat(tag.cast("binary"), F.col("body"))).otherwise(F.col("body")))
+    text = P.decoded("body", "content_type")
+    return x.select("page_id", "kind", "label", text.alias("t")).select(
+        "page_id", F.md5(F.when(inside, F.substring("t", F.char_length("label") + 18, F.char_length("t"))).otherwise(F.col("t"))).alias("h"), "kind")
 
 
 @query("feed_hits", "SELECT CAST(p_partkey + i AS VARCHAR) AS book_id, min(p_partkey * 10 + i) AS first_at, arg_min(p_name || ' ' || i, p_partkey * 10 + i) AS title, "

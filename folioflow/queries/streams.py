@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.urls import host_of
 from ..plans.checkpoints import scratch_dir
 from ..plans.ordering import block_of, number_rows
-from ..sources.library_store import load_chapters
 from ..streaming import progress as P
 from ..streaming import upserts as U
 from . import ORACLES, query
@@ -74,26 +73,52 @@ def streamed_shelf(spark, d):
         "last_read_chapter_id", "last_read_chapter_index")
 
 
-@query("streamed_ingest", """SELECT CAST(page_id AS VARCHAR) AS chapter_id, regexp_extract(url, '^https?://([^/?#:]*)', 1) AS site, md5(regexp_extract(html, '<h1>(.*?)</h1>', 1)) AS h FROM pages
-  QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1 AND count(*) OVER (PARTITION BY url) = 1""")
-def streamed_ingest(spark, d):
-    """Pages as a fetch stream, stored as chapters of their host; pages whose URL is not unique are
-    left out of the comparison, since either copy may arrive first."""
-    p = _stream(spark, d, "pages").withColumn("fetched_at", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("page_id")))
-    books = table(spark, d, "pages").select(host_of("url").alias("site")).distinct().selectExpr(
-        "site", "'b' AS book_id", "site AS title", "'' AS author", "'' AS description", "'' AS source_url", "'' AS cover_url",
-        "array('t') AS tags", "timestamp'2024-01-01' AS downloaded_at", "timestamp'2024-01-01' AS updated_at")
+_CRAWLS = """crawl AS (SELECT page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h1, 0 AS round FROM pages
+    UNION ALL SELECT page_id, url, 'again ' || regexp_extract(html, '<h1>(.*?)</h1>', 1), 1 FROM pages WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id, url, CASE WHEN page_id % 4 = 0 THEN '' ELSE 'third' END, 2 FROM pages WHERE page_id % 6 = 0)"""
+
+
+def _crawls(spark, d):
+    """Three rounds of a crawl: every page, a third of them again, a sixth for a third time and partly in vain."""
+    p = table(spark, d, "pages").select("page_id", "url", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("h1"))
+    again = p.filter("page_id % 3 = 0").withColumn("h1", F.concat(F.lit("again "), "h1"))
+    third = p.filter("page_id % 6 = 0").withColumn("h1", F.when(F.col("page_id") % 4 == 0, F.lit("")).otherwise(F.lit("third")))
+    rounds = [x.withColumn("round", F.lit(i)) for i, x in enumerate((p, again, third))]
+    return rounds[0].unionByName(rounds[1]).unionByName(rounds[2]).withColumn("fetched_at", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("round") * 1000 + F.col("page_id") % 7))
+
+
+def _ingested(spark, d):
+    """The crawl in eight files of mixed rounds, one a micro-batch, compacted every third one."""
+    root = scratch_dir(spark)
+    pages = _crawls(spark, d)
+    pages.repartition(8, "page_id").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
 
     def extract(batch):
         return batch.select(host_of("url").alias("site"), F.lit("b").alias("book_id"), F.col("page_id").cast("string").alias("chapter_id"),
-                            F.lit("").alias("title"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("content"), "url", F.lit("").alias("volume"),
-                            F.col("page_id").alias("order_index"), F.lit(True).alias("downloaded"))
+                            F.concat(F.lit("round "), "round").alias("title"), F.col("h1").alias("content"), "url", F.lit("").alias("volume"),
+                            F.col("page_id").alias("order_index"), "fetched_at", F.when((F.col("round") == 2) & (F.col("page_id") % 5 == 0), F.lit("http 500")).alias("error"))
 
-    root = scratch_dir(spark)
-    q = U.ingest_pages(p, extract, books, root, "raw", f"{root}/state", {"availableNow": True})
-    q.awaitTermination()
-    single = table(spark, d, "pages").groupBy("url").count().filter("count = 1").select("url")
-    return load_chapters(spark, root).join(single, "url", "left_semi").select("chapter_id", "site", F.md5("content").alias("h"))
+    U.ingest_pages(stream, extract, root, "raw", f"{root}/state", {"availableNow": True}, every=3).awaitTermination()
+    return root
+
+
+@query("streamed_ingest", f"""WITH {_CRAWLS}, ok AS (SELECT *, CASE WHEN round = 2 AND page_id % 5 = 0 THEN '' ELSE h1 END AS body FROM crawl)
+  SELECT CAST(page_id AS VARCHAR) AS chapter_id, regexp_extract(url, '^https?://([^/?#:]*)', 1) AS site, arg_max(round, CASE WHEN trim(body) <> '' THEN 10 ELSE 0 END + round) AS round,
+    md5(arg_max(body, CASE WHEN trim(body) <> '' THEN 10 ELSE 0 END + round)) AS h FROM ok GROUP BY page_id, url""")
+def streamed_ingest(spark, d):
+    """Every page is stored; of repeated fetches the newest with a body wins."""
+    stored = U.chapters_at(spark, _ingested(spark, d))
+    return stored.select("chapter_id", "site", F.substring("title", 7, 9).cast("int").alias("round"), F.md5("content").alias("h"))
+
+
+@query("streamed_pending", f"""WITH {_CRAWLS}, done AS (SELECT DISTINCT page_id FROM crawl WHERE trim(CASE WHEN round = 2 AND page_id % 5 = 0 THEN '' ELSE h1 END) <> '')
+  SELECT CAST(i AS VARCHAR) AS chapter_id FROM (SELECT unnest([page_id, page_id + 1000000]) AS i, page_id FROM pages) WHERE i >= 1000000 OR page_id NOT IN (SELECT page_id FROM done)""")
+def streamed_pending(spark, d):
+    """A listing of all stored chapters and as many others: the others are still to fetch."""
+    listing = table(spark, d, "pages").select(host_of("url").alias("site"), F.lit("b").alias("book_id"),
+                                              F.explode(F.array(F.col("page_id").cast("string"), (F.col("page_id") + 1000000).cast("string"))).alias("chapter_id"))
+    return U.still_pending(spark, _ingested(spark, d), listing).select("chapter_id")
 
 
 @query("streamed_task_state", f"WITH {_TASKS} SELECT task_id, status, phase, title, completed_chapters FROM tasks")

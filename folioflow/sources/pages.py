@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,26 +123,61 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CRAWL_SCHEMA).parquet(path)
 
 
-def decoded(body: Column | str, content_type: Column | str) -> Column:
-    """Text of raw bytes by the charset of the content type or of an early meta tag, UTF-8 when
-    neither names a supported one.
-
-    Charsets beyond the standard ones need `spark.sql.legacy.javaCharsets=true`; without it their
-    bytes stay UTF-8 with replacement characters.
-    """
+# Fixed values of the encoding standard: the decoder of each label a page may name.
+DECODERS = {
+    "utf-8": "utf-8 utf8 unicode-1-1-utf-8",
+    "gb18030": "gbk gb2312 gb_2312 gb_2312-80 gb18030 x-gbk chinese iso-ir-58 csgb2312",
+    "big5hkscs": "big5 big5-hkscs cn-big5 csbig5 x-x-big5",
+    "cp932": "shift_jis shift-jis sjis ms_kanji windows-31j x-sjis csshiftjis ms932",
+    "euc_jp": "euc-jp x-euc-jp cseucpkdfmtjapanese",
+    "iso2022_jp": "iso-2022-jp csiso2022jp",
+    "cp949": "euc-kr korean ks_c_5601-1987 ks_c_5601-1989 ksc5601 ksc_5601 windows-949 iso-ir-149 cseuckr",
+    "utf-16-le": "utf-16 utf-16le unicode ucs-2 iso-10646-ucs-2",
+    "utf-16-be": "utf-16be unicodefffe",
+    "cp1250": "windows-1250 cp1250 x-cp1250",
+    "cp1251": "windows-1251 cp1251 x-cp1251",
+    "cp1252": "windows-1252 cp1252 x-cp1252 iso-8859-1 iso8859-1 iso_8859-1 latin1 l1 us-ascii ascii ansi_x3.4-1968",
+    "koi8-r": "koi8-r koi8 koi cskoi8r",
+}
+LABELS = {label: decoder for decoder, labels in DECODERS.items() for label in labels.split()}
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+HEAD_BYTES = 1024
+
+
+def _decode(body: bytes, decoder: str) -> str:
+    """Broken sequences become U+FFFD.  Bytes that windows-1252 does not assign stand for themselves."""
+    if decoder == "cp1252":
+        try:
+            return body.decode(decoder)
+        except UnicodeDecodeError:
+            return "".join(bytes((b,)).decode(decoder, "ignore") or chr(b) for b in body)
+    return body.decode(decoder, "replace")
+
+
+def _decoded_others(body: pd.Series, decoder: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else _decode(bytes(b), d) for b, d in zip(body, decoder, strict=True)], dtype=object)
+
+
+def charset_of(body: Column | str, content_type: Column | str) -> Column:
+    """Decoder of a page: by its byte order mark, else the charset of the content type, else that of a meta
+    tag in the first 1024 bytes; unknown names are passed over.  Without any, UTF-8 where the bytes are
+    valid UTF-8, else windows-1252."""
     b = F.col(body) if isinstance(body, str) else body
     ct = F.col(content_type) if isinstance(content_type, str) else content_type
-    head = F.decode(F.substring(b, 1, 1024), "ISO-8859-1")
-    pattern = r"(?i)charset\s*=\s*[\"']?([a-z0-9_-]+)"
-    named = F.lower(F.regexp_extract(F.coalesce(ct, F.lit("")), pattern, 1))
-    charset = F.when(named != "", named).otherwise(F.lower(F.regexp_extract(head, pattern, 1)))
-    out = F.decode(b, "UTF-8")
-    for names, java in ((("utf-16", "utf-16le"), "UTF-16LE"), (("utf-16be",), "UTF-16BE"),
-                        (("iso-8859-1", "latin1", "windows-1252"), "ISO-8859-1"), (("us-ascii", "ascii"), "US-ASCII")):
-        out = F.when(charset.isin(*names), F.decode(b, java)).otherwise(out)
-    return out
-
-
-def decoded_as(body: Column | str, charset: str) -> Column:
-    """Text of raw bytes of one known charset, for example a GBK source."""
-    return F.decode(F.col(body) if isinstance(body, str) else body, charset)
+    head = F.decode(F.substring(b, 1, HEAD_BYTES), "ISO-8859-1")
+    pattern = r"(?i)charset\s*=\s*[\"']?\s*([a-z0-9_:.-]+)"
+    labels = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    named = [F.element_at(labels, F.lower(F.regexp_extract(text, pattern, 1))) for text in (F.coalesce(ct, F.lit("")), head)]
+    mark = F.coalesce(*[F.when(F.startswith(b, F.lit(m)), F.lit(d)) for m, d in MARKS])
+    return F.coalesce(mark, *named, F.when(F.is_valid_utf8(b.cast("string")), F.lit("utf-8")).otherwise(F.lit("cp1252")))
+
+
+def decoded(body: Column | str, content_type: Column | str) -> Column:
+    """Text of raw bytes, without a byte order mark.  No bytes end the job: what the charset cannot read
+    becomes U+FFFD.  UTF-8 is read by Spark, the rest in Arrow batches; NULL stays NULL."""
+    b = F.col(body) if isinstance(body, str) else body
+    charset = charset_of(b, content_type)
+    ours = charset == "utf-8"
+    other = F.pandas_udf(_decoded_others, "string")(F.when(~ours, b), charset)
+    text = F.when(ours, F.make_valid_utf8(b.cast("string"))).otherwise(other)
+    return F.regexp_replace(text, "^\ufeff", "")

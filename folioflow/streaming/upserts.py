@@ -1,7 +1,8 @@
-"""Micro-batch upserts: reading progress into the shelf, fetched pages into the stage store.
+"""Micro-batch upserts: reading progress into the shelf, fetched pages into the library.
 
-A micro-batch may run again after a failure, so every batch writes only partitions named by its own
-id, and overwriting them gives the same tables.
+What micro-batches fold to is kept as a base and the batches after it (`MergedTable`).  A micro-batch may
+run again after a failure, so it writes only what is named by its own id; overwriting that gives the
+same tables.
 """
 
 from __future__ import annotations
@@ -12,10 +13,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import nullif_blank
-from ..operators.library import BOOK
+from ..functions.text import is_blank, nullif_blank
+from ..operators.library import BOOK, CHAPTER, failure_totals, pending_chapters
 from ..operators.shelf import fold_books
-from ..sources.library_store import chapter_rows, save_stage
+
+COMPACT_EVERY = 16
+CHAPTER_REST = ["title", "content", "url", "volume", "order_index", "downloaded", "fetched_at"]
+
+
+def _write(df: DataFrame, path: str, batch: int) -> None:
+    (df.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+
+
+class MergedTable:
+    """A table folded from micro-batches: `fold` turns rows with a `batch` column into the current rows.
+
+    Every `every` batches the current rows are written as a new base, named by the last batch in it, so
+    a reader folds the newest complete base and fewer than `every` batches.  `fold` must be associative
+    along `batch`.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fold: Callable[[DataFrame], DataFrame], every: int = COMPACT_EVERY) -> None:
+        self.spark, self.root, self.fold, self.every = spark, root.rstrip("/"), fold, every
+
+    def _base(self, before: int | None) -> int | None:
+        """Last batch of the newest base that is whole."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        found = jvm.org.apache.hadoop.fs.Path(f"{self.root}/base-*/_SUCCESS")
+        whole = found.getFileSystem(conf).globStatus(found) or []
+        upto = [int(f.getPath().getParent().getName().removeprefix("base-")) for f in whole]
+        return max((n for n in upto if before is None or n < before), default=None)
+
+    def current(self, before: int | None = None) -> DataFrame:
+        """Rows after all batches, or after those before a batch."""
+        base = self._base(before)
+        rows = self.spark.read.parquet(f"{self.root}/batches")
+        if before is not None:
+            rows = rows.filter(F.col("batch") < before)
+        if base is not None:
+            rows = rows.filter(F.col("batch") > base).unionByName(self.spark.read.parquet(f"{self.root}/base-{base}").withColumn("batch", F.lit(base).cast("bigint")))
+        return self.fold(rows)
+
+    def put(self, rows: DataFrame, batch: int) -> None:
+        """Add what a micro-batch folds to."""
+        _write(rows, f"{self.root}/batches", batch)
+        if (batch + 1) % self.every == 0:
+            self.current(batch + 1).write.mode("overwrite").parquet(f"{self.root}/base-{batch}")
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:
@@ -36,46 +80,65 @@ def merge_partials(partials: DataFrame) -> DataFrame:
         F.coalesce("_p.last_read_chapter_title", F.lit("")).alias("last_read_chapter_title"), F.col("_p.last_read_at").alias("last_read_at"))
 
 
-def shelf_at(spark: SparkSession, root: str) -> DataFrame:
-    return merge_partials(spark.read.parquet(f"{root}/folds"))
+def shelf_table(spark: SparkSession, root: str, every: int = COMPACT_EVERY) -> MergedTable:
+    return MergedTable(spark, f"{root}/shelf", merge_partials, every)
 
 
-def _write(df: DataFrame, path: str, batch: int) -> None:
-    (df.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+def shelf_at(spark: SparkSession, root: str) -> DataFrame:
+    return shelf_table(spark, root).current()
 
 
-def upsert_shelf(events: DataFrame, root: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Fold each micro-batch of shelf events and append the fold; `outcomes` tells which books were
-    there before."""
+def upsert_shelf(events: DataFrame, root: str, checkpoint: str, trigger: dict, every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Fold each micro-batch of shelf events into the shelf; `outcomes` tells which books were there before."""
     def put(batch: DataFrame, batch_id: int) -> None:
+        shelf = shelf_table(batch.sparkSession, root, every)
         fold = fold_books(batch)
-        _write(fold, f"{root}/folds", batch_id)
-        spark = batch.sparkSession
-        folds = spark.read.parquet(f"{root}/folds")
-        known = folds.filter(F.col("batch") < batch_id).select(*BOOK).distinct().withColumn("_k", F.lit(True))
-        touched = folds.filter(F.col("batch") == batch_id).select(*BOOK)
+        shelf.put(fold, batch_id)
+        known = shelf.current(batch_id).select(*BOOK).withColumn("_k", F.lit(True))
+        touched = batch.sparkSession.read.parquet(f"{shelf.root}/batches").filter(F.col("batch") == batch_id).select(*BOOK)
         _write(touched.join(known, BOOK, "left").select(*BOOK, F.coalesce("_k", F.lit(False)).alias("updated")), f"{root}/outcomes", batch_id)
 
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def ingest_pages(pages: DataFrame, extract: Callable[[DataFrame], DataFrame], books: DataFrame, root: str, stage: str,
-                 checkpoint: str, trigger: dict, delay: str = "1 hour") -> StreamingQuery:
-    """Fetched pages to stored chapters.
+def newest_chapters(rows: DataFrame) -> DataFrame:
+    """One row per chapter: the newest fetch with a body, else the newest; of equal times the greatest row."""
+    row = F.struct((~is_blank("content")).alias("filled"), "fetched_at", *[c for c in CHAPTER_REST if c != "fetched_at"])
+    return rows.groupBy(*CHAPTER).agg(F.max(row).alias("_c")).select(*CHAPTER, *[f"_c.{c}" for c in CHAPTER_REST])
 
-    Repeated fetches of a URL inside the delay are dropped in the stream.  `extract` turns pages
-    into chapter rows (site, book_id, chapter_id, title, content, url, volume, order_index,
-    downloaded); each micro-batch becomes one stage commit for the books it touches.
-    """
-    once = pages.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["url"])
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        rows = chapter_rows(extract(batch).withColumn("position", F.lit(1)))
-        touched = books.join(rows.select(*BOOK).distinct(), BOOK, "left_semi")
-        save_stage(root, stage, batch_id, touched, rows)
+def chapter_table(spark: SparkSession, root: str, stage: str = "raw", every: int = COMPACT_EVERY) -> MergedTable:
+    return MergedTable(spark, f"{root}/{stage}", newest_chapters, every)
+
+
+def chapters_at(spark: SparkSession, root: str, stage: str = "raw") -> DataFrame:
+    """Chapters of a stage after all micro-batches."""
+    return chapter_table(spark, root, stage).current()
 
-    return once.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+def still_pending(spark: SparkSession, root: str, listing: DataFrame, stage: str = "raw", sources: DataFrame | None = None) -> DataFrame:
+    """Listed chapters without a reusable body after all micro-batches."""
+    return pending_chapters(listing, chapters_at(spark, root, stage), sources)
+
+
+def ingest_pages(pages: DataFrame, extract: Callable[[DataFrame], DataFrame], root: str, stage: str, checkpoint: str, trigger: dict,
+                 every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Fetched pages to stored chapters; what earlier micro-batches stored stays.
+
+    `extract` turns pages into chapter rows (site, book_id, chapter_id, title, content, url, volume,
+    order_index, fetched_at, error).  A chapter has the row of its newest fetch with a body, with the title, URL
+    and volume of that fetch; a failed or empty fetch never replaces a body.  A book whose fetches in a
+    micro-batch all failed gets nothing from it; `outcomes` has the totals of each book and micro-batch.
+    """
+    def put(batch: DataFrame, batch_id: int) -> None:
+        rows = extract(batch).withColumn("error", F.coalesce("error", F.lit("")))
+        rows = rows.withColumn("content", F.when(F.col("error") == "", F.coalesce("content", F.lit(""))).otherwise(F.lit("")))
+        totals = failure_totals(rows)
+        _write(totals, f"{root}/outcomes-{stage}", batch_id)
+        kept = rows.withColumn("downloaded", ~is_blank("content")).join(totals.filter("all_failed").select(*BOOK), BOOK, "left_anti")
+        chapter_table(batch.sparkSession, root, stage, every).put(newest_chapters(kept), batch_id)
+
+    return pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def run_available(df: DataFrame, out: str, checkpoint: str) -> None:

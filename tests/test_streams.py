@@ -56,7 +56,7 @@ def test_shelf_upserts_in_batches_equal_one_fold(spark, tmp_path):
     for n in range(3):
         spark.createDataFrame(rows[n * 40:(n + 1) * 40], EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     ev = spark.readStream.schema(spark.createDataFrame(rows[:1], EVENTS).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    U.upsert_shelf(ev, str(tmp_path / "shelf"), str(tmp_path / "state"), {"availableNow": True}).awaitTermination()
+    U.upsert_shelf(ev, str(tmp_path / "shelf"), str(tmp_path / "state"), {"availableNow": True}, every=2).awaitTermination()
     want = fold_books(spark.createDataFrame(rows, EVENTS))
     columns = sorted(want.columns)
     key = lambda df: sorted(map(repr, df.select(*columns).collect()))
