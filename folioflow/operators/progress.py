@@ -1,23 +1,18 @@
-"""Progress logs: windowed rates, emission throttle, task state, probes."""
+"""Progress logs: windowed rates, task state, probes; see `throttle` for the emission throttle."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import eta_label, eta_seconds
 from ..functions.text import is_blank, nullif_blank, trim_u
-from ..plans.ordering import BLOCK, block_of, running, with_lookback, with_previous
+from ..plans.ordering import BLOCK, with_lookback
 
-# Rate window, sample cap, throttle steps, message cap, fast-probe limit, restart text.
+# Rate window, sample cap, message cap, fast-probe limit, restart text.
 RATE_WINDOW_SECONDS = 30.0
 RATE_MAX_SAMPLES = 256
-THROTTLE_MICROS = 350_000
-THROTTLE_CHAPTERS = 3
 MAX_MESSAGES = 200
 FAST_PROBE_MS = 800
 RESTART_REASON = "进程已重启，任务被中断"
@@ -64,42 +59,6 @@ def windowed_rates(progress: DataFrame, window: float = RATE_WINDOW_SECONDS, max
             .withColumn("eta", eta_label(eta_seconds("done", "total", "rate"))))
 
 
-def throttle_runs(progress: DataFrame, block_rows: int = 100_000) -> DataFrame:
-    """Cut tasks where an emission is certain whatever was emitted before: the first row, a final
-    row, or a pause after the previous row.  A run is one burst without a pause, and can be folded
-    on its own."""
-    rows = with_previous(progress.withColumn("_at", _micros("ts")), ["task_id"], "seq", block_of("seq", block_rows),
-                         _last_at="_at")
-    certain = (F.col("_last_at").isNull() | (F.col("total") <= 0) | (F.col("done") >= F.col("total"))
-               | (F.col("_at") - F.col("_last_at") >= THROTTLE_MICROS))
-    marked = rows.withColumn("_run_start", F.when(certain, F.col("seq")))
-    return running(marked, ["task_id"], "seq", block_of("seq", block_rows), _run=("last", F.col("_run_start")))
-
-
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (task, run, seq): keep those the throttle lets through.  Constant memory."""
-    run, at, done = None, 0, 0
-    for pdf in batches:
-        passed = []
-        for key, t, n, certain in zip(zip(pdf["task_id"], pdf["_run"]), pdf["_at"], pdf["done"], pdf["_certain"]):
-            ok = certain or key != run or t - at >= THROTTLE_MICROS or n - done >= THROTTLE_CHAPTERS
-            if ok:
-                run, at, done = key, t, n
-            passed.append(ok)
-        yield pdf.loc[passed, ["task_id", "seq"]]
-
-
-def throttled(progress: DataFrame) -> DataFrame:
-    """Progress rows that are emitted: the first, those 0.35 s or 3 chapters after the last emitted
-    one, and final ones.  Each decision depends on the one before, so a run is folded in order."""
-    runs = throttle_runs(progress).withColumn("_certain", F.col("_run_start").isNotNull())
-    ordered = (runs.select("task_id", "_run", "seq", "_at", "done", "_certain")
-               .repartition("task_id", "_run").sortWithinPartitions("task_id", "_run", "seq"))
-    types = progress.schema
-    return ordered.mapInPandas(_emit, f"task_id {types['task_id'].dataType.simpleString()}, "
-                                      f"seq {types['seq'].dataType.simpleString()}")
-
-
 # ---- task state -------------------------------------------------------------------------------
 
 def fold_tasks(events: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..plans.ordering import block_of, number_rows
 from ..streaming import progress as P
 from ..streaming import upserts as U
 from . import ORACLES, query
-from .progress import KINDS, _TASKS
+from .progress import FAST, KINDS, _TASKS
 from .shelf import as_shelf_events
 from .views import PROGRESS_TOTAL, table
 
@@ -38,10 +38,9 @@ def streamed_rate(spark, d):
     return out.select("task_id", "seq", F.round("rate", 6).alias("rate"), "eta")
 
 
-@query("streamed_throttle")
+@query("streamed_throttle", ORACLES["throttled_progress"])
 def streamed_throttle(spark, d):
-    fast = _progress(spark, d).withColumn("ts", F.timestamp_micros((F.unix_micros("ts") / 20).cast("bigint")))
-    return _finished(spark, P.stream_throttled(fast))
+    return _finished(spark, P.stream_throttled(_progress(spark, d).selectExpr("* EXCEPT (ts)", *FAST)))
 
 
 @query("streamed_messages", """SELECT CAST(user_id AS VARCHAR) AS task_id, md5(string_agg(event_type || ' ' || event_id, '|' ORDER BY event_id)) AS h FROM

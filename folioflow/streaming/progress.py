@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.labels import eta_label, eta_seconds
-from ..operators.progress import (MAX_MESSAGES, RATE_MAX_SAMPLES, RATE_WINDOW_SECONDS, RESTART_REASON,
-                                  THROTTLE_CHAPTERS, THROTTLE_MICROS, fold_tasks)
+from ..operators.progress import MAX_MESSAGES, RATE_MAX_SAMPLES, RATE_WINDOW_SECONDS, RESTART_REASON, fold_tasks
+from ..operators.throttle import LONG_AGO, THROTTLE_CHAPTERS, THROTTLE_MICROS
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,6 +26,13 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+def _time_mode(ttl_ms: int | None) -> str:
+    """State that expires needs the clock, and a query with the clock never ends by itself: a stream that
+    runs for good names `ttl_ms`, the silence after which a task's state is dropped; a replay of what
+    is there does not."""
+    return "ProcessingTime" if ttl_ms else "None"
+
+
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(batches, ignore_index=True).sort_values("seq", kind="stable")
 
@@ -33,11 +40,11 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 class RateWindow(StatefulProcessor):
     """Samples of the last window per task, at most `max_samples`."""
 
-    def __init__(self, window: float, max_samples: int) -> None:
-        self.window, self.cap = int(round(window * 1e6)), max_samples
+    def __init__(self, window: float, max_samples: int, ttl_ms: int | None) -> None:
+        self.window, self.cap, self.ttl = int(round(window * 1e6)), max_samples, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.samples = handle.getListState("samples", "at bigint, done bigint")
+        self.samples = handle.getListState("samples", "at bigint, done bigint", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kept = [tuple(s) for s in self.samples.get()] if self.samples.exists() else []
@@ -59,30 +66,33 @@ class RateWindow(StatefulProcessor):
         pass
 
 
-def stream_rates(progress: DataFrame, window: float = RATE_WINDOW_SECONDS, max_samples: int = RATE_MAX_SAMPLES) -> DataFrame:
+def stream_rates(progress: DataFrame, window: float = RATE_WINDOW_SECONDS, max_samples: int = RATE_MAX_SAMPLES, ttl_ms: int | None = None) -> DataFrame:
     """Live form of `windowed_rates` for (task_id, seq, ts, done, total) rows."""
     rows = progress.select("task_id", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "done", "total")
     out = rows.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=RateWindow(window, max_samples),
-        outputStructType="task_id string, seq bigint, done bigint, total bigint, rate double", outputMode="Append", timeMode="None")
+        statefulProcessor=RateWindow(window, max_samples, ttl_ms),
+        outputStructType="task_id string, seq bigint, done bigint, total bigint, rate double", outputMode="Append", timeMode=_time_mode(ttl_ms))
     return out.withColumn("eta", eta_label(eta_seconds("done", "total", "rate")))
 
 
 class Throttle(StatefulProcessor):
     """Time and count of the last emitted row per task."""
 
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at bigint, done bigint")
+        self.last = handle.getValueState("last", "at bigint, done bigint", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get() if self.last.exists() else None
         pdf = _in_order(rows)
         passed = []
-        for at, done, total in zip(pdf["at_us"].tolist(), pdf["done"].tolist(), pdf["total"].tolist()):
-            ok = (last is None or total <= 0 or done >= total or at - last[0] >= THROTTLE_MICROS
+        for at, done, total, starts in zip(pdf["at_us"].tolist(), pdf["done"].tolist(), pdf["total"].tolist(), pdf["starts"].tolist()):
+            ok = (last is None or starts or total <= 0 or done >= total or at - last[0] >= THROTTLE_MICROS
                   or done - last[1] >= THROTTLE_CHAPTERS)
             if ok:
-                last = (at, done)
+                last = (LONG_AGO if starts else at, done)
             passed.append(ok)
         if last is not None:
             self.last.update(tuple(last))
@@ -92,21 +102,22 @@ class Throttle(StatefulProcessor):
         pass
 
 
-def stream_throttled(progress: DataFrame) -> DataFrame:
-    """Live form of `throttled`."""
-    rows = progress.select("task_id", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "done", "total")
+def stream_throttled(progress: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Live form of `throttle.throttled`."""
+    starts = F.coalesce("starts", F.lit(False)) if "starts" in progress.columns else F.lit(False)
+    rows = progress.select("task_id", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "done", "total", starts.alias("starts"))
     return rows.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=Throttle(), outputStructType="task_id string, seq bigint", outputMode="Append", timeMode="None")
+        statefulProcessor=Throttle(ttl_ms), outputStructType="task_id string, seq bigint", outputMode="Append", timeMode=_time_mode(ttl_ms))
 
 
 class MessageLog(StatefulProcessor):
     """Last messages per task."""
 
-    def __init__(self, limit: int) -> None:
-        self.limit = limit
+    def __init__(self, limit: int, ttl_ms: int | None) -> None:
+        self.limit, self.ttl = limit, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.log = handle.getListState("log", "seq bigint, text string")
+        self.log = handle.getListState("log", "seq bigint, text string", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kept = [tuple(m) for m in self.log.get()] if self.log.exists() else []
@@ -121,11 +132,11 @@ class MessageLog(StatefulProcessor):
         pass
 
 
-def stream_messages(messages: DataFrame, limit: int = MAX_MESSAGES) -> DataFrame:
+def stream_messages(messages: DataFrame, limit: int = MAX_MESSAGES, ttl_ms: int | None = None) -> DataFrame:
     """Message array of a task after every micro-batch that touches it."""
     return messages.select(F.col("task_id").cast("string").alias("task_id"), "seq", "text").groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=MessageLog(limit), outputStructType="task_id string, upto bigint, texts array<string>",
-        outputMode="Update", timeMode="None")
+        statefulProcessor=MessageLog(limit, ttl_ms), outputStructType="task_id string, upto bigint, texts array<string>",
+        outputMode="Update", timeMode=_time_mode(ttl_ms))
 
 
 class IdleTasks(StatefulProcessor):

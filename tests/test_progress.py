@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import progress as P
+from folioflow.operators.throttle import throttled
 
 SCHEMA = "task_id string, seq long, ts timestamp, done int, total int"
 START = dt.datetime(2024, 1, 1)
@@ -73,26 +74,27 @@ def test_more_samples_than_the_cap_drop_the_oldest(spark):
 
 def sequential_throttle(rows):
     out, last = set(), {}
-    for task, seq, ts, done, total in sorted(rows, key=lambda r: (r[0], r[1])):
+    for task, seq, ts, done, total, starts in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])):
         prev = last.get(task)
-        if prev is None or done >= total or total <= 0 or (ts - prev[0]).total_seconds() >= 0.35 or done - prev[1] >= 3:
-            last[task] = (ts, done)
+        if prev is None or starts or done >= total or total <= 0 or prev[0] is None or (ts - prev[0]).total_seconds() >= 0.35 or done - prev[1] >= 3:
+            last[task] = (None if starts else ts, done)
             out.add((task, seq))
     return out
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_throttle_equals_the_sequential_fold(spark, seed):
+    """Tasks that span several partitions, times and counts that go back, books that begin on the way."""
     rnd = random.Random(seed)
     rows = []
-    for task in "xyz":
-        at, done, steps = 0, 0, []
-        for _ in range(600):
-            at += rnd.choice([0, 50, 100, 340, 350, 900])
-            done = 0 if rnd.random() < 0.03 else done + rnd.choice([0, 1, 1, 4])
-            steps.append((at / 1000, done))
-        rows += rows_of(task, steps, total=400)
-    got = {(r.task_id, r.seq) for r in P.throttled(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    for task, n in (("x", 900), ("y", 600), (None, 40), ("z", 3)):
+        at, done = 0, 0
+        for i in range(n):
+            at += rnd.choice([0, 0, 1, 5, 50, 340, 350, -20] if seed else [0, 0, 0, 1])
+            done = 0 if rnd.random() < 0.03 else max(0, done + rnd.choice([0, 0, 0, 1, -1, 4] if seed else [0, 0, 0, 0, 1, -1]))
+            rows.append((task, i, START + dt.timedelta(milliseconds=at), done, 400, rnd.random() < 0.01))
+    df = spark.createDataFrame(rows, SCHEMA + ", starts boolean").repartition(5)
+    got = {(r.task_id, r.seq) for r in throttled(df).collect()}
     assert got == sequential_throttle(rows)
 
 

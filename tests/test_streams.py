@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import progress as BP
 from folioflow.operators.shelf import fold_books
+from folioflow.operators.throttle import throttled
 from folioflow.streaming import progress as SP
 from folioflow.streaming import upserts as U
 from test_publish import EVENTS
@@ -45,7 +46,7 @@ def test_rates(spark, log):
 def test_throttle(spark, log):
     rows, path = log
     U.run_available(SP.stream_throttled(stream(spark, path)), path + "/out", path + "/state")
-    assert sorted(r.seq for r in spark.read.parquet(path + "/out").collect()) == sorted(r.seq for r in BP.throttled(rows).collect())
+    assert sorted(r.seq for r in spark.read.parquet(path + "/out").collect()) == sorted(r.seq for r in throttled(rows).collect())
 
 
 def test_shelf_upserts_in_batches_equal_one_fold(spark, tmp_path):
