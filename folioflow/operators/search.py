@@ -12,6 +12,8 @@ from ..functions import scores
 from ..functions.text import first_non_blank, let, norm, norm_index, nullif_blank, trim_u
 
 DEFAULT_PER_SOURCE = 8
+#: Words of the filter of keyword grams: a million bits.
+FILTER_WORDS = 1 << 14
 HIT_FIELDS = ["title", "author", "description", "url", "latest_chapter", "cover_url"]
 HIT_COLUMNS = ["site", "book_id", *HIT_FIELDS]
 
@@ -224,54 +226,51 @@ def warnings_by_source(errors: DataFrame) -> DataFrame:
 # ---- keyword index ---------------------------------------------------------------------------
 
 def _grams(text: Column, n: int) -> Column:
-    """Distinct character n-grams, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    """Character n-grams, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
-def match_keywords(items: DataFrame, keywords: DataFrame, item_key: list[str],
-                   char_map: Mapping[str, str] | None = None, max_gram: int = 8,
-                   inline_keywords: int = 4_096, scan_keywords: int = 256) -> DataFrame:
-    """All (keyword, item) pairs whose index score is positive.
+def _filter_of(grams: DataFrame) -> Column:
+    """Bits of all grams as one array of fixed size, a scalar subquery."""
+    place = F.pmod(F.xxhash64("_gram"), F.lit(64 * FILTER_WORDS))
+    words = (grams.select(F.shiftright(place, 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("_bit"))
+             .groupBy("id").agg(F.bit_or("_bit").alias("_bits")))
+    every = grams.sparkSession.range(FILTER_WORDS).join(words, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("_bits", F.lit(0).cast("long")).alias("b")))).alias("w"))
+    return every.select(F.transform("w", lambda w: w["b"])).scalar()
 
-    Up to `scan_keywords` keywords each text is scanned for all of them where it is read.  Beyond
-    that, a pair can only match if one gram of the keyword occurs in the item, so each keyword is
-    looked up by a single gram (the one fewest other keywords share) and then verified; keywords
-    shorter than `max_gram` use their whole length.  Up to `inline_keywords` keywords the wanted
-    grams are a literal set, so an item is reduced to the grams it shares with them and its text
-    never moves; with more, grams and ids are shuffled and the texts are joined back by key.
+
+def _in_filter(bits: Column, gram: Column) -> Column:
+    place = F.pmod(F.xxhash64(gram), F.lit(64 * FILTER_WORDS))
+    return F.call_function("shiftright", F.get(bits, F.shiftright(place, 6).cast("int")), F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def match_keywords(items: DataFrame, keywords: DataFrame, item_key: list[str], char_map: Mapping[str, str] | None = None, max_gram: int = 8) -> DataFrame:
+    """All (keyword, item) pairs whose index score is positive, by one plan for any number of keywords.
+
+    A pair can only match if every gram of the keyword occurs in the item.  Each keyword is looked up by
+    a single gram of `max_gram` characters (shorter keywords as a whole), the one that fewest keywords
+    share.  Items drop all grams that are not in a filter of these, of fixed size, before grams and ids
+    are shuffled; what meets is verified on the texts.
     """
     fields = ("title", "author", "description", "latest_chapter")
     k = (keywords.select("keyword").distinct()
          .withColumn("_k", norm_index("keyword", char_map)).filter(F.col("_k") != "")
          .withColumn("_len", F.least(F.char_length("_k"), F.lit(max_gram))))
-    n_keywords = k.count()
-    texts = items.withColumns({f"_n_{c}": norm_index(F.coalesce(F.col(c), F.lit("")), char_map) for c in fields})
-    # fields are joined by a character that `norm` never keeps, so no match spans two fields
-    whole = F.concat_ws("\n", *[f"_n_{c}" for c in fields])
-    if n_keywords <= scan_keywords:
-        wanted = [r[0] for r in k.select("_k").distinct().collect()]  # at most scan_keywords
-        hit = let(whole, lambda w: F.filter(F.lit(wanted), lambda x: F.contains(w, x))) if wanted \
-            else F.array().cast("array<string>")
-        found = texts.withColumn("_k", F.explode(hit)).join(k.select("keyword", "_k"), "_k")
-        return _scored_matches(found, fields)
-    lengths = [r[0] for r in k.select("_len").distinct().collect()]  # at most max_gram values
-    cut = F.lit(None).cast("array<string>")
-    for n in lengths:
-        cut = F.when(F.col("_len") == n, _grams(F.col("_k"), n)).otherwise(cut)
+    sizes = range(1, max_gram + 1)
+    cut = F.coalesce(*[F.when(F.col("_len") == n, F.array_distinct(_grams(F.col("_k"), n))) for n in sizes])
     k_grams = k.withColumn("_gram", F.explode(cut))
     shared = k_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_f"))
-    anchors = (k_grams.join(shared, "_gram").groupBy("keyword", "_k")
+    anchors = (k_grams.join(shared, "_gram").groupBy("keyword", "_k", "_len")
                .agg(F.min(F.struct("_f", "_gram"))["_gram"].alias("_gram")))
-    all_grams = F.array_distinct(F.flatten(F.array(*[_grams(whole, n) for n in lengths])))
-    if n_keywords <= inline_keywords:
-        wanted = [r[0] for r in anchors.select("_gram").distinct().collect()]  # at most inline_keywords
-        found = (texts.withColumn("_gram", F.explode(F.array_intersect(all_grams, F.lit(wanted))))
-                 .join(anchors, "_gram").drop("_gram"))
-    else:
-        pairs = (texts.select(*item_key, F.explode(all_grams).alias("_gram"))
-                 .join(anchors, "_gram").select(*item_key, "keyword", "_k").distinct())
-        found = pairs.join(texts, item_key)
-    return _scored_matches(found, fields)
+    texts = items.withColumns({f"_n_{c}": norm_index(F.coalesce(F.col(c), F.lit("")), char_map) for c in fields})
+    # fields are joined by a character that `norm` never keeps, so no match spans two fields
+    whole = F.concat_ws("\n", *[f"_n_{c}" for c in fields])
+    bits, lengths = _filter_of(anchors), anchors.agg(F.collect_set("_len")).scalar()
+    none = F.array().cast("array<string>")
+    wanted = lambda n: F.when(F.array_contains(lengths, n), _grams(whole, n)).otherwise(none)
+    grams = texts.select(*item_key, F.explode(F.flatten(F.array(*[wanted(n) for n in sizes]))).alias("_gram")).filter(_in_filter(bits, F.col("_gram")))
+    pairs = grams.distinct().join(anchors, "_gram").select(*item_key, "keyword", "_k")
+    return _scored_matches(pairs.join(texts, item_key), fields)
 
 
 def _scored_matches(found: DataFrame, fields: tuple[str, ...]) -> DataFrame:

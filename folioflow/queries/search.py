@@ -285,6 +285,16 @@ _PARTS = """SELECT 'catalog' AS site, CAST(p_partkey AS VARCHAR) AS book_id, p_n
 _WORDS = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS keyword FROM part"
 
 
+@query("keyword_index_many", _index_sql(_ITEMS, "SELECT DISTINCT text[i * 40 + 1:i * 40 + 14] AS keyword FROM documents, range(6) r(i)")
+       + " SELECT md5(keyword) AS keyword, site, book_id, score FROM s")
+def keyword_index_many(spark, d):
+    """Six keywords a text, cut out of it, against all texts: thousands of keywords, some very short."""
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring("text", i * 40 + 1, F.lit(14)))
+    keywords = table(spark, d, "documents").select(F.explode(cuts).alias("keyword"))
+    return S.match_keywords(_documents(spark, d), keywords, ["site", "book_id"]).select(
+        F.md5("keyword").alias("keyword"), "site", "book_id", F.col("score").cast("bigint"))
+
+
 @query("index_top_matches", _index_sql(_PARTS, _WORDS) + """ SELECT keyword, book_id, score, row_number() OVER
   (PARTITION BY keyword ORDER BY score DESC, strlen(raw_d) DESC, book_id) AS position FROM s
   QUALIFY position <= 10""")
