@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .phrases import PhraseTrie, replaced
 from .text import _col, is_blank, substitute, trim_u
 
 # Locale styles that ask for conversion.
@@ -20,19 +20,18 @@ def wants_conversion(style: str | None) -> bool:
 
 
 def to_simplified(c: Column | str, mapping: Mapping[str, str]) -> Column:
-    """Convert text; blank text passes through.  Single-character maps stay in the JVM, phrases
-    are replaced longest first by one Arrow pass."""
+    """Convert text; blank text passes through.  Single-character maps stay in the JVM; phrases, the
+    leftmost and there the longest, are replaced in one Arrow pass (see `phrases`), by a trie that is
+    built once and broadcast: the caller's mapping is what bounds its size."""
     x = _col(c)
     if all(len(k) == 1 for k in mapping):
         return F.when(is_blank(x), x).otherwise(substitute(x, mapping))
-    table = dict(mapping)
-    pattern = "|".join(re.escape(k) for k in sorted(table, key=len, reverse=True))
+    trie = SparkSession.getActiveSession().sparkContext.broadcast(PhraseTrie(mapping))
 
-    @F.pandas_udf("string")
     def convert(s: pd.Series) -> pd.Series:
-        return s.str.replace(pattern, lambda m: table[m.group()], regex=True)
+        return replaced(s, trie.value)
 
-    return F.when(is_blank(x), x).otherwise(convert(x))
+    return F.when(is_blank(x), x).otherwise(F.pandas_udf(convert, "string")(x))
 
 
 def keyword_for_locale(keyword: Column | str, style: Column | str, mapping: Mapping[str, str]) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import string
+
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
@@ -126,6 +129,15 @@ def phrase_conversion(spark, d):
     return docs(spark, d).select("doc_id", x.alias("x")).select("doc_id", F.md5("x").alias("h"))
 
 
+@query("phrase_table_conversion", r"""SELECT doc_id, md5(regexp_replace(text, '([etaoi][a-z]{3})|([a-z]{3})', '<\1|\2>', 'g')) AS h FROM documents""")
+def phrase_table_conversion(spark, d):
+    """A table of 105,456 phrases: all of three letters, and those of four that begin with a frequent one."""
+    three = ["".join(x) for x in itertools.product(string.ascii_lowercase, repeat=3)]
+    mapping = {x: f"<|{x}>" for x in three} | {c + x: f"<{c}{x}|>" for c in "etaoi" for x in three}
+    x = convert.to_simplified("text", mapping)
+    return docs(spark, d).select("doc_id", x.alias("x")).select("doc_id", F.md5("x").alias("h"))
+
+
 @query("keyword_locale", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN replace(text, 'e', 'E') ELSE text END AS keyword FROM benchmark")
 def keyword_locale(spark, d):
     b = table(spark, d, "benchmark")

@@ -70,14 +70,16 @@ def _rules(spark, d):
                                      F.lit(p).alias("priority"))
                             for rx, b, c, p in [(r"^/(en|fr)/(\d+)\.html$", 1, 2, 1), (r"^/(en|fr)/(\d+)/?$", 2, 0, 2)]])).alias("r"))
     own = own.select("site", "host", "r.*", F.lit(False).alias("any_host"))
-    other = spark.range(1).select(
-        F.lit("numbers").alias("site"), F.lit("numbers.example.com").alias("host"), F.lit(r"^/[a-z]{2}/(\d+)").alias("path_regex"),
-        F.lit(1).alias("book_group"), F.lit(0).alias("chapter_group"), F.lit(9).alias("priority"), F.lit(True).alias("any_host"))
-    return own.unionByName(other)
+    # rules for any host: by a language, by alternatives at the top, and a last one that knows no language
+    anywhere = [("german", r"^/de/(\d+)/?$", 1, 0, 5), ("either", r"^/es/(\d+)\.html$|^/es/x(\d+)$", 1, 0, 1), ("numbers", r"^/[a-z]{2}/(\d+)", 1, 0, 9)]
+    other = hosts.limit(1).select(F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(
+        ("site", "path_regex", "book_group", "chapter_group", "priority"), r, strict=True)]) for r in anywhere])).alias("r")).select("r.*")
+    return own.unionByName(other.withColumns({"host": F.concat("site", F.lit(".example.com")), "any_host": F.lit(True)}))
 
 
 @query("resolve_urls", f"""WITH p AS (SELECT page_id, regexp_replace(lower({_HOST}), '^www\\.', '') AS host, {_PATH} AS path FROM pages)
-  SELECT page_id, CASE WHEN regexp_matches(path, '^/(en|fr)/\\d+(\\.html|/?)$') THEN 'site-' || host WHEN regexp_matches(path, '^/[a-z]{{2}}/\\d+') THEN 'numbers' END AS site,
+  SELECT page_id, CASE WHEN regexp_matches(path, '^/(en|fr)/\\d+(\\.html|/?)$') THEN 'site-' || host WHEN regexp_matches(path, '^/es/(\\d+\\.html|x\\d+)$') THEN 'either'
+    WHEN regexp_matches(path, '^/de/\\d+/?$') THEN 'german' WHEN regexp_matches(path, '^/[a-z]{{2}}/\\d+') THEN 'numbers' END AS site,
     CASE WHEN regexp_matches(path, '^/(en|fr)/\\d+\\.html$') THEN path[2:3] WHEN regexp_matches(path, '^/[a-z]{{2}}/\\d+') THEN regexp_extract(path, '^/[a-z]{{2}}/(\\d+)', 1) END AS book_id,
     CASE WHEN regexp_matches(path, '^/(en|fr)/\\d+\\.html$') THEN regexp_extract(path, '/(\\d+)', 1) WHEN regexp_matches(path, '^/[a-z]{{2}}/\\d+') THEN '' END AS chapter_id,
     CASE WHEN regexp_matches(path, '^/[a-z]{{2}}/\\d+') THEN 'https://' || host || path END AS canonical FROM p""")
