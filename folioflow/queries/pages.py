@@ -11,6 +11,7 @@ from ..operators.library import collect_after_marker
 from ..operators.search import dedupe_hits
 from ..plans.ordering import join_text
 from ..sources import catalogs as C
+from ..operators.extraction import extract
 from ..sources import pages as P
 from ..sources import snapshots as N
 from . import query
@@ -61,11 +62,39 @@ def page_links(spark, d):
     return x.groupBy("page_id", F.col("l.href").alias("href"), F.col("l.text").alias("link_text")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_BLOCK_TEXT = "replace(replace(replace(replace(" + _ARTICLE + ", '<br>', chr(10)), '<p>', chr(10)), '</p>', chr(10)), '</h1>', chr(10))"
+
+#: Rules of three sources: where each finds its fields, in order of trial.
+RULES = [
+    ("s0", "title", 1, "head > title", "text", "", "first"), ("s0", "links", 1, "a[href]", "text", "", "all"), ("s0", "hrefs", 1, "nav > ul li > a", "url", "href", "all"),
+    ("s1", "title", 1, "head meta[name=title]", "attr", "content", "first"), ("s1", "title", 2, "body > p.title, h1", "text", "", "first"), ("s1", "title", 3, "article > h1", "text", "", "first"),
+    ("s1", "charset", 1, "meta[charset]", "attr", "charset", "first"), ("s1", "nothing", 1, "article nav", "text", "", "all"),
+    ("s2", "body", 1, "#content", "blocks", "", "first"), ("s2", "body", 2, "article", "blocks", "", "first"), ("s2", "advert", 1, "body > div.ad", "text", "", "first"), ("s2", "lang", 1, "html[lang]", "attr", "lang", "all")]
+
+_LABELS = f"list_transform(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>'), lambda x: {sql_clean(sql_strip('x'))})"
+_NAV = "regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a href=\"([^\"]*)\"', 1)"
+
+
+@query("extracted_fields", f"""WITH p AS (SELECT page_id, page_id % 3 AS s, html, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base FROM pages),
+  f AS (SELECT page_id, 'title' AS field, [{sql_clean(sql_unescape("regexp_extract(html, '<title>(.*?)</title>', 1)"))}] AS v FROM p WHERE s = 0
+    UNION ALL SELECT page_id, 'links', list_filter({_LABELS}, lambda x: x <> '') FROM p WHERE s = 0
+    UNION ALL SELECT page_id, 'hrefs', list_transform({_NAV}, lambda x: base || {sql_unescape('x')}) FROM p WHERE s = 0
+    UNION ALL SELECT page_id, 'title', [{sql_clean(sql_unescape("regexp_extract(html, '<h1>(.*?)</h1>', 1)"))}] FROM p WHERE s = 1
+    UNION ALL SELECT page_id, 'charset', [regexp_extract(html, 'charset="([^"]*)"', 1)] FROM p WHERE s = 1
+    UNION ALL SELECT page_id, 'body', [{sql_clean(sql_strip(_BLOCK_TEXT))}] FROM p WHERE s = 2
+    UNION ALL SELECT page_id, 'advert', [{sql_clean(sql_strip("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)"))}] FROM p WHERE s = 2
+    UNION ALL SELECT page_id, 'lang', [regexp_extract(html, '<html lang="([^"]*)"', 1)] FROM p WHERE s = 2)
+  SELECT page_id, field, len(v) AS n, md5(array_to_string(v, '|')) AS h FROM f WHERE len(v) > 0 AND v <> ['']""")
+def extracted_fields(spark, d):
+    rules = spark.createDataFrame(RULES, "site string, field string, ord int, selector string, mode string, attribute string, take string")
+    pages = _nodes(spark, d).withColumn("site", F.concat(F.lit("s"), F.col("page_id") % 3))
+    return extract(pages, rules).select("page_id", "field", F.size("values").alias("n"), F.md5(F.array_join("values", "|")).alias("h"))
+
+
 def _article(nodes="nodes"):
     return M.first(M.select(nodes, "article"))
 
 
-_BLOCK_TEXT = "replace(replace(replace(replace(" + _ARTICLE + ", '<br>', chr(10)), '<p>', chr(10)), '</p>', chr(10)), '</h1>', chr(10))"
 
 
 @query("node_texts", f"""SELECT page_id, md5({sql_clean(sql_strip(_BLOCK_TEXT))}) AS chapter_text, md5({sql_clean(sql_strip(_ARTICLE))}) AS plain,
