@@ -424,19 +424,27 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .mapInArrow(run, f"id {kind}, kept binary, spans array<struct<low: long, high: long>>").withColumnRenamed("id", id_col))
 
 
+RANGES = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+
+
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row, as `without_repeats` without the bytes."""
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, removed, removed_share) of each row, as
+    `without_repeats` without the bytes: `removed` has the removed ranges [low, high), `removed_share` is
+    their part of the bytes (0 for an empty text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             data = part.column("data").to_pylist()
             done = [_kept(d, s) for d, s in zip(data, part.column("spans").to_pylist(), strict=True)]
             sizes = [len(d or b"") for d in data]
+            gone = [n - len(k) for n, (k, _) in zip(sizes, done, strict=True)]
             yield pa.RecordBatch.from_arrays([
-                part.column("id"), pa.array(sizes, pa.int64()), pa.array([n - len(k) for n, (k, _) in zip(sizes, done, strict=True)], pa.int64()),
-                pa.array([len(m) for _, m in done], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in done], pa.string())],
-                ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                part.column("id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()),
+                pa.array([len(m) for _, m in done], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in done], pa.string()),
+                pa.array([[{"low": a, "high": b} for a, b in m] for _, m in done], RANGES), pa.array([g / max(n, 1) for g, n in zip(gone, sizes, strict=True)], pa.float64())],
+                ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "removed_share"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (_with_spans(docs, id_col, text_col, length, gram)
-            .mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col))
+            .mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<low: long, high: long>>, removed_share double")
+            .withColumnRenamed("id", id_col))
