@@ -12,14 +12,25 @@ BITS = 64 * WORDS
 PROBES = 2
 
 
-def bloom_of(members: DataFrame, value: Column) -> Broadcast:
-    """Filter of the long values of `value`.  At most `WORDS` rows come to the driver."""
-    places = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(i), value), F.lit(BITS)) for i in range(PROBES))))
-    words = (members.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("word"))
+def filter_of(places: DataFrame) -> Broadcast:
+    """Filter with the given places (column `p`, below `BITS`).  At most `WORDS` rows come to the driver."""
+    words = (places.groupBy(F.shiftright("p", 6).alias("word"))
              .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("bits"))).toArrow()
     table = np.zeros(WORDS, np.int64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return members.sparkSession.sparkContext.broadcast(table)
+    return places.sparkSession.sparkContext.broadcast(table)
+
+
+def bloom_of(members: DataFrame, value: Column) -> Broadcast:
+    """Filter of the values of a column."""
+    return filter_of(members.select(F.explode(F.array(*places_of(value))).alias("p")))
+
+
+def mixed_places(values: np.ndarray) -> list[np.ndarray]:
+    """Places of unsigned 64-bit integers, computed in tasks."""
+    h = values * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+    return [(h >> np.uint64(s) & np.uint64(BITS - 1)).view(np.int64) for s in (0, 32)]
 
 
 def places_of(value: Column) -> list[Column]:
