@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -328,6 +328,9 @@ def with_chapter_counts(results: DataFrame, chapters: DataFrame, sources: DataFr
     return results.join(counts, ["site", "book_id"], "left")
 
 
-def index_or_build(cached: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
-    """Use the cached index rows when there are any, else the builder's rows, deduplicated."""
-    return cached if cached.take(1) else dedupe_hits(build())
+def build_index(listings: DataFrame, cards: Column, order: list[str]) -> DataFrame:
+    """Index rows of listing pages (site, error and what `cards` reads): the cards of all pages that
+    could be fetched, each (site, book id) once, the first by `order` and its place on the page."""
+    read = listings.filter(F.coalesce("error", F.lit("")) == "")
+    hits = read.select("site", *order, F.posexplode(cards).alias("_place", "_card")).select("site", F.struct(*order, "_place").alias("ord"), "_card.*")
+    return dedupe_hits(hits).drop("ord")

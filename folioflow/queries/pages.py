@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions.text import clean_text
+from ..operators.extraction import extract
 from ..operators.lines import is_ad_line
 from ..operators.library import collect_after_marker
-from ..operators.search import dedupe_hits
+from ..operators.search import build_index, dedupe_hits
+from ..plans.checkpoints import scratch_dir
 from ..plans.ordering import join_text
 from ..sources import catalogs as C
-from ..operators.extraction import extract
 from ..sources import pages as P
 from ..sources import snapshots as N
 from . import query
@@ -408,3 +409,25 @@ def usable_snapshots(spark, d):
 def sources_to_rebuild(spark, d):
     s = _snapshots(spark, d)
     return N.missing_sources(s.select("site").distinct(), s, F.lit(_NOW).cast("timestamp_ntz"), 90)
+
+
+@query("refreshed_index", """WITH x AS (SELECT p_partkey, p_partkey % 6 AS s FROM part)
+  SELECT 's' || s AS site, CASE WHEN s IN (2, 3, 4) THEN '' ELSE 'old' END || p_partkey AS book_id, s <> 5 AS is_fresh FROM x WHERE s NOT IN (2, 3, 4) OR p_partkey % 17 <> 0""")
+def refreshed_index(spark, d):
+    """Six sources: two with a fresh index, two with a stale one, one with none, one stale and out of reach."""
+    now = F.lit("2024-03-01 12:00:00").cast("timestamp")
+    source = F.concat(F.lit("s"), F.col("p_partkey") % 6)
+    part = table(spark, d, "part").select("p_partkey", source.alias("site"), "p_name")
+    path = f"{scratch_dir(spark)}/index"
+    blank = [F.lit("").alias(c) for c in ("author", "description", "url", "latest_chapter", "cover_url")]
+    old = part.filter("site <> 's4'").select("site", F.concat(F.lit("old"), "p_partkey").alias("book_id"), F.col("p_name").alias("title"), *blank)
+    N.write_snapshot(old.filter("site IN ('s0', 's1')"), path, now - F.expr("INTERVAL 1 DAY"))
+    N.write_snapshot(old, path, now - F.expr("INTERVAL 30 DAY"))
+    listings = _cards(spark, d).withColumns({"site": source, "error": F.when((F.col("p_partkey") % 17 == 0) | (F.col("p_partkey") % 6 == 5), F.lit("http 404"))})
+    cards = M.search_cards("nodes", "url", r"^/book/(\d+)/?$", "作者：", "最新章节：")
+
+    def build(sources):
+        hits = build_index(listings.join(sources, "site", "left_semi"), cards, ["p_partkey"])
+        return hits.withColumns({c: F.lit("") for c in N.ITEM if c not in hits.columns})
+
+    return N.refreshed(spark, path, part.select("site"), build, now).select("site", "book_id", "is_fresh")

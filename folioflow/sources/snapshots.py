@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import materialise
+
 # Fixed value: age at which an index counts as stale.
 TTL_DAYS = 7
 ITEM = ["book_id", "title", "author", "description", "url", "latest_chapter", "cover_url"]
 
 
 def write_snapshot(items: DataFrame, path: str, generated_at: Column) -> None:
-    """Append one snapshot per source.  Rows stay rows: a source's index is never one cell."""
+    """Add one snapshot per source.  Rows stay rows: a source's index is never one cell.  A snapshot of
+    the same source and time is replaced, so a repeated write changes nothing."""
     (items.select("site", generated_at.alias("generated_at"), *ITEM)
-     .write.partitionBy("site", "generated_at").mode("append").parquet(path))
+     .write.partitionBy("site", "generated_at").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -41,3 +46,16 @@ def usable(snapshots: DataFrame, now: Column, ttl_days: int = TTL_DAYS) -> DataF
 def missing_sources(sources: DataFrame, snapshots: DataFrame, now: Column, ttl_days: int = TTL_DAYS) -> DataFrame:
     """Sources whose index must be rebuilt: no fresh snapshot."""
     return sources.join(fresh(snapshots, now, ttl_days).select("site").distinct(), "site", "left_anti")
+
+
+def refreshed(spark: SparkSession, path: str, sources: DataFrame, build: Callable[[DataFrame], DataFrame], now: Column, ttl_days: int = TTL_DAYS) -> DataFrame:
+    """The index of all sources, rebuilt where it is missing or stale.
+
+    `build` turns the sources to rebuild into hits; what it finds is written as a snapshot of `now` and read
+    again.  A source whose building yields nothing keeps its stale snapshot; one that never had any is
+    not in the result.
+    """
+    rebuild = materialise(missing_sources(sources.select("site").distinct(), read_snapshots(spark, path), now, ttl_days))
+    built = build(rebuild)
+    write_snapshot(built.join(rebuild, "site", "left_semi"), path, now)
+    return usable(read_snapshots(spark, path), now, ttl_days).join(sources.select("site").distinct(), "site", "left_semi")
