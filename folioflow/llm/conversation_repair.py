@@ -118,11 +118,11 @@ def _reduced(cell: Cell, at_end: bool) -> list[Cell]:
 
 @functools.cache
 def shifted(cell: Cell, role: str) -> tuple[Cell, ...]:
-    """Stacks after a turn of a role; those that can neither go on nor end are left out."""
+    """Stacks after a turn of a role: those that can go on, or else those that can end."""
     if (cell.state, role) not in MOVES:
         return ()
     made = _reduced(cell.push(MOVES[cell.state, role]), False)
-    return tuple(c for c in made if any((c.state, x) in MOVES for x in ROLE) or accepted(c))
+    return tuple(c for c in made if any((c.state, x) in MOVES for x in ROLE)) or tuple(filter(accepted, made))
 
 
 @functools.cache

@@ -29,7 +29,8 @@ from .components import components
 EDITS = 2
 LEAST_CHARS = 24
 MOST_REMOVED, EVERY_LINE = 0.5, 1.0
-COUNTED = "entaoirsdlucmhpg"
+COUNTED = "entaoirs"
+BITS = 3 * len(COUNTED)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -155,15 +156,15 @@ def verified(a: Column, b: Column, edits: int) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line, key) of every line that is not blank; key is its name and a 64-bit hash."""
+    """(id, line_no, line, key) of every line that is not blank; key is two 64-bit hashes."""
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
     rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\f"))).where("line <> ''")
-    return rows.withColumn("key", F.struct(name_of(F.col("line")).alias("k"), F.xxhash64(F.lit(1), "line").alias("k2")))
+    return rows.withColumn("key", F.struct(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")))
 
 
-def name_of(line: Column) -> Column:
-    """16 bits of a hash before 3 bits for each counted letter."""
-    out = F.shiftleft(F.xxhash64(line), 48)
+def name_of(line: Column, hashed: Column) -> Column:
+    """The upper bits of a hash before 3 bits for each counted letter."""
+    out = F.shiftleft(hashed, BITS)
     for i, letter in enumerate(COUNTED):
         times = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
         out = out.bitwiseOR(F.shiftleft((times % 8).cast("long"), 3 * i))
@@ -219,7 +220,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     is combined before.  Lines with one name are kept apart by their texts, and compared with each other.
     """
     once = (lines.where(F.char_length("line") >= max(least_chars, 2 * edits + 2))
-            .groupBy(F.col("key.k").alias("k")).agg(F.collect_set(F.struct("key", "line")).alias("all")))
+            .groupBy(name_of(F.col("line"), F.col("key.k1")).alias("k")).agg(F.collect_set(F.struct("key", "line")).alias("all")))
     distinct = once.select("k", F.explode("all").alias("one")).select("k", "one.key", "one.line")
     pairs = candidates(distinct.select("k", "line"), edits)
     a, b = (distinct.select(F.col("k").alias(x), F.col("key").alias(f"key_{x}"), F.col("line").alias(f"line_{x}")) for x in "ab")

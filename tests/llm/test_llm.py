@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioflow.llm import bpe, chroma, components, language, lines, mixing, queries, resemblance, simhash, spotsigs, suffixes, token_files, toxicity
+from folioflow.llm import bpe, chroma, components, language, lines, mixing, ngram_join, queries, simhash, spotsigs, suffixes, token_files, toxicity
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 # columns whose names the operators use inside
@@ -352,54 +352,6 @@ def test_simhash_blocks_at_every_level(shared, block):
     assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, by_brute.values()))
 
 
-# ---- resemblance -----------------------------------------------------------------------------------
-
-def near_copies(rng, count, words=120):
-    """Texts with copies of which a few words differ."""
-    out = []
-    for i in range(count):
-        base = [f"w{rng.randrange(5000)}" for _ in range(words)]
-        out.append(" ".join(base))
-        for _ in range(4):
-            copy = list(base)
-            for _ in range(rng.randint(0, 5)):
-                copy[rng.randrange(words)] = f"x{rng.randrange(5000)}"
-            out.append(" ".join(copy))
-    return out
-
-
-def jaccard_groups(rows):
-    """The least id of each id's group, by all pairs."""
-    sets = {d: {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").split()) else set() for d, t in rows}
-    parent = {d: d for d in sets}
-    for a, b in itertools.combinations(sets, 2):
-        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
-            x, y = find(parent, a), find(parent, b)
-            parent[max(x, y)] = min(x, y)
-    return {d: find(parent, d) for d in sets}
-
-
-def test_groups_by_jaccard_are_those_of_all_pairs(shared):
-    rng = random.Random(12)
-    notice = " ".join(f"notice{i}" for i in range(60))
-    texts = near_copies(rng, 25) + [f"{notice} {t}" for t in near_copies(rng, 12, 40)] + ["", None, "a", "a", "one two three", " "]
-    rows = list(enumerate(texts))
-    rng.shuffle(rows)
-    got = {r["doc_id"]: r["component_id"] for r in resemblance.groups(documents(shared, rows)).collect()}
-    want = jaccard_groups(rows)
-    assert got == want and 37 < len(set(want.values())) < len(want)
-    assert resemblance.groups(documents(shared, [])).collect() == []
-
-
-def test_pipeline_drops_copies_that_two_bits_keep(shared):
-    import corpus_pipeline as pipeline
-    rows = list(enumerate(near_copies(random.Random(13), 10)))
-    docs = documents(shared, rows)
-    want = set(jaccard_groups(rows).values())
-    assert {r["doc_id"] for r in pipeline.drop_near_duplicates(shared, docs, "").collect()} == want
-    assert len({r["component_id"] for r in simhash.near_duplicates(docs).collect()}) > len(want)
-
-
 # ---- lines -----------------------------------------------------------------------------------------
 
 def edits_between(a, b):
@@ -465,11 +417,11 @@ def test_lines_of_one_name_are_linked(shared):
     signs = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ!?.,;:"
     rows = [(i, f"Order {a} was sent to you on day {b} of it") for i, (a, b) in enumerate(itertools.product(signs, signs))]
     by_name = defaultdict(list)
-    for r in shared.createDataFrame(rows, "i long, line string").select("line", lines.name_of(F.col("line")).alias("k")).collect():
+    for r in shared.createDataFrame(rows, "i long, line string").select("line", lines.name_of(F.col("line"), F.xxhash64("line")).alias("k")).collect():
         by_name[r["k"]].append(r["line"])
     same = next(v for v in by_name.values() if len(v) > 1)[:2]
     found = lines.line_links(lines.lines_of(documents(shared, list(enumerate(same))), "doc_id", "text")).collect()
-    assert len(found) == 1 and found[0]["a"]["k"] == found[0]["b"]["k"] and found[0]["a"] != found[0]["b"]
+    assert len(found) == 1 and found[0]["a"] != found[0]["b"]
 
 
 def test_repeated_lines_go_but_copies_stay(shared):
@@ -607,19 +559,71 @@ def test_pipeline_stages(shared, sf, tmp_path):
     assert kept["toxicity"].join(labels, "doc_id").where("toxic = 0").count() >= 0.97 * labels.join(shared.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("toxic = 0").count()
     ids = [r[0] for r in kept["line_dedup"].select("doc_id").collect()]
     assert sorted(ids) == sorted(r[0] for r in kept["toxicity"].select("doc_id").collect())
-    groups = simhash.near_duplicates(kept["line_dedup"]).collect()
-    assert sorted(r[0] for r in kept["simhash"].select("doc_id").collect()) == sorted({r["component_id"] for r in groups})
-    assert {r[0] for r in kept["mixing"].select("doc_id").collect()} == {r["component_id"] for r in groups}
+    stay = near_duplicates_by_hand([(r["doc_id"], r["text"]) for r in kept["line_dedup"].collect()])
+    assert sorted(r[0] for r in kept["simhash"].select("doc_id").collect()) == sorted(stay)
+    assert {r[0] for r in kept["mixing"].select("doc_id").collect()} == set(stay)
     assert kept["bpe"].count() == kept["mixing"].count()
 
 
-def test_pipeline_rejects_what_op1_calls_toxic(shared, sf, monkeypatch):
+def near_duplicates_by_hand(rows):
+    """Least id of each component of texts with a Jaccard similarity of 0.8, compared pair by pair."""
+    sets = [frozenset(ngram_join.token_set(t, 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        common = Counter(j for x in s for j in holders[x])
+        for j in range(i) if not s else common:
+            if (not s and not sets[j]) or (s and 100 * common[j] >= 80 * (len(s) + len(sets[j]) - common[j])):
+                root[find(i)] = find(j)
+        for x in s:
+            holders[x].append(i)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), (True, 0)), (key is None, key or 0))
+    return [None if unknown else key for unknown, key in least.values()]
+
+
+COPY = "one of many words that stand in a text which is here twice and once more under no id at all"
+
+
+def test_pipeline_stages_on_odd_rows(shared, sf):
+    """Rows are judged one by one: equal and null ids, copies, empty, null and long texts, empty tables."""
+    import corpus_pipeline as pipeline
+    rows = [(5, "a text that has nothing to do with the other one under this id"), (5, COPY), (5, COPY), (None, COPY), (None, "no id and no copy of any other text here"),
+            (7, COPY + " but longer"), (1, ""), (2, None), (3, " \n "), (4, "x"), (6, LONG), (8, LONG + " end")]
+    docs = shared.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in pipeline.STAGES:
+        assert stage(shared, docs.limit(0), sf).collect() == []
+    ids = lambda df: sorted((str(r["doc_id"]) for r in df.collect()))
+    assert ids(pipeline.drop_repeated_lines(shared, docs, sf)) == ids(docs)
+    kept = pipeline.drop_near_duplicates(shared, docs, sf)
+    assert ids(kept) == ids(docs.where("false")) + sorted(map(str, near_duplicates_by_hand(rows)))
+    texts = [r["text"] for r in kept.collect()]
+    assert texts.count(COPY) + texts.count(COPY + " but longer") == 1 and "a text that has nothing to do with the other one under this id" in texts
+    assert ids(pipeline.mix_sources(shared, docs, sf)) and len(pipeline.encode(shared, docs, sf).collect()) == len(rows)
+
+
+def test_pipeline_toxicity_by_row(shared, sf, monkeypatch):
+    """A toxic row goes though a clean one has its id, also a null one."""
     import corpus_pipeline as pipeline
-    docs = documents(shared, [(i, f"text {i}") for i in range(10)])
-    value = F.col("doc_id") / 10
-    monkeypatch.setattr(toxicity, "score", lambda d, *_: d.select("doc_id", value.alias("score"), (value >= 0.3).cast("int").alias("predicted")))
-    assert sorted(r["doc_id"] for r in pipeline.drop_toxic(shared, docs, sf).collect()) == [0, 1, 2]
+    docs = shared.createDataFrame([(1, "bad"), (1, "good"), (None, "bad"), (None, "good"), (2, "bad"), (3, "good")], "doc_id long, text string")
+    seen = []
+
+    def score(d, labels, learning, id_col):
+        seen.append((sorted(r[0] for r in labels.collect()), d.where(learning).count()))
+        return d.select(id_col, F.when(F.col("text") == "bad", 1.0).otherwise(0.0).alias("score"), (F.col("text") == "bad").cast("int").alias("predicted"))
+
+    monkeypatch.setattr(toxicity, "score", score)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in pipeline.drop_toxic(shared, docs, sf).collect())
+    assert got == [("1", "good"), ("3", "good"), ("None", "good")]
+    assert seen[0][1] == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in (1, 1, 2, 3)) + 2 * (zlib.crc32(b"") % 4 != 2)
 
 
 def test_registered_queries():
-    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(i) for i in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(i) for i in range(1, 14)]
