@@ -240,11 +240,13 @@ def score(docs: DataFrame, labels: DataFrame, learning: Column, id_col: str = "d
     """(id, score, predicted) of each row of `docs`.
 
     `learning` picks the rows (by the id column) that may teach.  Null and empty texts are scored like
-    any text without a term; repeated rows get equal scores; with no labelled row, or labels of one
-    class only, every score is 0 or 1 by that class (0 without labels); an empty table gives no rows.
+    any text without a term; repeated rows get equal scores; with no labelled row that may teach and has a
+    text here, or labels of one class only, every score is 0 or 1 by that class (0 without labels); an empty
+    table gives no rows.
     """
     sample = F.broadcast(materialise(sampled(labels, learning, id_col, label_col, sample_rows)))
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    present = docs.select(F.col(id_col).alias("id")).distinct().join(sample, "id")  # labels of texts that are not here teach nothing
+    sizes = {r["label"]: r["n"] for r in present.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         flat = docs.select(F.col(id_col), F.lit(1.0 if pos else 0.0).alias("score"))
