@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import first_non_blank, is_blank, nullif_blank, trim_u
+from ..functions.text import is_blank, nullif_blank, trim_u
 from ..plans.checkpoints import materialise
-from ..plans.ordering import block_of, number_rows
+from ..plans.ordering import block_of, number_rows, number_rows_any
 from .lines import is_reusable, is_reusable_for
 
 BOOK = ["site", "book_id"]
@@ -343,9 +343,9 @@ def collect_after_marker(rows: DataFrame, keys: list[str], order: str, is_marker
             .filter(F.col("_from").isNull() | (F.col(order) > F.col("_from"))).filter(~is_marker).drop("_from"))
 
 
-def sort_in_volume(items: DataFrame, keys: list[str], volume_pos: str, key: str, pos: str) -> DataFrame:
-    """Reading order of catalog items: volumes in place, items by key inside a volume."""
-    return items.orderBy(*keys, volume_pos, key, pos)
+def volume_positions(items: DataFrame, keys: list[str], volume_pos: str, key: str, pos: list[str], out: str = "pos") -> DataFrame:
+    """Reading order of catalog items as a number: volumes in place, items by key inside a volume."""
+    return number_rows_any(items, keys, [F.col(c) for c in (volume_pos, key, *pos)], out)
 
 
 def merge_ordered(a: Column | str, b: Column | str) -> Column:
@@ -354,7 +354,3 @@ def merge_ordered(a: Column | str, b: Column | str) -> Column:
 
 def without(items: Column | str, value: str) -> Column:
     return F.filter(F.col(items) if isinstance(items, str) else items, lambda x: x != value)
-
-
-def chapter_title_or(title: Column | str, other: Column | str) -> Column:
-    return first_non_blank(title, other)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.labels import eta_label, eta_seconds
 from ..functions.text import is_blank, nullif_blank, trim_u
-from ..plans.ordering import BLOCK, with_lookback
+from ..plans.ordering import BLOCK, block_of, running, with_lookback, with_previous
 
 # Rate window, sample cap, message cap, fast-probe limit, restart text.
 RATE_WINDOW_SECONDS = 30.0
@@ -59,6 +59,16 @@ def windowed_rates(progress: DataFrame, window: float = RATE_WINDOW_SECONDS, max
             .withColumn("eta", eta_label(eta_seconds("done", "total", "rate"))))
 
 
+def sample_flags(progress: DataFrame, block_rows: int = 100_000) -> DataFrame:
+    """Progress rows with `reset` (fewer done than before), `repeat` (as many, at no later time) and
+    `segment`, the number of resets up to the row."""
+    block = block_of("seq", block_rows)
+    rows = with_previous(progress.withColumn("_at", _micros("ts")), ["task_id"], "seq", block, _done="done", _before="_at")
+    flags = rows.withColumns({"reset": F.coalesce(F.col("done") < F.col("_done"), F.lit(False)),
+                              "repeat": F.coalesce((F.col("done") == F.col("_done")) & (F.col("_at") <= F.col("_before")), F.lit(False))})
+    return running(flags.drop("_done", "_before", "_at"), ["task_id"], "seq", block, segment=("sum", F.col("reset").cast("bigint")))
+
+
 # ---- task state -------------------------------------------------------------------------------
 
 def fold_tasks(events: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import library as L
-from ..plans.ordering import block_of, number_rows, number_rows_any
+from ..plans.ordering import block_of, number_rows
+from ..plans.stages import register_step, staged
 from . import query
 from .text import sql_trim
 from .views import CHAPTERS, HITS, chapters, hits, table, turns
@@ -345,8 +346,7 @@ def zero_based_pages(spark, d):
 def volume_sorted_catalog(spark, d):
     li = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag",
                                                 "coalesce(nullif(CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_partkey END, 0), l_suppkey) AS sort_key")
-    order = [F.col(c) for c in ("l_returnflag", "sort_key", "l_linenumber", "l_partkey")]
-    return number_rows_any(li, ["l_orderkey"], order, "pos").select("l_orderkey", "l_linenumber", "l_partkey", "pos")
+    return L.volume_positions(li, ["l_orderkey"], "l_returnflag", "sort_key", ["l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "pos")
 
 
 @query("ordered_union_and_removal", """WITH x AS (SELECT o_custkey, o_orderkey, o_orderstatus AS a, substr(o_orderpriority, 1, 1) AS b FROM orders)
@@ -363,3 +363,11 @@ def ordered_unique(spark, d):
     from ..functions.text import ordered_unique as unique
     p = table(spark, d, "pages").select("page_id", unique(F.array(F.concat(F.lit(" "), "url", F.lit("//")), F.col("url"), F.lit(" "), F.lit("x"))).alias("u"))
     return p.select("page_id", F.get("u", F.lit(0)).alias("first_url"), F.size("u").alias("n"))
+
+
+@query("staged_chapters", f"""WITH {CHAPTERS} SELECT chapter_id, 'Custom' AS stage, md5(replace({sql_trim("replace(replace(replace(content, chr(13), chr(10)), chr(8203), ''), chr(65279), '')")}, 'e', 'E')) AS h FROM chapters""")
+def staged_chapters(spark, d):
+    """A chain of named steps: the cleaner, one that nobody knows and one of the caller's own, which names the stage."""
+    register_step("custom", lambda df, _: df.withColumn("content", F.replace("content", F.lit("e"), F.lit("E"))))
+    staged_rows = staged(chapters(spark, d), [("cleaner", {"remove_invisible": True}), ("nobody knows", {}), ("Custom", {})])
+    return staged_rows.select("chapter_id", "stage", F.md5("content").alias("h"))

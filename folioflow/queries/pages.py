@@ -213,7 +213,7 @@ def multi_page_chapters(spark, d):
     body = M.node_text_breaks("nodes", M.first(M.select(M.subtree("nodes", M.first(M.select("nodes", id="content"))), "p")))
     title = clean_text(M.node_text("nodes", M.first(M.within(M.select("nodes", "h1"), M.select("nodes", cls="bookname")))))
     rows = x.select("conv_id", "turn", F.array_join(clean_body_lines(body, "next_page"), "\n").alias("body"), title.alias("title"))
-    parts = join_text(rows.filter("body <> ''"), ["conv_id"], "turn", "body", "\n", F.floor(F.col("turn") / 1000))
+    parts = join_text(rows.filter("body <> ''"), ["conv_id"], "turn", "body", "\n", F.lit(0))  # a chapter is one text
     titles = rows.groupBy("conv_id").agg(F.min_by("title", F.when(F.col("title") != "", F.col("turn"))).alias("title"))
     return parts.join(titles, "conv_id").filter("title IS NOT NULL").select("conv_id", F.md5("body").alias("h"), "title")
 
@@ -431,3 +431,13 @@ def refreshed_index(spark, d):
         return hits.withColumns({c: F.lit("") for c in N.ITEM if c not in hits.columns})
 
     return N.refreshed(spark, path, part.select("site"), build, now).select("site", "book_id", "is_fresh")
+
+
+@query("scanned_pages", "SELECT url, md5(html) AS h, count(*) AS n FROM pages GROUP BY ALL")
+def scanned_pages(spark, d):
+    """Pages as a crawl table of raw bytes, written and scanned with its fixed schema."""
+    path = f"{scratch_dir(spark)}/crawl"
+    table(spark, d, "pages").select("url", F.lit("text/html; charset=utf-8").alias("content_type"), F.col("html").cast("binary").alias("body"),
+                                    F.timestamp_micros("page_id").alias("fetched_at"), F.lit(1).alias("more")).write.parquet(path)
+    x = P.scan_pages(spark, path)
+    return x.groupBy("url", F.md5(P.decoded("body", "content_type")).alias("h")).agg(F.count(F.lit(1)).alias("n"))

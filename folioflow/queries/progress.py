@@ -32,24 +32,17 @@ def windowed_rate(spark, d):
 @query("reset_segments", f"""WITH {PROGRESS}, a AS (SELECT *, lag(done) OVER (PARTITION BY task_id ORDER BY seq) AS pd FROM progress)
   SELECT task_id, seq, CAST(sum(CASE WHEN done < pd THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY seq) AS BIGINT) AS segment FROM a""")
 def reset_segments(spark, d):
-    from ..plans.ordering import running, with_previous
-    p = progress(spark, d)
-    block = block_of("seq", 5_000)
-    rows = with_previous(p, ["task_id"], "seq", block, _pd="done")
-    reset = F.when(F.col("done") < F.col("_pd"), F.lit(1)).otherwise(F.lit(0))
-    return running(rows, ["task_id"], "seq", block, segment=("sum", reset)).select("task_id", "seq", "segment")
+    return P.sample_flags(progress(spark, d), 5_000).select("task_id", "seq", "segment")
 
 
 @query("repeat_samples", """WITH p AS (SELECT event_type AS task_id, event_id AS seq, epoch_us(ts) // 3600000000 AS hour, event_id // 100 AS done FROM events),
   a AS (SELECT *, lag(done) OVER w AS pd, lag(hour) OVER w AS ph FROM p WINDOW w AS (PARTITION BY task_id ORDER BY seq))
   SELECT task_id, count(*) AS n, count(*) FILTER (WHERE done = pd AND hour <= ph) AS repeats FROM a GROUP BY task_id""")
 def repeat_samples(spark, d):
-    from ..plans.ordering import with_previous
-    p = table(spark, d, "events").selectExpr("event_type AS task_id", "event_id AS seq",
-                                             "unix_micros(CAST(ts AS TIMESTAMP)) DIV 3600000000 AS hour", "event_id DIV 100 AS done")
-    rows = with_previous(p, ["task_id"], "seq", block_of("seq", 5_000), _pd="done", _ph="hour")
-    again = (F.col("done") == F.col("_pd")) & (F.col("hour") <= F.col("_ph"))
-    return rows.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(again, F.lit(False))).alias("repeats"))
+    """Times in whole hours and counts in hundreds, so that samples repeat."""
+    p = table(spark, d, "events").selectExpr("event_type AS task_id", "event_id AS seq", "date_trunc('HOUR', ts) AS ts", "event_id DIV 100 AS done")
+    flags = P.sample_flags(p, 5_000)
+    return flags.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("repeat").alias("repeats"))
 
 
 #: Progress twenty times as fast, with a new book every 211th row; the SQL walks all tasks row by row.
@@ -127,9 +120,9 @@ def closed_orphans(spark, d):
     return P.close_orphans(t, F.lit("2024-02-01").cast("timestamp_ntz"), " restart ").select("task_id", "status", "error", "closed")
 
 
-@query("task_order", f"WITH {_TASKS} SELECT task_id, status FROM tasks ORDER BY updated_at DESC, created_at DESC LIMIT 25")
+@query("task_order", f"WITH {_TASKS} SELECT task_id, status FROM tasks ORDER BY updated_at DESC, created_at DESC")
 def task_order(spark, d):
-    return P.fold_tasks(_task_events(spark, d)).orderBy(*P.task_order()).limit(25).select("task_id", "status")
+    return P.fold_tasks(_task_events(spark, d)).orderBy(*P.task_order()).select("task_id", "status")
 
 
 @query("tasks_to_export_again", f"WITH {_TASKS} SELECT task_id, status FROM tasks WHERE status IN ('completed', 'failed', 'queued')")

@@ -312,10 +312,10 @@ def index_top_matches(spark, d):
   s AS (SELECT book_id, title, CASE WHEN t = k THEN 4000 WHEN starts_with(t, k) THEN 3000 - abs(strlen(t) - strlen(k))
     WHEN contains(t, k) THEN 2000 - abs(strlen(t) - strlen(k)) ELSE -1 END AS score FROM x)
   SELECT book_id, title, CAST(score AS BIGINT) AS score FROM s WHERE score >= 0
-  ORDER BY score DESC, strlen(title), book_id LIMIT 100""")
+  ORDER BY score DESC, strlen(title), book_id""")
 def title_index_ranking(spark, d):
     items = table(spark, d, "part").selectExpr("CAST(p_partkey AS STRING) AS book_id", "p_name AS title")
-    return (S.title_ranking(items, F.lit("Bolt!")).orderBy(*S.title_order()).limit(100)
+    return (S.title_ranking(items, F.lit("Bolt!")).orderBy(*S.title_order())
             .select("book_id", "title", F.col("score").cast("bigint")))
 
 
@@ -408,9 +408,7 @@ def chapter_counts(spark, d):
     return S.with_chapter_counts(hits(spark, d).select("site", "book_id"), ch, sources(spark, d))
 
 
-@query("search_warnings", """SELECT 'task' || user_id AS site, event_type AS error, count(*) AS n FROM events
-  WHERE event_type IN ('error', 'signup') GROUP BY ALL""")
+@query("search_warnings", """SELECT 'task' || user_id AS site, event_type AS error, count(*) AS n FROM events GROUP BY ALL""")
 def search_warnings(spark, d):
-    e = table(spark, d, "events").filter("event_type IN ('error', 'signup')").selectExpr(
-        "concat('task', user_id) AS site", "event_type AS error")
+    e = table(spark, d, "events").selectExpr("concat('task', user_id) AS site", "event_type AS error")
     return S.warnings_by_source(e)

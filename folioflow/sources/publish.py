@@ -1,13 +1,14 @@
 """Publishing: file names, formats, and TXT, HTML and EPUB output.
 
-A book is written in parts of a bounded number of chapters, because one book may be as large as
-the library.  The TXT and HTML parts of a book joined in order are exactly the whole file; each
-EPUB part is a complete volume.  Most books have one part.
+A book is written in parts that begin every `PART_BYTES` of its text, because one book may be as large
+as the library.  The TXT and HTML parts of a book joined in order are exactly the whole file; each EPUB
+part is a complete volume.  Books below that size have one part.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import io
 import re
 import xml.etree.ElementTree as ET
@@ -24,9 +25,10 @@ from ..functions.labels import book_uuid
 from ..functions.text import fallback, file_name, html_escape, html_escape_breaks
 from ..functions.urls import book_id_from_url, usable_metadata
 from ..operators.library import BOOK
-from ..plans.ordering import join_text
+from ..plans.ordering import block_of, join_text, running
 
-CHAPTERS_PER_PART = 2_000
+PART_BYTES = 64 << 20
+BLOCK_ROWS = 10_000
 # Formats, default name template and names, style and words of the layouts.
 FORMATS = ("txt", "html", "epub")
 NAME_TEMPLATE = "{title}_{author}"
@@ -64,8 +66,11 @@ def format_requests(books: DataFrame, requested: str, configured: str) -> DataFr
             .withColumn("supported", F.col("format").isin(*FORMATS)))
 
 
-def _part(order: str) -> Column:
-    return F.floor((F.col(order) - 1) / CHAPTERS_PER_PART).cast("int")
+def with_parts(rows: DataFrame, size: Column, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Add the `part` of each row of a book: how often `part_bytes` go into what stands before it."""
+    sized = rows.withColumn("_size", size.cast("bigint"))
+    upto = running(sized, BOOK, "order_index", block_of("order_index", BLOCK_ROWS), _upto=("sum", F.col("_size")))
+    return upto.withColumn("part", F.floor((F.col("_upto") - F.col("_size")) / part_bytes).cast("int")).drop("_size", "_upto")
 
 
 def _without_nulls(df: DataFrame, *columns: str) -> DataFrame:
@@ -73,7 +78,7 @@ def _without_nulls(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
 
 
-def txt_parts(books: DataFrame, chapters: DataFrame) -> DataFrame:
+def txt_parts(books: DataFrame, chapters: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """(site, book_id, part, body) of the plain-text layout; chapters numbered from 1."""
     books, chapters = _without_nulls(books, "title", "author", "description"), _without_nulls(chapters, "title", "content")
     about = F.when(F.col("description") != "", F.concat(F.lit("\n"), F.col("description"), F.lit("\n"))).otherwise(F.lit(""))
@@ -81,10 +86,11 @@ def txt_parts(books: DataFrame, chapters: DataFrame) -> DataFrame:
         F.col("title"), F.lit("\nAuthor: "), F.col("author"), F.lit("\n"), about).alias("text"))
     body = chapters.select(*BOOK, F.col("order_index").cast("bigint"), F.concat(
         F.lit("\n\n# "), F.col("title"), F.lit("\n\n"), txt_body("content"), F.lit("\n")).alias("text"))
-    return join_text(head.unionByName(body), BOOK, "order_index", "text", "", F.greatest(_part("order_index"), F.lit(0)))
+    rows = with_parts(head.unionByName(body), F.octet_length("text"), part_bytes)
+    return join_text(rows, BOOK, "order_index", "text", "", F.col("part"))
 
 
-def html_parts(books: DataFrame, chapters: DataFrame) -> DataFrame:
+def html_parts(books: DataFrame, chapters: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """(site, book_id, part, body) of the HTML layout; chapters numbered from 1."""
     books, chapters = _without_nulls(books, "title", "author", "description"), _without_nulls(chapters, "title", "content")
     about = F.when(F.col("description") != "", F.concat(
@@ -98,9 +104,8 @@ def html_parts(books: DataFrame, chapters: DataFrame) -> DataFrame:
     tail = (books.select(*BOOK).join(last, BOOK, "left")
             .select(*BOOK, (F.coalesce("_n", F.lit(0)) + 0.5).alias("order_index"), F.lit("</body></html>").alias("text")))
     rows = head.unionByName(body).withColumn("order_index", F.col("order_index").cast("double")).unionByName(tail)
-    # the tail sits half a step after the last chapter and shares its part
-    part = F.greatest(F.floor((F.floor("order_index") - 1) / CHAPTERS_PER_PART), F.lit(0)).cast("int")
-    return join_text(rows, BOOK, "order_index", "text", "", part)
+    # the tail sits half a step after the last chapter
+    return join_text(with_parts(rows, F.octet_length("text"), part_bytes), BOOK, "order_index", "text", "", F.col("part"))
 
 
 # ---- EPUB -----------------------------------------------------------------------------------------
@@ -214,7 +219,7 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"site": [site], "book_id": [book_id], "part": [part], "content": [_volume(list(group))]})
 
 
-def epub_parts(books: DataFrame, chapters: DataFrame, assets: DataFrame, date: str) -> DataFrame:
+def epub_parts(books: DataFrame, chapters: DataFrame, assets: DataFrame, date: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """(site, book_id, part, content) with one EPUB volume per part.
 
     `assets` is a table (url, media_type, data) of ready images; images without an asset stay text
@@ -226,19 +231,19 @@ def epub_parts(books: DataFrame, chapters: DataFrame, assets: DataFrame, date: s
         *BOOK, fallback("title", "book_id").alias("book_title"), fallback("author", F.lit("unknown")).alias("book_author"),
         F.col("description").alias("book_description"), F.coalesce("cover_url", F.lit("")).alias("cover_url"),
         book_uuid("site", "book_id", "title").alias("uuid"))
-    rows = (chapters.select(*BOOK, F.col("order_index").cast("bigint"), "title", chapter_blocks("content").alias("blocks"),
-                            F.col("content").rlike(r"(?i)!\[|<img|\[(?:插图|插圖|图片|圖片|\?\?)\]").alias("_marked"))
-            .withColumn("part", _part("order_index")))
-    counted = rows.groupBy(*BOOK).agg(F.max("part").alias("_last"))
+    placed = with_parts(chapters.select(*BOOK, F.col("order_index").cast("bigint"), "title", "content"), F.octet_length("content"), part_bytes)
+    rows = placed.select(*BOOK, "part", "order_index", "title", chapter_blocks("content").alias("blocks"),
+                         F.col("content").rlike(r"(?i)!\[|<img|\[(?:插图|插圖|图片|圖片|\?\?)\]").alias("_marked"))
     # a row without chapter carries the cover to every part of its book
-    covers = (info.select(*BOOK, "cover_url").join(counted, BOOK, "left")
-              .select(*BOOK, F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0)))).alias("part"), "cover_url"))
+    covers = (info.select(*BOOK, "cover_url").join(placed.select(*BOOK, "part").distinct(), BOOK, "left")
+              .select(*BOOK, F.coalesce("part", F.lit(0)).alias("part"), "cover_url"))
     # bodies without any image mark are not parsed a second time
     marked = rows.filter(F.col("_marked")).select(*BOOK, "part", "order_index", F.explode("blocks").alias("b"))
     wanted = (marked.filter(F.col("b.kind") == "image")
               .select(*BOOK, "part", F.col("b.image_url").alias("url"), "order_index")
               .unionByName(covers.filter("cover_url <> ''").select(*BOOK, "part", F.col("cover_url").alias("url"), F.lit(0).cast("bigint").alias("order_index")))
-              .distinct().join(assets, "url")
+              # an image comes once a volume, with the first chapter that shows it
+              .groupBy(*BOOK, "part", "url").agg(F.min("order_index").alias("order_index")).join(assets, "url")
               .groupBy(*BOOK, "part", "order_index").agg(F.collect_list(F.struct("url", "media_type", "data")).alias("images")))
     heads = covers.select(*BOOK, "part", F.lit(0).cast("bigint").alias("order_index"), F.lit("").alias("title"),
                           F.array().cast("array<struct<kind:string,paragraph:string,image_url:string>>").alias("blocks"))
@@ -252,6 +257,20 @@ def epub_parts(books: DataFrame, chapters: DataFrame, assets: DataFrame, date: s
     return ordered.mapInPandas(_pack, f"site {types['site']}, book_id {types['book_id']}, part int, content binary")
 
 
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            with zipfile.ZipFile(io.BytesIO(r.content)) as z:
+                entries = [(r.site, r.book_id, r.part, i, e.filename, e.file_size, hashlib.md5(z.read(e)).hexdigest()) for i, e in enumerate(z.infolist())]
+            yield pd.DataFrame(entries, columns=["site", "book_id", "part", "position", "entry", "bytes", "md5"])
+
+
+def volume_entries(volumes: DataFrame) -> DataFrame:
+    """(site, book_id, part, position, entry, bytes, md5) of each file in the volumes of `epub_parts`."""
+    types = volumes.schema
+    return volumes.mapInPandas(_listed, f"site {types['site'].dataType.simpleString()}, book_id {types['book_id'].dataType.simpleString()}, part int, position int, entry string, bytes long, md5 string")
+
+
 def part_name(name: Column, part: Column) -> Column:
     """File name of a part: the plain name for the first, a numbered one for the rest."""
     return F.when(part == 0, name).otherwise(F.regexp_replace(name, r"(\.[a-z]+)\z", F.concat(F.lit("."), (part + 1).cast("string"), F.lit("$1"))))

@@ -28,7 +28,7 @@ def cell(v):
     if isinstance(v, bool) or v is None:
         return v
     if isinstance(v, int):
-        return repr(float(v))
+        return v
     return str(v)
 
 

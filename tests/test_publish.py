@@ -23,23 +23,30 @@ def test_txt_layout(spark):
     assert body == "Book & Co\nAuthor: Ann\n\none\ntwo\n\n\n# Ch 1\n\n    text 1\n\n\n[图片] /i1.png\n"
 
 
-def test_parts_of_a_large_book_join_to_the_whole(spark, monkeypatch):
+def test_parts_of_a_large_book_join_to_the_whole(spark):
     books, chapters = library(spark, 7)
     for make in (P.txt_parts, P.html_parts):
-        whole = make(books, chapters).first().body
-        monkeypatch.setattr(P, "CHAPTERS_PER_PART", 3)
-        parts = make(books, chapters).orderBy("part").collect()
-        monkeypatch.undo()
-        assert [p.part for p in parts] == [0, 1, 2]
-        assert "".join(p.body for p in parts) == whole
-    assert whole.endswith("</article></body></html>")
+        [whole] = [r.body for r in make(books, chapters).collect()]
+        parts = make(books, chapters, 150).orderBy("part").collect()
+        assert len(parts) > 1 and "".join(p.body for p in parts) == whole and (make is P.txt_parts or whole.endswith("</article></body></html>"))
+        # a part begins with what passes its bound, so it holds little more than the bound
+        assert all(len(p.body.encode()) < 150 + 400 for p in parts)
 
 
-def test_epub_volume(spark, monkeypatch):
+def test_a_book_of_many_chapters_is_one_volume(spark):
+    books, chapters = library(spark, 2500)
+    assets = spark.createDataFrame([("/i7.png", "image/png", bytearray(b"seven"))], "url string, media_type string, data binary")
+    again = chapters.withColumn("content", F.when(F.col("order_index") % 5 == 0, F.lit("[图片] /i7.png")).otherwise(F.col("content")))
+    volumes = P.epub_parts(books, again, assets, "2024-01-01T00:00:00Z")
+    entries = P.volume_entries(volumes).collect()
+    assert {r.part for r in entries} == {0} and sum(r.entry.endswith(".xhtml") for r in entries) == 2502
+    assert [r.bytes for r in entries if r.entry.startswith("OEBPS/pictures")] == [5]
+
+
+def test_epub_volume(spark):
     books, chapters = library(spark, 5)
     assets = spark.createDataFrame([("/c.png", "image/png", bytearray(b"cover")), ("/i2.png", "image/png", bytearray(b"two"))], "url string, media_type string, data binary")
-    monkeypatch.setattr(P, "CHAPTERS_PER_PART", 4)
-    parts = P.epub_parts(books, chapters, assets, "2024-01-01T00:00:00Z").orderBy("part").collect()
+    parts = P.epub_parts(books, chapters, assets, "2024-01-01T00:00:00Z", part_bytes=96).orderBy("part").collect()
     assert [p.part for p in parts] == [0, 1]
     z = zipfile.ZipFile(io.BytesIO(bytes(parts[0].content)))
     first = z.infolist()[0]
