@@ -73,7 +73,7 @@ def sample_flags(progress: DataFrame, block_rows: int = 100_000) -> DataFrame:
 
 def fold_tasks(events: DataFrame) -> DataFrame:
     """Current task rows from lifecycle events (task_id, seq, ts, kind, site, book_id, title,
-    target, done, total, exported, error).
+    target, done, total, exported, error, and where given formats).
 
     Kinds: queued, loading, running, progress, exporting, completed, failed.  Every column is an
     arg-max over the log, so the fold combines before the shuffle and no task is gathered.
@@ -92,7 +92,8 @@ def fold_tasks(events: DataFrame) -> DataFrame:
         at(k.isin("running", "progress"), F.when(k == "running", F.lit(0)).otherwise(F.col("done"))).alias("_done"),
         at(k.isin("running", "progress", "exporting"), F.when(k == "progress", trim_u(F.coalesce("title", F.lit(""))))
            .otherwise(F.lit(""))).alias("_chapter"),
-        at(k == "completed", F.coalesce(F.size("exported"), F.lit(0))).alias("_completed"),
+        at(k == "completed", F.coalesce("exported", F.array().cast("array<string>"))).alias("_completed"),
+        at(k == "queued", F.coalesce("formats" if "formats" in events.columns else F.lit(None).cast("array<string>"), F.array().cast("array<string>"))).alias("_formats"),
         at(k.isin("failed", "completed"), F.when(k == "failed", F.col("error")).otherwise(F.lit(""))).alias("_error"),
         F.max(F.when(k.isin("completed", "failed"), F.struct("seq", "ts"))).alias("_finished"),
         F.min(F.when(k.isin("loading", "running"), F.struct("seq", "ts"))).alias("_started"))
@@ -119,9 +120,29 @@ def fold_tasks(events: DataFrame) -> DataFrame:
         final_total.cast("bigint").alias("total_chapters"),
         F.when(ended, final_total).otherwise(done).cast("bigint").alias("completed_chapters"),
         F.coalesce(v("_chapter"), F.lit("")).alias("current_chapter"), F.coalesce(v("_error"), F.lit("")).alias("error"),
+        F.coalesce(v("_completed"), F.array().cast("array<string>")).alias("exported"), F.coalesce(v("_formats"), F.array().cast("array<string>")).alias("formats"),
         F.col("_started.ts").alias("start_time"), F.col("_finished.ts").alias("finished_at"), "created_at", "updated_at")
 
 
+def task_rows(events: DataFrame, messages: DataFrame, limit: int = MAX_MESSAGES, block_rows: int = 100_000) -> DataFrame:
+    """Complete task rows: `fold_tasks` with speed, ETA and the last messages (task_id, seq, at, level, text).
+
+    Speed and ETA are those of the last progress event since the last run began, from the samples of that run;
+    0 and empty where there is none.  ETA counts to the total known at that event.
+    """
+    k = F.col("kind")
+    steps = events.filter(k.isin("running", "progress")).select("task_id", "seq", "ts", "kind", "done", "total")
+    known = F.when((k == "running") | (F.col("total") > 0), F.col("total"))
+    runs = running(steps, ["task_id"], "seq", block_of("seq", block_rows), _run=("sum", (k == "running").cast("bigint")), _known=("last", known))
+    samples = runs.filter(k == "progress").select(F.struct("task_id", "_run").alias("task_id"), "seq", "ts", "done", F.coalesce("_known", F.lit(0)).alias("total"))
+    rates = windowed_rates(samples).select("task_id.*", "seq", "rate", "eta")
+    newest = runs.groupBy("task_id").agg(F.max("_run").alias("_newest"))
+    last = rates.join(newest, "task_id").filter(F.col("_run") == F.col("_newest")).groupBy("task_id").agg(F.max_by(F.struct("rate", "eta"), "seq").alias("_r"))
+    logs = message_arrays(messages, limit)
+    return (fold_tasks(events).join(last, "task_id", "left").join(logs, "task_id", "left")
+            .withColumns({"speed": F.coalesce("_r.rate", F.lit(0.0)), "eta": F.coalesce("_r.eta", F.lit(""))}).drop("_r"))
+
+
 def last_messages(messages: DataFrame, limit: int = MAX_MESSAGES) -> DataFrame:
     """The last `limit` non-blank messages of each task; older ones are cut before the shuffle."""
     w = Window.partitionBy("task_id").orderBy(F.col("seq").desc())
