@@ -8,13 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _folder(spark: SparkSession, kind: str) -> str:
+    """`spark.checkpoint.dir`.  Only a session on one machine may go without: it takes a new temporary
+    folder, which executors on other machines would not see."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix=f"run-{kind}-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use `spark.checkpoint.dir`; only where it is unset (local tests) take a new temporary folder."""
+    """Checkpoints go to the cluster's shared folder."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(_folder(spark, "checkpoint"))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -24,9 +34,5 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """New folder for intermediate tables beside the cluster's checkpoints; a temporary one only
-    where no checkpoint folder is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return f"{configured.rstrip('/')}/tables-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-tables-")
+    """New folder for intermediate tables beside the cluster's checkpoints."""
+    return f"{_folder(spark, 'tables')}/tables-{uuid.uuid4().hex}"

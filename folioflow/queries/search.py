@@ -226,16 +226,16 @@ def sequential_search(spark, d):
 
 
 @query("result_page", f"WITH {HITS}, {_ONE}, {_EXACT}, {_scored('exact')}, {_BOOKS}, {_RANK} SELECT position, group_key, "
-       "title FROM ranked WHERE position > 5 AND position <= 10")
+       "title FROM ranked WHERE position > 3 AND position <= 6")
 def result_page(spark, d):
-    return S.result_page(_books(spark, d), 2, 5).select("position", "group_key", "title")
+    return S.result_page(_books(spark, d), 2, 3).select("position", "group_key", "title")
 
 
-@query("result_page_info", f"WITH {HITS}, {_ONE}, {_EXACT}, {_scored('exact')}, {_BOOKS} SELECT 2 AS page, 5 AS page_size, "
-       "count(*) AS total, true AS has_prev, count(*) > 10 AS has_next, count(*) <= 10 AS total_exact FROM books")
+@query("result_page_info", f"WITH {HITS}, {_ONE}, {_EXACT}, {_scored('exact')}, {_BOOKS} SELECT 2 AS page, 3 AS page_size, "
+       "count(*) AS total, true AS has_prev, count(*) > 6 AS has_next, count(*) <= 6 AS total_exact FROM books")
 def result_page_info(spark, d):
     n = _books(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    return n.select(*S.page_info(F.col("n"), 2, 5))
+    return n.select(*S.page_info(F.col("n"), 2, 3))
 
 
 @query("union_of_sources", f"WITH {HITS} SELECT site, count(*) AS hits, min(ord) AS first_ord FROM hits GROUP BY site")

@@ -147,13 +147,14 @@ def keyword_locale(spark, d):
 
 @query("title_cleanup", r"""WITH x AS (SELECT doc_id, lang, source, doc_id % 4 AS m FROM documents)
   SELECT doc_id, 'T ' || lang AS category_stripped, 'B ' || source AS book_title,
-    CASE WHEN m = 3 THEN 'other ' ELSE '' END || 'C' || doc_id AS chapter_title FROM x""")
+    CASE WHEN m = 3 THEN 'other ' ELSE '' END || 'C' || doc_id AS chapter_title, CASE WHEN m IN (0, 2) THEN '' ELSE 'B ' || source || ' ' END || 'part ' || doc_id AS without_book FROM x""")
 def title_cleanup(spark, d):
     x = docs(spark, d).selectExpr(
         "doc_id", "concat('[cat', doc_id, '] T ', lang) AS t", "concat(' 《《B ', source, '》 ') AS b",
         "CASE doc_id % 4 WHEN 0 THEN concat('B ', source, ' 正文 C', doc_id) WHEN 1 THEN concat('正文C', doc_id) "
-        "WHEN 2 THEN concat('B ', source, 'C', doc_id) ELSE concat('other C', doc_id) END AS c")
-    return x.select("doc_id", T.strip_category("t").alias("category_stripped"),
+        "WHEN 2 THEN concat('B ', source, 'C', doc_id) ELSE concat('other C', doc_id) END AS c",
+        "concat('  B ', source, '  part ', doc_id) AS p", "CASE WHEN doc_id % 2 = 0 THEN concat('B  ', source, ' ') ELSE concat('C ', source) END AS n")
+    return x.select("doc_id", T.strip_book_name("p", "n").alias("without_book"), T.strip_category("t").alias("category_stripped"),
                     T.clean_book_title("b").alias("book_title"), T.clean_chapter_title("c", "b").alias("chapter_title"))
 
 

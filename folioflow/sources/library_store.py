@@ -44,11 +44,6 @@ def _current(spark: SparkSession, root: str, stage: str | None) -> DataFrame:
     return log.groupBy(*BOOK).agg(F.max(F.struct("commit", "stage")).alias("_l")).select(*BOOK, "_l.stage", "_l.commit")
 
 
-def stage_log(spark: SparkSession, root: str) -> DataFrame:
-    """Commit log in the form `operators.library.stage_state` folds."""
-    return spark.read.parquet(f"{root}/commits").select(*BOOK, "stage", F.col("commit").alias("seq"), F.lit("commit").alias("op"))
-
-
 def load_chapters(spark: SparkSession, root: str, stage: str | None = None) -> DataFrame:
     """Chapters of a stage, or of the latest stage of each book.  Order by `order_index`."""
     return spark.read.parquet(f"{root}/chapters").join(_current(spark, root, stage), [*BOOK, "stage", "commit"]).drop("commit")

@@ -271,17 +271,6 @@ def volume_entries(volumes: DataFrame) -> DataFrame:
     return volumes.mapInPandas(_listed, f"site {types['site'].dataType.simpleString()}, book_id {types['book_id'].dataType.simpleString()}, part int, position int, entry string, bytes long, md5 string")
 
 
-def part_name(name: Column, part: Column) -> Column:
-    """File name of a part: the plain name for the first, a numbered one for the rest."""
-    return F.when(part == 0, name).otherwise(F.regexp_replace(name, r"(\.[a-z]+)\z", F.concat(F.lit("."), (part + 1).cast("string"), F.lit("$1"))))
-
-
-def write_parts(parts: DataFrame, path: str) -> None:
-    """Write (site, name, body or content) rows as a table partitioned by source; a shared folder or
-    object store takes it like any other table."""
-    parts.write.mode("overwrite").partitionBy("site").parquet(path)
-
-
 def write_files(parts: DataFrame, folder: str, content: str = "content") -> None:
     """Write (name, content) rows as single files under a folder every executor can reach."""
     def put(rows: Iterator) -> None:
