@@ -205,28 +205,22 @@ def first_source_wins(spark, d):
 def _requests(spark, d):
     """One request per line item: a third by id, a third by url, a third by title."""
     return table(spark, d, "lineitem").selectExpr(
-        "l_orderkey * 10 + l_linenumber AS request_id", "'catalog' AS site", "CAST(l_suppkey AS STRING) AS book_id",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS request_id", "'catalog' AS site", "CAST(l_suppkey AS STRING) AS book_id",
         "CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_partkey + 1 AS STRING) ELSE '' END AS chapter_id",
         "CASE WHEN l_orderkey % 3 = 1 THEN concat('u', l_partkey % 300) ELSE '' END AS url",
         "CASE WHEN l_orderkey % 3 = 2 THEN concat('t', l_partkey % 40) ELSE '' END AS title",
-        "CAST(l_partkey % 5 AS BIGINT) AS order_index", "CAST(l_partkey % 90 AS BIGINT) AS fallback_index").dropDuplicates(["request_id"])
+        "CAST(l_partkey % 5 AS BIGINT) AS order_index", "CAST(l_partkey % 90 AS BIGINT) AS fallback_index").distinct()
 
 
-_REQ = """req AS (SELECT DISTINCT ON (request_id) * FROM (SELECT l_orderkey * 10 + l_linenumber AS request_id, CAST(l_suppkey AS VARCHAR) AS book_id,
+_REQ = """req AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS request_id, CAST(l_suppkey AS VARCHAR) AS book_id,
     CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_partkey + 1 AS VARCHAR) ELSE '' END AS chapter_id,
     CASE WHEN l_orderkey % 3 = 1 THEN 'u' || (l_partkey % 300) ELSE '' END AS url,
     CASE WHEN l_orderkey % 3 = 2 THEN 't' || (l_partkey % 40) ELSE '' END AS title,
-    l_partkey % 5 AS order_index, l_partkey % 90 AS fallback_index, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS c FROM lineitem) WHERE c = 1),
+    l_partkey % 5 AS order_index, l_partkey % 90 AS fallback_index FROM lineitem),
   lib AS (SELECT book_id, chapter_id, 'u' || (CAST(chapter_id AS BIGINT) % 300) AS url, 't' || (CAST(chapter_id AS BIGINT) % 40) AS title,
     order_index, CAST(chapter_id AS BIGINT) % 5 AS ord5, order_index - 1 AS position, CASE WHEN CAST(chapter_id AS BIGINT) % 6 = 0 THEN ' ' ELSE 'body' END AS content FROM numbered)"""
 
 
-def _single(spark, d):
-    """Request ids that occur once, so both sides drop the same duplicates."""
-    return (table(spark, d, "lineitem").groupBy(F.expr("l_orderkey * 10 + l_linenumber").alias("request_id"))
-            .count().filter("count = 1").select("request_id"))
-
-
 def _lib(spark, d):
     return _numbered(spark, d).selectExpr(
         "site", "book_id", "chapter_id", "concat('u', chapter_id % 300) AS url", "concat('t', chapter_id % 40) AS title",
@@ -239,8 +233,7 @@ def _lib(spark, d):
     UNION ALL SELECT request_id, 1, l.order_index, l.chapter_id FROM req r JOIN lib l ON r.book_id = l.book_id AND r.title = l.title WHERE content <> ' ')
   SELECT r.request_id, (SELECT first(id ORDER BY tier, o) FROM m WHERE m.request_id = r.request_id) AS stored_id FROM req r""")
 def stored_chapter_lookup(spark, d):
-    req = _requests(spark, d).join(_single(spark, d), "request_id", "left_semi")
-    return L.lookup_stored(req, _lib(spark, d)).select("request_id", "stored_id")
+    return L.lookup_stored(_requests(spark, d), _lib(spark, d)).select("request_id", "stored_id")
 
 
 @query("same_chapter", f"""WITH {_LISTING}, {_REQ}, m AS (
@@ -252,9 +245,8 @@ def stored_chapter_lookup(spark, d):
     THEN CASE WHEN last IS NULL THEN 0 ELSE greatest(0, least(coalesce(fallback_index, 0), last)) END ELSE coalesce(p, CASE WHEN last IS NULL THEN 0 ELSE greatest(0, least(coalesce(fallback_index, 0), last)) END) END AS matched_index
   FROM req r LEFT JOIN b ON b.request_id = r.request_id LEFT JOIN z ON z.book_id = r.book_id""")
 def same_chapter(spark, d):
-    req = _requests(spark, d).join(_single(spark, d), "request_id", "left_semi")
     lib = _lib(spark, d).drop("order_index").withColumnRenamed("ord5", "order_index")
-    return L.same_chapter(req, lib).select("request_id", "matched_index")
+    return L.same_chapter(_requests(spark, d), lib).select("request_id", "matched_index")
 
 
 @query("resume_index", f"""WITH {_LISTING}, i AS (SELECT CAST(s_suppkey AS VARCHAR) AS book_id, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey * 3 AS VARCHAR) ELSE '' END AS id,
@@ -295,15 +287,16 @@ def fill_from_match(spark, d):
     return L.fill_from_match(L.fallback_match(b, h)).select("site", "book_id", "title", "author", "description")
 
 
-@query("catalog_page_merge", """SELECT l_suppkey AS book_id, (l_partkey % 7) * 50 + l_quantity::BIGINT % 50 AS position,
-  arg_max(l_comment, arrival) AS title FROM (SELECT l_suppkey, l_partkey, l_quantity, l_returnflag || l_orderkey AS l_comment,
-  l_orderkey * 10 + l_linenumber AS arrival, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS c FROM lineitem) WHERE c = 1 GROUP BY 1, 2""")
+_ARRIVAL = "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100 + ascii(l_returnflag)"
+
+
+@query("catalog_page_merge", f"""SELECT l_suppkey AS book_id, (l_partkey % 7) * 50 + l_quantity::BIGINT % 50 AS position, arg_max(l_returnflag || l_orderkey, {_ARRIVAL}) AS title
+  FROM lineitem GROUP BY 1, 2""")
 def catalog_page_merge(spark, d):
     p = table(spark, d, "lineitem").selectExpr(
         "'c' AS site", "l_suppkey AS book_id", "l_partkey % 7 + 1 AS page", "50L AS page_size", "CAST(l_quantity AS BIGINT) % 50 AS index",
-        "l_orderkey * 10 + l_linenumber AS arrival", "concat(l_returnflag, l_orderkey) AS title")
-    once = p.join(_single(spark, d).withColumnRenamed("request_id", "arrival"), "arrival", "left_semi")
-    return L.merge_catalog_pages(once).select("book_id", "position", "title")
+        f"{_ARRIVAL} AS arrival", "concat(l_returnflag, l_orderkey) AS title")
+    return L.merge_catalog_pages(p).select("book_id", "position", "title")
 
 
 @query("paragraph_permutation", """WITH s AS (SELECT doc_id, string_split(text, '. ') AS p FROM documents),

@@ -11,9 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from folioflow.queries import views
     from folioflow.session import local_session
-    views.SPREAD = True
     return local_session(8, memory="6g")
 
 
