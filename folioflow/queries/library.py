@@ -358,9 +358,9 @@ def ordered_unique(spark, d):
     return p.select("page_id", F.get("u", F.lit(0)).alias("first_url"), F.size("u").alias("n"))
 
 
-@query("staged_chapters", f"""WITH {CHAPTERS} SELECT chapter_id, 'Custom' AS stage, md5(replace({sql_trim("replace(replace(replace(content, chr(13), chr(10)), chr(8203), ''), chr(65279), '')")}, 'e', 'E')) AS h FROM chapters""")
+@query("staged_chapters", f"""WITH {CHAPTERS} SELECT chapter_id, 'Capital E' AS stage, md5(replace({sql_trim("replace(replace(replace(content, chr(13), chr(10)), chr(8203), ''), chr(65279), '')")}, 'e', 'E')) AS h FROM chapters""")
 def staged_chapters(spark, d):
     """A chain of named steps: the cleaner, one that nobody knows and one of the caller's own, which names the stage."""
-    register_step("custom", lambda df, _: df.withColumn("content", F.replace("content", F.lit("e"), F.lit("E"))))
-    staged_rows = staged(chapters(spark, d), [("cleaner", {"remove_invisible": True}), ("nobody knows", {}), ("Custom", {})])
+    register_step("capital e", lambda df, _: df.withColumn("content", F.replace("content", F.lit("e"), F.lit("E"))))
+    staged_rows = staged(chapters(spark, d), [("cleaner", {"remove_invisible": True}), ("nobody knows", {}), ("Capital E", {})])
     return staged_rows.select("chapter_id", "stage", F.md5("content").alias("h"))

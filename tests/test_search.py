@@ -84,7 +84,7 @@ def test_resolution_equals_the_sequential_fold_for_any_partitioning(spark):
         assert got == want
 
 
-def test_all_ways_to_match_keywords_agree_with_brute_force(spark):
+def test_keyword_matches_agree_with_brute_force(spark, monkeypatch):
     rnd = random.Random(3)
     words = ["abc", "zed", "é1", "主", "longerword", "kk"]
     items = [("s", str(i), " ".join(rnd.choices(words, k=3)), rnd.choice(words), " ".join(rnd.choices(words, k=30)), "", "") for i in range(60)]
@@ -93,10 +93,12 @@ def test_all_ways_to_match_keywords_agree_with_brute_force(spark):
     kw = spark.createDataFrame([(k,) for k in keys], "keyword string")
     strip = lambda t: "".join(c for c in t.lower() if c.isalnum())
     want = {(k, i[1]) for k in keys if strip(k) for i in items if any(strip(k) in strip(f) for f in (i[2], i[3], i[4]))}
-    for scan, inline in ((256, 4096), (0, 4096), (0, 0)):
-        got = S.match_keywords(df, kw, ["site", "book_id"], scan_keywords=scan, inline_keywords=inline)
+    for words_of_filter, gram in ((1 << 14, 8), (1, 8), (1 << 14, 2)):  # a full filter lets everything through
+        monkeypatch.setattr(S, "FILTER_WORDS", words_of_filter)
+        got = S.match_keywords(df, kw, ["site", "book_id"], max_gram=gram)
         pairs = [(r.keyword, r.book_id) for r in got.collect()]
         assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    assert S.match_keywords(df, kw.limit(0), ["site", "book_id"]).collect() == []
 
 
 def test_page_is_a_slice_of_the_ranking(spark):
