@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores
-from ..functions.text import first_non_blank, let, norm, norm_index, nullif_blank, trim_u
+from ..functions.text import first_non_blank, norm, norm_index, nullif_blank, trim_u
 
 DEFAULT_PER_SOURCE = 8
 #: Words of the filter of keyword grams: a million bits.
