@@ -221,8 +221,12 @@ def best_error(a, b, least):
 def meets(a, b):
     """Whether the search would compare two recordings."""
     (x, at), (y, to) = chroma.marks_of(a, True), chroma.marks_of(b, False)
+    (near, there), (other, also) = chroma.pairs_around(a, at), chroma.pairs_around(b, to)
     i, j = np.nonzero(x[:, None] == y[None, :])
-    return bool(len(i)) and chroma.plausible(a, b[::chroma.THIN], np.unique(at[i] - to[j]))
+    both = there[i] & also[j]
+    differ = (np.bitwise_count((near[i] ^ other[j]).view(np.uint64)) * both).sum(axis=1)
+    real = differ <= chroma.LOCAL_ERROR * 64 * both.sum(axis=1)
+    return bool(real.any()) and chroma.plausible(a, b[::chroma.THIN], np.unique(at[i[real]] - to[j[real]]))
 
 
 def test_chroma_recall_over_all_offsets(texts):
