@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,8 @@ HIDDEN = frozenset("script style noscript".split())
 # Elements whose end matters to block-aware text.
 CLOSING = frozenset("p div section article blockquote li h1 h2 h3 h4 h5 h6".split())
 
+SLICE_BYTES = 1 << 19  # of markup, whose nodes are held at once
+
 NODE = T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("depth", T.IntegerType()),
     T.StructField("kind", T.StringType()), T.StructField("tag", T.StringType()), T.StructField("text", T.StringType()),
@@ -104,16 +107,31 @@ def _flatten(markup: str | None) -> list[dict]:
     return parser.finish()
 
 
+def _slices(batch: pa.RecordBatch, markup: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch with about `most` bytes of markup at a time; a longer page comes alone."""
+    start = filled = 0
+    for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column(markup)), 0).to_pylist()):
+        if i > start and filled + n > most:
+            yield batch.slice(start, i - start)
+            start, filled = i, 0
+        filled += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def with_nodes(pages: DataFrame, markup: str = "html") -> DataFrame:
-    """Replace the markup column by `nodes`.  Runs where the pages are read; nothing is shuffled."""
+    """Replace the markup column by `nodes`.  Runs where the pages are read; nothing is shuffled.  The
+    nodes of a page are many times its size, so a worker holds those of `SLICE_BYTES` of markup at a time,
+    whatever the size of its batches."""
     kept = [f for f in pages.schema.fields if f.name != markup]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(markup)
-            nodes = pa.array([_flatten(x) for x in batch.column(at).to_pylist()], type=_ARROW_NODE)
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*columns, nodes], names=[f.name for f in kept] + ["nodes"])
+            for part in _slices(batch, at, SLICE_BYTES):
+                nodes = pa.array([_flatten(x) for x in part.column(at).to_pylist()], type=_ARROW_NODE)
+                columns = [part.column(i) for i in range(part.num_columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*columns, nodes], names=[f.name for f in kept] + ["nodes"])
 
     return pages.mapInArrow(convert, T.StructType([*kept, T.StructField("nodes", T.ArrayType(NODE))]))
 

@@ -11,3 +11,13 @@ def test_the_second_result_page_has_five_results(spark, tmp_path):
     spark.createDataFrame([(1, "s1")], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
     parts.selectExpr("p_partkey AS l_partkey", "1L AS l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert sorted(r.position for r in QUERIES["result_page"](spark, str(tmp_path)).collect()) == [6, 7, 8, 9, 10]
+
+
+def test_nodes_are_made_of_few_pages_at_a_time():
+    import pyarrow as pa
+
+    from folioflow.sources.pages import _slices
+    batch = pa.RecordBatch.from_pydict({"n": [1, 2, 3, 4, 5, 6], "html": ["a" * 40, None, "b" * 70, "c" * 500, "", "d"]})
+    parts = list(_slices(batch, 1, 100))
+    assert [p.column(0).to_pylist() for p in parts] == [[1, 2], [3], [4], [5, 6]]
+    assert list(_slices(batch.slice(0, 0), 1, 100)) == []
