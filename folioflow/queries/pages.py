@@ -12,6 +12,7 @@ from ..operators.library import collect_after_marker
 from ..operators.search import build_index, dedupe_hits
 from ..plans.checkpoints import scratch_dir
 from ..plans.ordering import join_text
+from ..plans.sizing import in_pieces
 from ..sources import catalogs as C
 from ..sources import pages as P
 from ..sources import snapshots as N
@@ -220,6 +221,16 @@ def multi_page_chapters(spark, d):
 
 # ---- markup derived from the part table ------------------------------------------------------------
 
+#: Bytes of the part table, some 7,000 rows, whose markup one task reads.
+MARKUP_BYTES = 1 << 16
+
+
+def _parts(spark, d):
+    """Parts for markup: a small file becomes a thousand times as much work."""
+    part = table(spark, d, "part")
+    return in_pieces(part, part, MARKUP_BYTES)
+
+
 def _cards(spark, d):
     html = F.concat(
         F.lit('<dl><dt><img src="/i/'), F.col("p_partkey"), F.lit('.jpg"></dt><dd><h3><a href="/tag/1">no</a><a href="/book/'), F.col("p_partkey"),
@@ -227,7 +238,7 @@ def _cards(spark, d):
         F.lit('</span></dd><dd class="book_other">最新章节：<a href="/c">Chapter '), F.col("p_size"),
         F.lit('</a></dd></dl><dl><dt>x</dt><dd><h3><a href="/other">y</a></h3></dd></dl>'),
         F.lit('<dl><dt>x</dt><dd><h3><a href="/book/'), F.col("p_partkey"), F.lit('/">again</a></h3></dd></dl>'))
-    return P.with_nodes(table(spark, d, "part").select("p_partkey", F.lit("https://s.example.com/search?q=1").alias("url"), html.alias("html")))
+    return P.with_nodes(_parts(spark, d).select("p_partkey", F.lit("https://s.example.com/search?q=1").alias("url"), html.alias("html")))
 
 
 @query("search_cards", """SELECT CAST(p_partkey AS VARCHAR) AS book_id, p_name AS title, p_brand AS author, 'https://s.example.com/book/' || p_partkey || '/' AS url,
@@ -244,7 +255,7 @@ def _store(spark, d):
         F.lit('.png"></div><div class="bookname"><a href="/novel/'), F.col("p_partkey"), F.lit('.html"> '), F.col("p_name"),
         F.lit(' </a></div><div class="bookilnk"><span>'), F.col("p_brand"), F.lit('</span><span>x</span></div><div class="bookintro">a<br>b '), F.col("p_type"),
         F.lit('</div></div><div class="bookbox"><div class="bookname"><a href="/x">bad</a></div></div><a class="last" href="/w/list_77_0.html">l</a>'))
-    return P.with_nodes(table(spark, d, "part").select("p_partkey", F.lit("https://s.example.com/w/").alias("url"), html.alias("html")))
+    return P.with_nodes(_parts(spark, d).select("p_partkey", F.lit("https://s.example.com/w/").alias("url"), html.alias("html")))
 
 
 @query("store_boxes", """SELECT CAST(p_partkey AS VARCHAR) AS book_id, p_name AS title, p_brand AS author, 'a' || chr(10) || 'b ' || p_type AS description,
@@ -267,7 +278,7 @@ def detail_pages(spark, d):
         F.lit('</ul><div class="product-gallery"><a><img src="../g.png"></a></div><div class="description"><p>one</p><p> </p><p>'), F.col("p_type"), F.lit('</p><span>no</span></div>'))
     # the heading of every third part is empty, and its first text is then that of the bold part
     html = F.when(F.col("p_partkey") % 3 == 0, F.replace(html, F.lit("<b>x</b>"), F.lit(""))).otherwise(html)
-    x = P.with_nodes(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.lit("https://s.example.com/detail/1.html").alias("url"), html.alias("html")))
+    x = P.with_nodes(_parts(spark, d).select(F.col("p_partkey").cast("string").alias("id"), F.lit("https://s.example.com/detail/1.html").alias("url"), html.alias("html")))
     return x.select(M.detail_page("nodes", "url", "id", "作者").alias("b")).select("b.book_id", "b.title", "b.author", "b.description", "b.cover_url")
 
 

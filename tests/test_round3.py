@@ -21,3 +21,28 @@ def test_nodes_are_made_of_few_pages_at_a_time():
     parts = list(_slices(batch, 1, 100))
     assert [p.column(0).to_pylist() for p in parts] == [[1, 2], [3], [4], [5, 6]]
     assert list(_slices(batch.slice(0, 0), 1, 100)) == []
+
+
+def test_small_files_are_dealt_by_what_becomes_of_them(spark, tmp_path):
+    from folioflow.plans.sizing import estimated_bytes, in_pieces
+    spark.range(10_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    cut = in_pieces(t, t, estimated_bytes(t) // 4)
+    assert cut.rdd.getNumPartitions() >= 4 and cut.count() == cut.distinct().count() == 10_000
+
+
+def test_hits_and_markup_do_not_grow_in_one_task(spark, sf, monkeypatch):
+    from folioflow.queries import pages, views
+    monkeypatch.setattr(views, "HIT_BYTES", 1 << 12)
+    monkeypatch.setattr(pages, "MARKUP_BYTES", 1 << 8)
+    assert "REPARTITION_BY_NUM" in views.hits(spark, sf)._jdf.queryExecution().toString()
+    assert pages._cards(spark, sf).rdd.getNumPartitions() > 4 and pages._store(spark, sf).rdd.getNumPartitions() > 4
+
+
+def test_rates_are_read_in_slices_and_in_order():
+    import pandas as pd
+
+    from folioflow.streaming.progress import _sorted_slices
+    batches = [pd.DataFrame({"seq": s, "done": [x * 10 for x in s], "task_id": "t"}) for s in ([5, 1], [4, 2, 3])]
+    parts = list(_sorted_slices(iter(batches), ["seq", "done"], most=2))
+    assert [p["seq"].tolist() for p in parts] == [[1, 2], [3, 4], [5]] and parts[2]["done"].tolist() == [50]
