@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,21 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(batches, ignore_index=True).sort_values("seq", kind="stable")
 
 
+def _sorted_slices(batches: Iterator[pd.DataFrame], names: list[str], most: int = 50_000) -> Iterator[pd.DataFrame]:
+    """The named number columns of all rows by `seq`, `most` rows at a time: a task may have most rows of a
+    micro-batch, so only their numbers are held together."""
+    held: dict[str, list[np.ndarray]] = {n: [] for n in names}
+    for pdf in batches:
+        for n in names:
+            held[n].append(pdf[n].to_numpy())
+    whole = {n: np.concatenate(held.pop(n)) for n in names}
+    # as pandas sorts: missing numbers come last, equal ones as they came
+    order = np.argsort(whole["seq"], kind="stable")
+    for start in range(0, len(order), most):
+        at = order[start:start + most]
+        yield pd.DataFrame({n: c[at] for n, c in whole.items()})
+
+
 class RateWindow(StatefulProcessor):
     """Samples of the last window per task, at most `max_samples`."""
 
@@ -48,19 +64,19 @@ class RateWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kept = [tuple(s) for s in self.samples.get()] if self.samples.exists() else []
-        pdf = _in_order(rows)
-        rates = []
-        for at, done in zip(pdf["at_us"].tolist(), pdf["done"].tolist()):
-            if kept and done < kept[-1][1]:
-                kept = []
-            if not (kept and done == kept[-1][1] and at <= kept[-1][0]):
-                kept.append((at, done))
-                fresh = [s for s in kept[:-1] if s[0] >= at - self.window] + kept[-1:]
-                kept = fresh[-self.cap:]
-            span, gain = kept[-1][0] - kept[0][0], kept[-1][1] - kept[0][1]
-            rates.append(gain / (span / 1e6) if span > 0 and gain > 0 else 0.0)
+        for pdf in _sorted_slices(rows, ["seq", "at_us", "done", "total"]):
+            rates = []
+            for at, done in zip(pdf["at_us"].tolist(), pdf["done"].tolist()):
+                if kept and done < kept[-1][1]:
+                    kept = []
+                if not (kept and done == kept[-1][1] and at <= kept[-1][0]):
+                    kept.append((at, done))
+                    fresh = [s for s in kept[:-1] if s[0] >= at - self.window] + kept[-1:]
+                    kept = fresh[-self.cap:]
+                span, gain = kept[-1][0] - kept[0][0], kept[-1][1] - kept[0][1]
+                rates.append(gain / (span / 1e6) if span > 0 and gain > 0 else 0.0)
+            yield pdf.assign(task_id=[key[0]] * len(pdf), rate=rates)[["task_id", "seq", "done", "total", "rate"]]
         self.samples.put(kept)
-        yield pdf.assign(rate=rates)[["task_id", "seq", "done", "total", "rate"]]
 
     def close(self) -> None:
         pass
