@@ -205,9 +205,12 @@ def same_chapter(requests: DataFrame, chapters: DataFrame) -> DataFrame:
     clamped = F.greatest(F.lit(0), F.least(F.coalesce("fallback_index", F.lit(0)), F.col("_last")))
     asked = requests.join(sizes, BOOK, "left").withColumn("_at", F.when(F.col("_last").isNull(), F.lit(0)).otherwise(clamped))
     keyed = asked.select("request_id", *BOOK, "_at", F.explode(both).alias("_k"))
-    # the least position of a key, and whether the fallback chapter has the key: both combine before the shuffle
+    # the least position of a key combines before the shuffle; the fallback chapter is found by its
+    # position, where its keys are compared, so they are not shuffled a second time
     first = keyed.join(side.groupBy(*BOOK, "_k").agg(F.min("_p").alias("_p")), [*BOOK, "_k"]).select("request_id", "_p")
-    here = keyed.join(side.withColumnRenamed("_p", "_at").distinct(), [*BOOK, "_k", "_at"]).select("request_id", F.lit(-1).cast("long").alias("_p"))
+    there = chapters.select(*BOOK, F.col("position").alias("_at"), both.alias("_has"))
+    here = (asked.select("request_id", *BOOK, "_at", both.alias("_ks")).join(there, [*BOOK, "_at"])
+            .filter(F.arrays_overlap("_ks", "_has")).select("request_id", F.lit(-1).cast("long").alias("_p")))
     best = first.select("request_id", F.col("_p").cast("long").alias("_p")).unionByName(here).groupBy("request_id").agg(F.min("_p").alias("_p"))
     return (asked.join(best, "request_id", "left")
             .withColumn("matched_index", F.when(F.col("_p") >= 0, F.col("_p")).otherwise(F.col("_at"))).drop("_p", "_last", "_at"))
