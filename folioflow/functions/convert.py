@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .phrases import PhraseTrie, replaced
+from .phrases import PhraseTrie, replaced_in_slices
 from .text import _col, is_blank, substitute, trim_u
 
 # Locale styles that ask for conversion.
@@ -28,10 +28,10 @@ def to_simplified(c: Column | str, mapping: Mapping[str, str]) -> Column:
         return F.when(is_blank(x), x).otherwise(substitute(x, mapping))
     trie = SparkSession.getActiveSession().sparkContext.broadcast(PhraseTrie(mapping))
 
-    def convert(s: pd.Series) -> pd.Series:
-        return replaced(s, trie.value)
+    def convert(texts: pa.Array) -> pa.Array:
+        return replaced_in_slices(texts, trie.value)
 
-    return F.when(is_blank(x), x).otherwise(F.pandas_udf(convert, "string")(x))
+    return F.when(is_blank(x), x).otherwise(F.arrow_udf(convert, "string")(x))
 
 
 def keyword_for_locale(keyword: Column | str, style: Column | str, mapping: Mapping[str, str]) -> Column:

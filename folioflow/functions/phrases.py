@@ -12,6 +12,8 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 CHARACTER = 21  # bits of a code point
 
@@ -102,3 +104,15 @@ def replaced(series: pd.Series, trie: PhraseTrie, most: int = 1 << 20) -> pd.Ser
         for i, text in zip(some, trie.replace([series.iloc[i] for i in some]), strict=True):
             out[i] = text
     return pd.Series(out, dtype=object)
+
+
+def replaced_in_slices(texts: pa.Array, trie: PhraseTrie, most: int = 1 << 18) -> pa.Array:
+    """`replaced` of an Arrow column, of which about `most` bytes at a time are Python objects."""
+    out, start, filled = [], 0, 0
+    cut = lambda stop: pa.array(replaced(pd.Series(texts.slice(start, stop - start).to_pylist(), dtype=object), trie, most).tolist(), pa.string())
+    for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):
+        if i > start and filled + n > most:
+            out.append(cut(i))
+            start, filled = i, 0
+        filled += n
+    return pa.concat_arrays([*out, cut(len(texts))])

@@ -46,3 +46,13 @@ def test_rates_are_read_in_slices_and_in_order():
     batches = [pd.DataFrame({"seq": s, "done": [x * 10 for x in s], "task_id": "t"}) for s in ([5, 1], [4, 2, 3])]
     parts = list(_sorted_slices(iter(batches), ["seq", "done"], most=2))
     assert [p["seq"].tolist() for p in parts] == [[1, 2], [3, 4], [5]] and parts[2]["done"].tolist() == [50]
+
+
+def test_phrases_are_replaced_in_slices():
+    import pyarrow as pa
+
+    from folioflow.functions.phrases import PhraseTrie, replaced_in_slices
+    texts = pa.array(["ab" * 30, None, "", "b", "ab" * 200, "xaby"])
+    want = [None if t is None else t.replace("ab", "-") for t in texts.to_pylist()]
+    assert replaced_in_slices(texts, PhraseTrie({"ab": "-"}), 50).to_pylist() == want
+    assert replaced_in_slices(texts.slice(0, 0), PhraseTrie({"ab": "-"})).to_pylist() == []
