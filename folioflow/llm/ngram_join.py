@@ -13,8 +13,8 @@ signature, outnumber the missing ones:
 Of two linked sets, take the one whose prefix ends first: had they no common signature, it would miss too
 many.  The number of classes follows from the size, in bands that grow by 100 / percent: linked sets lie
 in one band or in neighbouring ones, so a set with frequent tokens in its prefix writes signatures for its
-own band and for the next.  Small sets take frequent tokens one by one.  Which tokens are frequent is
-estimated on one text in `SAMPLE`; that decides how long the search takes, never what links.
+own band and for the next.  Small sets take frequent tokens one by one.  The tokens of all texts are
+counted; those beyond the `KNOWN` most frequent ones are rare.
 
 Search.  A signature of several nodes is a block.  Its nodes are compared with its least one, then, where
 a block still has several components, with its greatest one.  What is then still apart is gathered by
@@ -46,14 +46,14 @@ from .components import components
 from .simhash import SEED, SLICE_BYTES, shingle_hashes
 
 WIDTH, PERCENT = 5, 80
-SAMPLE = 16
 KNOWN = 1 << 17  # tokens whose frequency is kept
-MANY = 4  # times in the sample from which a token is frequent
+MANY = 64  # texts from which a token is frequent
 SMALL = 25  # sets below take frequent tokens one by one
 PER_CLASS = 20  # a class for so many tokens of a set
 PER_CENTRE = 500
 TILE = 1500  # nodes that are compared with each other or with as many others in one go
 PIECE_BYTES = 4 << 20
+COUNT_BYTES = 8 << 20  # text whose tokens are counted in one range
 
 
 def token_set(text: str | None, width: int) -> np.ndarray:
@@ -180,17 +180,43 @@ def near_pairs(sizes: np.ndarray, odd: list[bytes], apart: np.ndarray, percent:
     return order[np.concatenate(left or [empty])], order[np.concatenate(right or [empty])]
 
 
-def frequencies(docs: DataFrame, width: int) -> Broadcast:
-    """(tokens, times) of at most `KNOWN` tokens that occur in several sampled texts."""
+def dealt(tokens: np.ndarray, times: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, tokens, times): ascending distinct tokens, cut into the parts of their range that have any."""
+    cuts = np.searchsorted(tokens, np.array([i * ((1 << 64) // parts) for i in range(parts)], np.uint64)).tolist() + [len(tokens)]
+    some = [i for i in range(parts) if cuts[i] < cuts[i + 1]]
+    blobs = [pa.array([x[cuts[i]:cuts[i + 1]].tobytes() for i in some], pa.binary()) for x in (tokens, times.astype(np.uint32))]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *blobs], ["part", "tokens", "times"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE_BYTES):
-            sets = [token_set(t, width).view(np.int64) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["token"])
 
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "id", "code"), F.lit(SAMPLE)) == 0).select("text")
-    seen = (sample.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
-            .orderBy(F.desc("times"), "token").limit(KNOWN).toArrow())
+def added(tokens: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens with the sums of their times."""
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    return tokens[starts], np.add.reduceat(times[order], starts, dtype=np.int64)
+
+
+def frequencies(docs: DataFrame, width: int) -> Broadcast:
+    """(tokens, times) of the `KNOWN` tokens that occur in the most texts, counted over all of them.  The
+    tokens of some texts at a time are dealt by ranges, and each range is counted."""
+    parts = pieces(docs, COUNT_BYTES)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", PIECE_BYTES):
+            sets = [token_set(t, width) for t in part.column("text").to_pylist()]
+            yield dealt(*np.unique(np.concatenate(sets), return_counts=True), parts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("part", "tokens", "times")), strict=True))
+        for _, same in itertools.groupby(rows, key=lambda r: r[0]):
+            _, tokens, times = zip(*same, strict=True)
+            tokens, times = added(np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(times), np.uint32))
+            tokens, times = tokens[times > 1].view(np.int64), times[times > 1]
+            most = np.lexsort((tokens, -times))[:KNOWN]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[most]), pa.array(times[most])], ["token", "times"])
+
+    ranges = docs.select("text").mapInArrow(cut, "part long, tokens binary, times binary").repartition(parts, "part").sortWithinPartitions("part")
+    seen = ranges.mapInArrow(count, "token long, times long").orderBy(F.desc("times"), "token").limit(KNOWN).toArrow()
     tokens, times = (seen.column(c).to_numpy() for c in ("token", "times"))
     order = np.argsort(tokens.view(np.uint64))
     return docs.sparkSession.sparkContext.broadcast((tokens.view(np.uint64)[order], times[order]))

@@ -56,3 +56,23 @@ def test_phrases_are_replaced_in_slices():
     want = [None if t is None else t.replace("ab", "-") for t in texts.to_pylist()]
     assert replaced_in_slices(texts, PhraseTrie({"ab": "-"}), 50).to_pylist() == want
     assert replaced_in_slices(texts.slice(0, 0), PhraseTrie({"ab": "-"})).to_pylist() == []
+
+
+def test_tokens_of_all_texts_are_counted(spark):
+    from folioflow.llm import ngram_join
+    docs = spark.createDataFrame([(i, i, f"{'one two' if i % 7 else 'three four'} only{i}") for i in range(70)], "id long, code long, text string")
+    tokens, times = ngram_join.frequencies(docs, 2).value
+    want = {int(ngram_join.token_set(t, 2)[0]): n for t, n in (("one two", 60), ("three four", 10))}
+    assert dict(zip(tokens.tolist(), times.tolist(), strict=True)) == want
+
+
+def test_ranges_of_tokens_are_cut_and_added():
+    import numpy as np
+
+    from folioflow.llm import ngram_join
+    tokens = np.array([0, 5, 1 << 62, (1 << 64) - 1], np.uint64)
+    rows = ngram_join.dealt(tokens, np.array([1, 2, 3, 4]), 3).to_pylist()
+    assert [r["part"] for r in rows] == [0, 2] and b"".join(r["tokens"] for r in rows) == tokens.tobytes()
+    assert np.frombuffer(b"".join(r["times"] for r in rows), np.uint32).tolist() == [1, 2, 3, 4]
+    distinct, times = ngram_join.added(np.array([7, 3, 7, 9], np.uint64), np.array([1, 2, 5, 1], np.uint32))
+    assert distinct.tolist() == [3, 7, 9] and times.tolist() == [2, 6, 1]
