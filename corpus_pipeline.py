@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import bpe, lines, mixing, ngram_join, simhash, toxicity
 from folioflow.llm.common import HELD_OUT, read
+from folioflow.llm.components import components
 from folioflow.plans.checkpoints import materialise, scratch_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -44,20 +45,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    """One document of each group of texts that are linked by SimHash fingerprints or by shingles.
 
-    SimHash fingerprints of five-word shingles suggest groups of at most two differing bits; as such pairs
-    are few of those that are alike, an exact join finds the others, and all links are verified.  The row
-    with the least id stays, of equal ids the least by its columns; null ids come last.  Texts without
-    words, such as line dedup leaves of copies, are one group.
+    Fingerprints of five-word shingles link at two or fewer differing bits, sets of these shingles at a
+    Jaccard similarity of 0.8 or more; either finds links the other does not.  The row with the least id
+    stays, of equal ids the least by its columns; null ids come last.  Texts without words, such as line
+    dedup leaves of copies, have one fingerprint and so are one group.
     """
     rows = keyed(docs)
-    close = simhash.near_duplicates(rows, "__key", "text", width=ngram_join.WIDTH)
-    hints = close.where("component_id <> __key").select(F.col("component_id").alias("a"), F.col("__key").alias("b"))
-    groups = ngram_join.groups(rows, "__key", "text", hints=hints).distinct()
-    groups = materialise(groups.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise("")))
+    close = simhash.near_duplicates(rows, "__key", "text", width=ngram_join.WIDTH).select("__key", F.col("component_id").alias("of"))
+    alike = ngram_join.groups(rows, "__key", "text").select("__key", F.col("component_id").alias("of"))
+    links = materialise(close.unionByName(alike).where("of <> __key").distinct())
+    root = components(links, "__key", "of").withColumnRenamed("node", "__key")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__key")
-    stays = (rows.select("doc_id", "__key").distinct().join(groups, "__key").groupBy("component_id").agg(F.min(order).alias("first"))
+    stays = (rows.select("doc_id", "__key").distinct().join(root, "__key", "left").groupBy(F.coalesce("root", "__key")).agg(F.min(order).alias("first"))
              .select(F.col("first.__key").alias("__key")))
     return rows.join(stays, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 

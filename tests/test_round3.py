@@ -76,3 +76,21 @@ def test_ranges_of_tokens_are_cut_and_added():
     assert np.frombuffer(b"".join(r["times"] for r in rows), np.uint32).tolist() == [1, 2, 3, 4]
     distinct, times = ngram_join.added(np.array([7, 3, 7, 9], np.uint64), np.array([1, 2, 5, 1], np.uint32))
     assert distinct.tolist() == [3, 7, 9] and times.tolist() == [2, 6, 1]
+
+
+def test_either_search_of_the_pipeline_merges_documents(spark, monkeypatch):
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+    words = [" ".join(f"{a}{i}" for i in range(40)) for a in "abcd"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([words[0], words[0] + " more", words[1], words[2], words[3], "", None])], "doc_id long, text string")
+    kept = lambda: sorted(r.doc_id for r in p.drop_near_duplicates(spark, docs, "").collect())
+    assert kept() == [0, 2, 3, 4, 5]
+    real = p.simhash.near_duplicates
+
+    def third_and_fourth(rows, key, text, width):
+        found = real(rows, key, text, width)
+        least = F.least(*(F.lit(r["__key"]) for r in rows.where("doc_id in (2, 3)").select("__key").collect()))
+        return found.withColumn("component_id", F.when(F.col("__key").rlike("^[23]:"), least).otherwise(F.col("component_id")))
+
+    monkeypatch.setattr(p.simhash, "near_duplicates", third_and_fourth)
+    assert kept() == [0, 2, 4, 5]
