@@ -46,6 +46,7 @@ from .components import components
 from .simhash import SEED, SLICE_BYTES, shingle_hashes
 
 WIDTH, PERCENT = 5, 80
+SAMPLE = 1  # texts to each counted one: all are counted
 KNOWN = 1 << 17  # tokens whose frequency is kept
 MANY = 64  # texts from which a token is frequent
 SMALL = 25  # sets below take frequent tokens one by one
