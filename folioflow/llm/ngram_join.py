@@ -18,11 +18,12 @@ counted; those beyond the `KNOWN` most frequent ones are rare.
 
 Search.  A signature of several nodes is a block.  Its nodes are compared with its least one, then, where
 a block still has several components, with its greatest one.  What is then still apart is gathered by
-the least node of its blocks, in tiles of bounded size, and only pairs that pass a bound leave a tile:
-the parities of a set's tokens in some 2n buckets differ from those of another set in at most as many
-places as the sets differ in tokens.  Texts of the pairs that are left are fetched through a filter of
-fixed size and an exact join, each compared with the centre it is dealt to; centres with many candidates
-are split.
+the least node of its blocks, in tiles of bounded size, and only nodes that pass a bound with any other
+leave a tile: the parities of a set's tokens in some 2n buckets differ from those of another set in at
+most as many places as the sets differ in tokens.  Texts are fetched through a filter of fixed size and an
+exact join: those of the first two steps are each compared with the centre they are dealt to, where
+centres with many candidates are split; those of the nodes that left a tile are compared in tiles again,
+each giving only links that join what was apart in it.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ SMALL = 25  # sets below take frequent tokens one by one
 PER_CLASS = 20  # a class for so many tokens of a set
 PER_CENTRE = 500
 TILE = 1500  # nodes that are compared with each other or with as many others in one go
+TILE_TOKENS = 1 << 20  # tokens of these nodes, but for a larger set
 PIECE_BYTES = 4 << 20
 COUNT_BYTES = 8 << 20  # text whose tokens are counted in one range
 
@@ -181,6 +183,28 @@ def near_pairs(sizes: np.ndarray, odd: list[bytes], apart: np.ndarray, percent:
     return order[np.concatenate(left or [empty])], order[np.concatenate(right or [empty])]
 
 
+def joining_links(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that link and differ in `root` and `side`, without those whose ends `root` or links
+    found before already join."""
+    sizes, root = np.array([len(s) for s in sets]), root.copy()
+    x, y = near_pairs(sizes, [parities(s) for s in sets], np.array([root, side]).T, percent)
+    left, right = [], []
+    for pairs in np.split(np.arange(len(x)), np.flatnonzero(x[1:] != x[:-1]) + 1):
+        pairs = pairs[root[x[pairs]] != root[y[pairs]]]
+        if not len(pairs):
+            continue
+        i, others = x[pairs[0]], y[pairs]
+        own, tokens, n = sets[i], np.concatenate([sets[j] for j in others]), sizes[others]
+        equal = own[np.minimum(np.searchsorted(own, tokens), len(own) - 1)] == tokens
+        common = np.add.reduceat(equal, np.cumsum(n) - n, dtype=np.int64)
+        for j in others[100 * common >= percent * (len(own) + n - common)]:
+            if root[i] != root[j]:
+                left.append(i)
+                right.append(j)
+                root[root == root[j]] = root[i]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
 def dealt(tokens: np.ndarray, times: np.ndarray, parts: int) -> pa.RecordBatch:
     """(part, tokens, times): ascending distinct tokens, cut into the parts of their range that have any."""
     cuts = np.searchsorted(tokens, np.array([i * ((1 << 64) // parts) for i in range(parts)], np.uint64)).tolist() + [len(tokens)]
@@ -355,29 +379,50 @@ class Search:
         more = self.linked(apart.where("node <> high").join(top, "sig").where("root <> other").select(F.col("high").alias("a"), F.col("node").alias("b")))
         links = links.unionByName(more)
         found = components(links, "a", "b")
-        return components(links.unionByName(self.linked(self._tiled(self._apart(found)))), "a", "b")
+        return components(links.unionByName(self._inside(self._apart(found))), "a", "b")
 
-    def _tiled(self, apart: DataFrame) -> DataFrame:
-        """Pairs (a, b) that may link among the nodes of all blocks with one least node."""
-        near = materialise(apart.select("low", "node", "root").distinct())
-        tiles = near.groupBy("low").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-        dealt = near.join(tiles, "low").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    def _tiled(self, near: DataFrame) -> DataFrame:
+        """Rows (low, node, root, n) once for each tile (low, i, j) of theirs; `side` is theirs in a tile of two."""
+        most = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_TOKENS))
+        dealt = near.join(near.groupBy("low").agg(most.cast("int").alias("tiles")), "low").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        tiled = meets.select("low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"), "node", "root")
-        keys, percent = ["low", "i", "j"], self.percent
+        return meets.select("low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1).alias("side"), "node", "root", "n")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("low", "i", "j", "side", "node", "root", "n", "odd")), strict=True))
-            for (_, i, j), tile in itertools.groupby(rows, key=lambda r: r[:3]):
-                side, node, root, n, odd = zip(*(r[3:] for r in tile), strict=True)
+    def _inside(self, apart: DataFrame) -> DataFrame:
+        """Links (a, b) among the nodes of all blocks with one least node, enough to join what links there.
+
+        A tile says first which of its nodes may link to any other, then, beside their texts, which do; a
+        link is left out where others of its tile already join its ends.  So either step gives at most as
+        many rows as it reads, however many pairs a group has."""
+        near = materialise(apart.select("low", "node", "root").distinct().join(self.nodes.select("node", "n"), "node"))
+        keys, percent, width = ["low", "i", "j"], self.percent, self.width
+
+        def tiles(batches: Iterator[pa.RecordBatch], last: str) -> Iterator[tuple]:
+            rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("low", "i", "j", "side", "node", "root", "n", last)), strict=True))
+            for (low, i, j), tile in itertools.groupby(rows, key=lambda r: r[:3]):
+                side, node, root, n, data = zip(*(r[3:] for r in tile), strict=True)
                 # inside a tile of two sides, pairs of one side are left to another tile
-                apart = np.array([root, side if i < j else range(len(side))]).T
-                x, y = near_pairs(np.array(n), list(odd), apart, percent)
-                node = np.array(node, np.int64)
+                yield low, np.array(node, np.int64), np.array(root, np.int64), np.array(n), np.array(side if i < j else range(len(side))), data
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for low, node, root, n, side, odd in tiles(batches, "odd"):
+                at = np.unique(np.concatenate(near_pairs(n, list(odd), np.array([root, side]).T, percent)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), low)), *(pa.array(x[at]) for x in (node, root, n))], ["low", "node", "root", "n"])
+
+        def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unpack = zstandard.ZstdDecompressor().decompress
+            for _, node, root, _, side, texts in tiles(batches, "text"):
+                x, y = joining_links([token_set(unpack(t).decode(), width) for t in texts], root, side, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
 
-        shares = tiled.join(self.nodes.select("node", "n", "odd"), "node").repartition(self.parts, *keys).sortWithinPartitions(*keys, "side")
-        return shares.select(*keys, "side", "node", "root", "n", "odd").mapInArrow(run, "a long, b long")
+        def beside(near: DataFrame, what: DataFrame, *on: str) -> DataFrame:
+            return self._tiled(near).join(what, [*on]).repartition(self.parts, *keys).sortWithinPartitions(*keys, "side")
+
+        shares = beside(near, self.nodes.select("node", "odd"), "node").select(*keys, "side", "node", "root", "n", "odd")
+        near = materialise(shares.mapInArrow(some, "low long, node long, root long, n long").distinct())
+        ones = materialise(near.select("node").distinct().join(self.nodes.select("node", "one"), "node"))
+        texts = ones.join(self._texts(ones), "one").select("node", "text")
+        return beside(near, texts, "node").select(*keys, "side", "node", "root", "n", "text").mapInArrow(links, "a long, b long")
 
     def _apart(self, found: DataFrame) -> DataFrame:
         """Members, with their component, of blocks that still have several."""

@@ -105,3 +105,27 @@ def test_signatures_miss_no_link():
             assert join.may_link(join.parities(x), join.parities(y), len(x), len(y), 80)
             sizes, odd = np.array([len(x), len(y)]), [join.parities(x), join.parities(y)]
             assert len(join.near_pairs(sizes, odd, np.array([[0], [1]]), 80)[0]) == 1
+
+
+def test_a_tile_gives_links_that_join_and_no_pairs():
+    """Near copies of one text that is not there: their links come as a forest, not as all pairs."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 200, np.uint64, endpoint=False)
+    sets = [np.unique(np.concatenate((base[rng.random(200) > 0.05], rng.integers(0, 2**64, int(rng.integers(0, 12)), np.uint64, endpoint=False)))) for _ in range(60)]
+    sets += [np.unique(rng.integers(0, 2**64, 200, np.uint64, endpoint=False)) for _ in range(5)]
+    for sides in (np.arange(65), np.arange(65) % 2):
+        root = np.where(np.arange(65) < 4, 0, np.arange(65))
+        truth = [(i, j) for i in range(65) for j in range(i) if sides[i] != sides[j]
+                 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        x, y = join.joining_links(sets, root, sides, 80)
+        assert {(max(p), min(p)) for p in zip(x.tolist(), y.tolist(), strict=True)} <= set(truth)
+
+        def roots(pairs):
+            of = root.copy()
+            for i, j in pairs:
+                of[of == of[j]] = of[i]
+            return [of.tolist().index(r) for r in of]
+
+        assert roots(zip(x, y, strict=True)) == roots(truth) and len(truth) > 300
+        assert len(x) == len(set(root.tolist())) - len(set(roots(truth)))
+    assert join.joining_links(sets[:1], np.zeros(1, np.int64), np.zeros(1, np.int64), 80)[0].tolist() == []
