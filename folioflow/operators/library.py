@@ -14,6 +14,8 @@ from .lines import is_reusable, is_reusable_for
 BOOK = ["site", "book_id"]
 CHAPTER = ["site", "book_id", "chapter_id"]
 BLOCK_ROWS = 100_000
+#: Books and hits that one task matches; a site with more of them is matched by key.
+SITE_ROWS = 100_000
 MAX_PAGE_SIZE, DEFAULT_PAGE_SIZE = 500, 100
 
 
@@ -232,23 +234,77 @@ def resume_index(items: DataFrame, chapters: DataFrame) -> DataFrame:
 
 def fallback_match(books: DataFrame, hits: DataFrame) -> DataFrame:
     """Hit for a book: same id, else the first hit whose title and author equal the book's without
-    white space; a blank title or author of the book matches anything.
+    white space; a blank title or author of the book matches anything.  Books of one id share a match.
 
-    A hit lists every key a book may ask by, a book the one it does ask by besides its id, so the
-    alternatives and wildcards are one equi-join on keys reduced to their first hit.
+    Every match lies inside a site, so books and hits are shuffled once, by site, as they are; the keys
+    they meet by are listed behind the shuffle.  Sites of more than `SITE_ROWS` rows go by their keys.
     """
-    squash = lambda c: F.regexp_replace(trim_u(F.coalesce(F.col(c), F.lit(""))), r"[ \t\n\f\r]+", "")
-    key = lambda kind, x=F.lit(""), y=F.lit(""): F.struct(F.lit(kind).alias("kind"), x.alias("a"), y.alias("b"))
-    t, a, i = squash("title"), squash("author"), trim_u("book_id")
-    hit = F.struct("ord", "book_id", "title", "author", "description", "cover_url", "url")
-    side = (hits.select("site", hit.alias("_hit"), F.explode(F.array(
-        key("id", i), key("both", t, a), key("title", t), key("author", a), key("any"))).alias("_k"))
-        .groupBy("site", "_k").agg(F.min_by("_hit", F.col("_hit.ord")).alias("_h")))
-    ask = (F.when((t != "") & (a != ""), key("both", t, a)).when(t != "", key("title", t))
-           .when(a != "", key("author", a)).otherwise(key("any")))
-    best = (books.select(*BOOK, F.posexplode(F.array(key("id", i), ask)).alias("_tier", "_k")).join(side, ["site", "_k"])
+    sizes = books.select("site").unionByName(hits.select("site")).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > SITE_ROWS, F.col("site"))).alias("large")).first()
+    parts = max(1, -(-(found["n"] or 0) // SITE_ROWS))
+    if not found["large"]:
+        return _match_in_sites(books, hits, parts)
+    large = F.coalesce(F.col("site").isin(found["large"]), F.lit(False))
+    return (_match_in_sites(books.filter(~large), hits.filter(~large), parts)
+            .unionByName(_match_by_keys(books.filter(large), hits.filter(large))))
+
+
+_HIT = ("ord", "book_id", "title", "author", "description", "cover_url", "url")
+
+
+def _match_key(kind: str, *of: Column) -> Column:
+    a, b = (*of, F.lit(""), F.lit(""))[:2]
+    return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+
+
+def _hit_keys(t: Column, a: Column, i: Column) -> Column:
+    """Every key a book may ask by."""
+    return F.array(_match_key("id", i), _match_key("both", t, a), _match_key("title", t), _match_key("author", a), _match_key("any"))
+
+
+def _book_keys(t: Column, a: Column, i: Column) -> Column:
+    """The id, and the one other key that a book does ask by."""
+    ask = (F.when((t != "") & (a != ""), _match_key("both", t, a)).when(t != "", _match_key("title", t))
+           .when(a != "", _match_key("author", a)).otherwise(_match_key("any")))
+    return F.array(_match_key("id", i), ask)
+
+
+def _asked_by(title: Column, author: Column, book_id: Column) -> tuple[Column, Column, Column]:
+    """What keys are made of: title and author without white space, and the id."""
+    squash = lambda c: F.regexp_replace(trim_u(F.coalesce(c, F.lit(""))), r"[ \t\n\f\r]+", "")
+    return squash(title), squash(author), trim_u(book_id)
+
+
+def _match_in_sites(books: DataFrame, hits: DataFrame, parts: int) -> DataFrame:
+    """`fallback_match` with all rows of a site in one task.  Rows are sorted by hashes of their keys
+    first, which compare faster than texts."""
+    asked = books.select("site", F.struct(*books.columns).alias("_b"))
+    offered = hits.filter(F.col("site").isNotNull()).select("site", F.struct(*_HIT).alias("_h"))
+    near = asked.unionByName(offered, allowMissingColumns=True).repartition(parts, "site")
+    is_hit = F.col("_h").isNotNull()
+    either = lambda c: F.when(is_hit, F.col(f"_h.{c}")).otherwise(F.col(f"_b.{c}"))
+    t, a, i = (F.col(c) for c in ("_t", "_a", "_i"))
+    keyed = (near.withColumns(dict(zip(("_t", "_a", "_i"), _asked_by(either("title"), either("author"), either("book_id")), strict=True)))
+             .select("site", "_b", "_h", F.when(is_hit, _hit_keys(t, a, i)).otherwise(_book_keys(t, a, i)).alias("_keys")))
+    listed = keyed.select("site", "_b", "_h", F.posexplode_outer("_keys").alias("_tier", "_k")).withColumn("_hash", F.xxhash64("site", "_k"))
+    by_key = Window.partitionBy("_hash", "site", "_k")
+    found = F.when(F.count("_h").over(by_key) > 0, F.struct(F.min_by("_h", "_h.ord").over(by_key).alias("hit")))
+    answered = listed.select("site", "_b", "_h", "_tier", found.alias("_found")).filter(~is_hit)
+    by_book = Window.partitionBy(F.xxhash64("site", "_b.book_id"), "site", "_b.book_id")
+    order = F.when(F.col("_found").isNotNull(), F.struct("_tier", "_found.hit.ord"))
+    best = answered.select("_b", "_tier", F.min_by("_found.hit", order).over(by_book).alias("_m"))
+    known = F.col("_b.site").isNotNull() & F.col("_b.book_id").isNotNull()
+    return best.filter(F.col("_tier") == 1).select("_b.*", F.when(known, F.col("_m")).alias("match"))
+
+
+def _match_by_keys(books: DataFrame, hits: DataFrame) -> DataFrame:
+    """`fallback_match` as one equi-join on keys reduced to their first hit, before they are shuffled."""
+    own = [F.col(c) for c in ("title", "author", "book_id")]
+    side = (hits.select("site", F.struct(*_HIT).alias("_hit"), F.explode(_hit_keys(*_asked_by(*own))).alias("_k"))
+            .groupBy("site", "_k").agg(F.min_by("_hit", F.col("_hit.ord")).alias("_h")))
+    best = (books.select(*BOOK, F.posexplode(_book_keys(*_asked_by(*own))).alias("_tier", "_k")).join(side, ["site", "_k"])
             .groupBy(*BOOK).agg(F.min_by("_h", F.struct("_tier", "_h.ord")).alias("match")))
-    return books.join(best, BOOK, "left")
+    return books.join(best, BOOK, "left").select(*books.columns, "match")
 
 
 def fill_from_match(matched: DataFrame) -> DataFrame:
