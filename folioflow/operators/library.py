@@ -174,23 +174,25 @@ def lookup_stored(requests: DataFrame, stored: DataFrame) -> DataFrame:
     else the first with content, in order, that shares url, id or title.
 
     Both sides list their keys as rows, so the alternatives are one equi-join; many stored chapters
-    with one key are reduced before the join.
+    with one key are reduced before the join.  Requests keep their columns beside their keys, so they
+    are read once.
     """
     none = F.lit("")
     keys = _keys(("id", F.col("chapter_id"), none), ("url", F.col("url"), none), ("title", F.col("title"), none))
-    o, filled = F.col("_o"), F.col("_filled")
+    o, filled, by_id = F.col("_o"), F.col("_filled"), F.col("_k.kind") == "id"
+    # the last chapter matters for ids alone
     side = (stored.select(*BOOK, F.col("order_index").alias("_o"), (~is_blank("content")).alias("_filled"),
                           F.col("chapter_id").alias("_id"), F.explode(keys).alias("_k"))
-            .filter(filled | (F.col("_k.kind") == "id"))
-            .groupBy(*BOOK, "_k").agg(F.max(F.struct("_o", "_filled", "_id")).alias("_last"),
+            .filter(filled | by_id)
+            .groupBy(*BOOK, "_k").agg(F.max(F.when(by_id, F.struct("_o", "_filled", "_id"))).alias("_last"),
                                       F.min(F.when(filled, F.struct("_o", "_id"))).alias("_first")))
-    direct = (F.col("_k.kind") == "id") & F.col("_last._filled")
-    match = F.when(direct, F.struct(F.lit(0).alias("tier"), F.col("_last._o").alias("o"), F.col("_last._id").alias("id"))).when(
+    match = F.when(F.col("_last._filled"), F.struct(F.lit(0).alias("tier"), F.col("_last._o").alias("o"), F.col("_last._id").alias("id"))).when(
         F.col("_first").isNotNull(), F.struct(F.lit(1).alias("tier"), F.col("_first._o").alias("o"), F.col("_first._id").alias("id")))
-    best = (requests.select("request_id", *BOOK, F.explode(keys).alias("_k")).join(side, [*BOOK, "_k"])
-            .groupBy("request_id").agg(F.min(match).alias("_m")))
-    return (requests.join(best, "request_id", "left")
-            .withColumn("stored_id", F.col("_m.id")).withColumn("stored_order", F.col("_m.o")).drop("_m"))
+    asked = (requests.select(*requests.columns, F.posexplode_outer(keys).alias("_at", "_k"))
+             .join(side.select(*BOOK, "_k", match.alias("_m")), [*BOOK, "_k"], "left"))
+    best = F.when(F.col("request_id").isNotNull(), F.min("_m").over(Window.partitionBy("request_id")))
+    return (asked.withColumn("_m", best).filter(F.coalesce("_at", F.lit(0)) == 0)
+            .select(*requests.columns, F.col("_m.id").alias("stored_id"), F.col("_m.o").alias("stored_order")))
 
 
 def same_chapter(requests: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -204,12 +204,16 @@ def first_source_wins(spark, d):
 
 def _requests(spark, d):
     """One request per line item: a third by id, a third by url, a third by title."""
-    return table(spark, d, "lineitem").selectExpr(
+    # equal items are found by their numbers, which a name without nulls holds; the texts are longer
+    numbers = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    items = table(spark, d, "lineitem").select(*numbers).distinct()
+    rows = items.selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS request_id", "'catalog' AS site", "CAST(l_suppkey AS STRING) AS book_id",
         "CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_partkey + 1 AS STRING) ELSE '' END AS chapter_id",
         "CASE WHEN l_orderkey % 3 = 1 THEN concat('u', l_partkey % 300) ELSE '' END AS url",
         "CASE WHEN l_orderkey % 3 = 2 THEN concat('t', l_partkey % 40) ELSE '' END AS title",
-        "CAST(l_partkey % 5 AS BIGINT) AS order_index", "CAST(l_partkey % 90 AS BIGINT) AS fallback_index").distinct()
+        "CAST(l_partkey % 5 AS BIGINT) AS order_index", "CAST(l_partkey % 90 AS BIGINT) AS fallback_index", f"{' IS NULL OR '.join(numbers)} IS NULL AS unsure")
+    return rows.filter("NOT unsure").drop("unsure").unionByName(rows.filter("unsure").drop("unsure").distinct())
 
 
 _REQ = """req AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS request_id, CAST(l_suppkey AS VARCHAR) AS book_id,

@@ -33,3 +33,15 @@ def test_matches_inside_sites_are_those_by_keys(spark, monkeypatch, most):
 def test_hits_are_listed_by_their_keys_behind_the_shuffle(spark):
     plan = L.fallback_match(*tables(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Generate posexplode[\s\S]*RepartitionByExpression", plan) and not re.search(r"RepartitionByExpression[\s\S]*Generate", plan)
+
+
+def test_requests_are_read_once_and_keep_their_rows(spark):
+    stored = spark.createDataFrame([("s", "b", "1", "u1", "t", 1, "x"), ("s", "b", "1", "u1", "t", 2, " "), ("s", "b", "2", "u2", "t", 3, "y"), ("s", "b", "3", "u3", "", 4, "z")],
+                                   "site string, book_id string, chapter_id string, url string, title string, order_index long, content string")
+    asked = [("r1", "1", "", ""), ("r2", "2", "u1", ""), ("r3", "", "", "t"), ("r4", "", "", ""), ("r5", "8", "", ""), ("r6", "3", "", ""), ("r6", "", "u2", ""), (None, "3", "", ""), ("r1", "1", "", "")]
+    requests = spark.createDataFrame([(r, "s", "b", i, u, t) for r, i, u, t in asked], "request_id string, site string, book_id string, chapter_id string, url string, title string").repartition(2, "request_id")
+    found = L.lookup_stored(requests, stored)
+    assert found.columns == [*requests.columns, "stored_id", "stored_order"]
+    want = [("r1", "1", "1", 1), ("r1", "1", "1", 1), ("r2", "2", "2", 3), ("r3", "", "1", 1), ("r4", "", None, None), ("r5", "8", None, None), ("r6", "3", "3", 4), ("r6", "", "3", 4), (None, "3", None, None)]
+    assert sorted(repr((r.request_id, r.chapter_id, r.stored_id, r.stored_order)) for r in found.collect()) == sorted(map(repr, want))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
