@@ -157,7 +157,8 @@ def verified(a: Column, b: Column, edits: int) -> Column:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line, key) of every line that is not blank; key is two 64-bit hashes."""
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    # outer, as a null text ends at the filter; for the inner one Spark would split a second time
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(text_col, "\n")).alias("line_no", "line"))
     rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\f"))).where("line <> ''")
     return rows.withColumn("key", F.struct(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")))
 
@@ -193,22 +194,31 @@ def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
 
 
 def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b): names `k` of pairs of distinct lines (`k`, `line`) that share a segment, each pair once."""
-    n = F.char_length("line")
+    """(a, b): names `k` of pairs of distinct lines (`k`, `line`) that share a segment, each pair once.
+
+    Lengths are columns of their own, and entries are listed by an outer explode, as they are never none:
+    for the inner one Spark would compute them a second time, to filter rows without any.
+    """
+    sizes = [f"_n{shorter}" for shorter in range(edits + 1)]
+    lines = (lines.select("k", "line", F.char_length("line").alias("_n"))
+             .select("k", "line", *(F.col("_n") - shorter for shorter in range(edits + 1))).toDF("k", "line", *sizes))
 
     def entry(length: Column, i: int, text: Column) -> Column:
         return F.xxhash64(length, F.lit(i), text)
 
-    own = [entry(n, i, F.substring(F.col("line"), at, size)) for i, (at, size) in enumerate(_segments(n, edits))]
-    index = lines.select("k", F.explode(F.array_distinct(F.array(*own))).alias("entry"))
+    def listed(entries: list[Column], name: str) -> DataFrame:
+        return (lines.select(F.col("k").alias(name), F.array_distinct(F.array(*entries)).alias("entries"))
+                .select(name, F.explode_outer("entries").alias("entry")))
+
+    n = F.col(sizes[0])
+    index = listed([entry(n, i, F.substring(F.col("line"), at, size)) for i, (at, size) in enumerate(_segments(n, edits))], "k")
     probes = []
-    for shorter in range(edits + 1):
-        length = n - shorter
+    for shorter, length in enumerate(map(F.col, sizes)):
         for i, (at, size) in enumerate(_segments(length, edits)):
             low = max(-i, shorter - (edits - i))
             high = min(i, shorter + (edits - i))
             probes += [entry(length, i, F.substring(F.col("line"), at + by, size)) for by in range(low, high + 1)]
-    probe = lines.select(F.col("k").alias("b"), F.explode(F.array_distinct(F.array(*probes))).alias("entry"))
+    probe = listed(probes, "b")
     return (index.join(probe, "entry").where((F.col("k") != F.col("b")) & (counts_apart(F.col("k"), F.col("b")) <= 2 * edits))
             .select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct())
 

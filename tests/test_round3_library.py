@@ -45,3 +45,17 @@ def test_requests_are_read_once_and_keep_their_rows(spark):
     want = [("r1", "1", "1", 1), ("r1", "1", "1", 1), ("r2", "2", "2", 3), ("r3", "", "1", 1), ("r4", "", None, None), ("r5", "8", None, None), ("r6", "3", "3", 4), ("r6", "", "3", 4), (None, "3", None, None)]
     assert sorted(repr((r.request_id, r.chapter_id, r.stored_id, r.stored_order)) for r in found.collect()) == sorted(map(repr, want))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def test_line_entries_are_computed_once(spark):
+    from folioflow.llm import lines as M
+    rows = spark.createDataFrame([(i, f"a line of some length, number {i // 2 * 7}{'x' * (i % 2)}") for i in range(8)], "k long, line string")
+    found = M.candidates(rows.withColumn("k", M.name_of(M.F.col("line"), M.F.col("k"))), 2)
+    assert found.count() >= 4
+    # lengths are columns, not computed for each of the 15 entries: 3 of the index and 12 probes
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("xxhash64(") == 15 and len(re.findall(r"(?<!octet_)length\(line", text)) <= 6
+    docs = spark.createDataFrame([(1, "a\n\n b"), (2, None), (3, "")], "doc_id long, text string")
+    lines = M.lines_of(docs, "doc_id", "text")
+    assert sorted((r.id, r.line_no, r.line) for r in lines.collect()) == [(1, 0, "a"), (1, 2, "b")]
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
