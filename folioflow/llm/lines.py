@@ -157,7 +157,7 @@ def verified(a: Column, b: Column, edits: int) -> Column:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line, key) of every line that is not blank; key is two 64-bit hashes."""
-    # outer, as a null text ends at the filter; for the inner one Spark would split a second time
+    # a null text has one row without a line, which ends at the filter
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(text_col, "\n")).alias("line_no", "line"))
     rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\f"))).where("line <> ''")
     return rows.withColumn("key", F.struct(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")))
