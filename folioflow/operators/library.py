@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.text import is_blank, nullif_blank, trim_u
-from ..plans.checkpoints import materialise
+from ..plans.checkpoints import materialise, written
 from ..plans.ordering import block_of, number_rows, number_rows_any
 from .lines import is_reusable, is_reusable_for
 
@@ -16,6 +18,10 @@ CHAPTER = ["site", "book_id", "chapter_id"]
 BLOCK_ROWS = 100_000
 #: Books and hits that one task matches; a site with more of them is matched by key.
 SITE_ROWS = 100_000
+#: Requests and chapters of books that one task looks up; a book with more of them goes by its keys.
+BOOK_ROWS = 100_000
+#: Requests and chapters that are shuffled together; more go in rounds of whole books.
+ROUND_ROWS = 20_000_000
 MAX_PAGE_SIZE, DEFAULT_PAGE_SIZE = 500, 100
 
 
@@ -169,6 +175,54 @@ def _keys(*kinds: tuple[str, Column, Column]) -> Column:
     return F.filter(F.array(*made), lambda k: k["a"] != "")
 
 
+def _same_keys(of: Callable[[str], Column]) -> Column:
+    none, order = F.lit(""), F.nullif(F.coalesce(of("order_index"), F.lit(0)), F.lit(0))
+    return _keys(("id", of("chapter_id"), none), ("url", of("url"), none), ("title", F.when(order.isNotNull(), of("title")), order))
+
+
+def _in_books(requests: DataFrame, chapters: DataFrame, answer: Callable, by_keys: Callable) -> DataFrame:
+    """What `answer` makes of requests and chapters (`_c` tells which) that are shuffled once, by book, as they are.
+    It also gets what gives a column that both have.  More than `ROUND_ROWS` rows go in rounds of whole books,
+    each written before the next is shuffled.  Books of more than `BOOK_ROWS` rows are left to `by_keys`;
+    requests without a book find nothing."""
+    known = F.col("site").isNotNull() & F.col("book_id").isNotNull()
+    asked, rows = requests.filter(known), chapters.filter(known)
+    sizes = asked.select(*BOOK).unionByName(rows.select(*BOOK)).groupBy(*BOOK).agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > BOOK_ROWS, F.struct(*BOOK))).alias("large")).first()
+    kinds = dict(requests.dtypes)
+    own = {c: c if kinds.get(c, kind) == kind else f"_c_{c}" for c, kind in chapters.dtypes}
+    either = lambda c: F.col(c) if own[c] == c else F.when(F.col("_c"), F.col(own[c]).cast("string")).otherwise(F.col(c).cast("string"))
+    n = found["n"] or 0
+    rounds = max(1, -(-n // ROUND_ROWS))
+    out = requests.filter(~known)
+    if found["large"]:
+        large = requests.sparkSession.createDataFrame(found["large"], asked.select(*BOOK).schema)
+        out = out.unionByName(by_keys(_of(asked, large), _of(rows, large)), allowMissingColumns=True)
+        asked, rows = (df.join(large, BOOK, "left_anti") for df in (asked, rows))
+    for i in range(rounds):
+        now = F.pmod(F.xxhash64(*BOOK), F.lit(rounds)) == i
+        near = (asked.filter(now).select(*requests.columns, F.lit(False).alias("_c"))
+                .unionByName(rows.filter(now).select(*[F.col(c).alias(new) for c, new in own.items()], F.lit(True).alias("_c")), allowMissingColumns=True)
+                .repartition(max(1, -(-n // rounds // BOOK_ROWS)), *BOOK))
+        found = answer(near, either)
+        out = out.unionByName(written(found) if rounds > 1 else found, allowMissingColumns=True)
+    return out
+
+
+def _of(df: DataFrame, large: DataFrame) -> DataFrame:
+    return df.join(large, BOOK, "left_semi").select(*df.columns)
+
+
+def _inside(*of: str) -> WindowSpec:
+    """All rows of a book that agree in `of`; hashes are sorted by first, which compare faster than texts."""
+    return Window.partitionBy(F.xxhash64(*BOOK, *of), *BOOK, *of)
+
+
+def _best_of_requests(rows: DataFrame, value: str) -> DataFrame:
+    """Least value of a request id among the rows that name it, of any book; a null id has none."""
+    return rows.withColumn(value, F.when(F.col("request_id").isNotNull(), F.min(value).over(Window.partitionBy("request_id"))))
+
+
 def lookup_stored(requests: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored body for a requested chapter: the last stored one of its id when that has content,
     else the first with content, in order, that shares url, id or title.
@@ -198,26 +252,52 @@ def lookup_stored(requests: DataFrame, stored: DataFrame) -> DataFrame:
 def same_chapter(requests: DataFrame, chapters: DataFrame) -> DataFrame:
     """Position of a chapter identical to a requested one, by id, by url, or by title and order
     together: the clamped fallback index if that chapter is one, else the first; the fallback index
-    when none matches."""
-    none = F.lit("")
-    order = F.nullif(F.coalesce("order_index", F.lit(0)), F.lit(0))
-    both = _keys(("id", F.col("chapter_id"), none), ("url", F.col("url"), none),
-                 ("title", F.when(order.isNotNull(), F.col("title")), order))
-    side = (chapters.select(*BOOK, "position", F.explode(both).alias("_k"))
-            .withColumnRenamed("position", "_p"))
-    sizes = chapters.groupBy(*BOOK).agg(F.max("position").alias("_last"))
-    clamped = F.greatest(F.lit(0), F.least(F.coalesce("fallback_index", F.lit(0)), F.col("_last")))
-    asked = requests.join(sizes, BOOK, "left").withColumn("_at", F.when(F.col("_last").isNull(), F.lit(0)).otherwise(clamped))
+    when none matches.
+
+    Requests and chapters are shuffled as by `lookup_stored`.  A key is listed alone, for the least position, and
+    with a position, to tell whether the fallback chapter has it, which counts as position -1.
+    """
+    names = ["request_id", *BOOK, *[c for c in requests.columns if c not in ("request_id", *BOOK)]]
+    requests = written(requests)
+    chapters = written(chapters.select(*CHAPTER, "url", "title", "order_index", "position"))
+    chapters = chapters.withColumnRenamed("position", "_position")
+    found = _in_books(requests, chapters, lambda near, either: _same_in_books(near, either).select(*names, "_at", "_p"), _same_by_keys)
+    at = F.coalesce("_at", F.lit(0))
+    return _best_of_requests(found, "_p").select(*names, F.when(F.col("_p") >= 0, F.col("_p")).otherwise(at).alias("matched_index"))
+
+
+def _same_in_books(near: DataFrame, either: Callable[[str], Column]) -> DataFrame:
+    c = F.col("_c")
+    placed = near.withColumn("_last", F.max("_position").over(_inside())).withColumn("_at", F.when(c, F.col("_position")).otherwise(_clamped(F.col("fallback_index"))))
+    keys = _same_keys(either)
+    alone = F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(None).cast("long").alias("p")))
+    there = F.filter(F.transform(keys, lambda k: F.struct(k.alias("k"), F.col("_at").cast("long").alias("p"))), lambda k: k["p"].isNotNull())
+    listed = placed.select("*", F.posexplode_outer(F.concat(alone, there)).alias("_n", "_k"))
+    first = F.min("_position").over(_inside("_k")).cast("long")
+    return (listed.withColumn("_p", F.when(F.col("_k").isNotNull(), first)).filter(~c)
+            .withColumn("_p", F.when(F.col("_p").isNotNull() & F.col("_k.p").isNotNull(), F.lit(-1).cast("long")).otherwise(F.col("_p")))
+            .withColumn("_p", F.min("_p").over(_inside("request_id"))).filter(F.coalesce("_n", F.lit(0)) == 0))
+
+
+def _clamped(index: Column) -> Column:
+    return F.when(F.col("_last").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.coalesce(index, F.lit(0)), F.col("_last"))))
+
+
+def _same_by_keys(requests: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Requests with the fallback index `_at` and the least position `_p`, by equi-joins."""
+    both = _same_keys(F.col)
+    side = chapters.select(*BOOK, F.explode(both).alias("_k"), F.col("_position").alias("_p"))
+    sizes = chapters.groupBy(*BOOK).agg(F.max("_position").alias("_last"))
+    asked = requests.join(sizes, BOOK, "left").withColumn("_at", _clamped(F.col("fallback_index")))
     keyed = asked.select("request_id", *BOOK, "_at", F.explode(both).alias("_k"))
     # the least position of a key combines before the shuffle; the fallback chapter is found by its
     # position, where its keys are compared, so they are not shuffled a second time
     first = keyed.join(side.groupBy(*BOOK, "_k").agg(F.min("_p").alias("_p")), [*BOOK, "_k"]).select("request_id", "_p")
-    there = chapters.select(*BOOK, F.col("position").alias("_at"), both.alias("_has"))
+    there = chapters.select(*BOOK, F.col("_position").alias("_at"), both.alias("_has"))
     here = (asked.select("request_id", *BOOK, "_at", both.alias("_ks")).join(there, [*BOOK, "_at"])
             .filter(F.arrays_overlap("_ks", "_has")).select("request_id", F.lit(-1).cast("long").alias("_p")))
     best = first.select("request_id", F.col("_p").cast("long").alias("_p")).unionByName(here).groupBy("request_id").agg(F.min("_p").alias("_p"))
-    return (asked.join(best, "request_id", "left")
-            .withColumn("matched_index", F.when(F.col("_p") >= 0, F.col("_p")).otherwise(F.col("_at"))).drop("_p", "_last", "_at"))
+    return asked.join(best, "request_id", "left").select(*requests.columns, "_at", "_p")
 
 
 def resume_index(items: DataFrame, chapters: DataFrame) -> DataFrame:
