@@ -175,6 +175,11 @@ def _keys(*kinds: tuple[str, Column, Column]) -> Column:
     return F.filter(F.array(*made), lambda k: k["a"] != "")
 
 
+def _lookup_keys(of: Callable[[str], Column]) -> Column:
+    none = F.lit("")
+    return _keys(("id", of("chapter_id"), none), ("url", of("url"), none), ("title", of("title"), none))
+
+
 def _same_keys(of: Callable[[str], Column]) -> Column:
     none, order = F.lit(""), F.nullif(F.coalesce(of("order_index"), F.lit(0)), F.lit(0))
     return _keys(("id", of("chapter_id"), none), ("url", of("url"), none), ("title", F.when(order.isNotNull(), of("title")), order))
@@ -227,26 +232,44 @@ def lookup_stored(requests: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored body for a requested chapter: the last stored one of its id when that has content,
     else the first with content, in order, that shares url, id or title.
 
-    Both sides list their keys as rows, so the alternatives are one equi-join; many stored chapters
-    with one key are reduced before the join.  Requests keep their columns beside their keys, so they
-    are read once.
+    Every match lies inside a book, so requests and stored chapters are written once, shuffled once by
+    book as they are, and list their keys behind the shuffle; a book of more than `BOOK_ROWS` rows goes by its keys.
     """
-    none = F.lit("")
-    keys = _keys(("id", F.col("chapter_id"), none), ("url", F.col("url"), none), ("title", F.col("title"), none))
-    o, filled, by_id = F.col("_o"), F.col("_filled"), F.col("_k.kind") == "id"
+    names = requests.columns
+    requests = written(requests)
+    stored = written(stored.select(*CHAPTER, "url", "title", F.col("order_index").alias("_o"), (~is_blank("content")).alias("_filled")))
+    found = _in_books(requests, stored, lambda near, either: _stored_in_books(near, either).select(*names, "_m"), _stored_by_keys)
+    return _best_of_requests(found, "_m").select(*names, F.col("_m.id").alias("stored_id"), F.col("_m.o").alias("stored_order"))
+
+
+def _stored_in_books(near: DataFrame, either: Callable[[str], Column]) -> DataFrame:
+    listed = near.select("*", F.posexplode_outer(_lookup_keys(either)).alias("_at", "_k"))
+    by_key, by_id, c = _inside("_k"), F.col("_k.kind") == "id", F.col("_c")
     # the last chapter matters for ids alone
-    side = (stored.select(*BOOK, F.col("order_index").alias("_o"), (~is_blank("content")).alias("_filled"),
-                          F.col("chapter_id").alias("_id"), F.explode(keys).alias("_k"))
-            .filter(filled | by_id)
-            .groupBy(*BOOK, "_k").agg(F.max(F.when(by_id, F.struct("_o", "_filled", "_id"))).alias("_last"),
-                                      F.min(F.when(filled, F.struct("_o", "_id"))).alias("_first")))
-    match = F.when(F.col("_last._filled"), F.struct(F.lit(0).alias("tier"), F.col("_last._o").alias("o"), F.col("_last._id").alias("id"))).when(
+    last = F.max(F.when(c & by_id, F.struct("_o", "_filled", either("chapter_id").alias("_id")))).over(by_key)
+    first = F.min(F.when(c & F.col("_filled"), F.struct("_o", either("chapter_id").alias("_id")))).over(by_key)
+    # a chapter without keys shares the null of requests without keys
+    return (listed.withColumns({"_last": last, "_first": first}).filter(~c)
+            .withColumn("_m", F.when(F.col("_k").isNotNull(), _stored_match()))
+            .withColumn("_m", F.min("_m").over(_inside("request_id"))).filter(F.coalesce("_at", F.lit(0)) == 0))
+
+
+def _stored_match() -> Column:
+    return F.when(F.col("_last._filled"), F.struct(F.lit(0).alias("tier"), F.col("_last._o").alias("o"), F.col("_last._id").alias("id"))).when(
         F.col("_first").isNotNull(), F.struct(F.lit(1).alias("tier"), F.col("_first._o").alias("o"), F.col("_first._id").alias("id")))
+
+
+def _stored_by_keys(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """Requests with the match `_m` of each of their keys, by one equi-join; many stored chapters with one key
+    are reduced before it.  Each request is one row for each of its keys."""
+    keys, by_id = _lookup_keys(F.col), F.col("_k.kind") == "id"
+    side = (stored.select(*BOOK, "_o", "_filled", F.col("chapter_id").alias("_id"), F.explode(keys).alias("_k"))
+            .filter(F.col("_filled") | by_id)
+            .groupBy(*BOOK, "_k").agg(F.max(F.when(by_id, F.struct("_o", "_filled", "_id"))).alias("_last"),
+                                      F.min(F.when(F.col("_filled"), F.struct("_o", "_id"))).alias("_first")))
     asked = (requests.select(*requests.columns, F.posexplode_outer(keys).alias("_at", "_k"))
-             .join(side.select(*BOOK, "_k", match.alias("_m")), [*BOOK, "_k"], "left"))
-    best = F.when(F.col("request_id").isNotNull(), F.min("_m").over(Window.partitionBy("request_id")))
-    return (asked.withColumn("_m", best).filter(F.coalesce("_at", F.lit(0)) == 0)
-            .select(*requests.columns, F.col("_m.id").alias("stored_id"), F.col("_m.o").alias("stored_order")))
+             .join(side.select(*BOOK, "_k", _stored_match().alias("_m")), [*BOOK, "_k"], "left"))
+    return _best_of_requests(asked, "_m").filter(F.coalesce("_at", F.lit(0)) == 0).select(*requests.columns, "_m")
 
 
 def same_chapter(requests: DataFrame, chapters: DataFrame) -> DataFrame:

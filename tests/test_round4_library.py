@@ -35,6 +35,23 @@ def same(asked, chapters):
     return [(*a, x if best.get(a[0], 99) in (-1, 99) else best[a[0]]) for a, x in zip(asked, at, strict=True)]
 
 
+def stored(asked, chapters):
+    """`lookup_stored` row by row; of chapters with equal order the least or the last id counts."""
+    low = lambda o: (o is not None, o or 0)
+    best = {}
+    for request, s, b, i, u, t, *_ in asked:
+        of = [c for c in chapters if None not in (s, b) and c[:2] == (s, b)]
+        mine = [c for c in of if i and c[2] == i]
+        last = max(mine, key=lambda c: (*low(c[5]), bool((c[6] or "").strip()))) if mine else None
+        full = [c for c in of if (c[6] or "").strip() and filled(("id", i), ("url", u), ("title", t)) & filled(("id", c[2]), ("url", c[3]), ("title", c[4]))]
+        # an id whose last chapter has content is found by that one
+        found = [(0, low(last[5]))] if last and (last[6] or "").strip() else []
+        found += [(1, low(c[5])) for c in full]
+        if request is not None and found:
+            best[request] = min([*found, best.get(request, (9,))])
+    return [(*a, best[a[0]][1][1] if a[0] in best and best[a[0]][1][0] else None) for a in asked]
+
+
 @pytest.mark.parametrize("most,at_once", [(100_000, 1_000_000), (100_000, 50), (12, 70)])
 def test_lookups_agree_with_brute_force_whatever_way_a_book_goes(spark, monkeypatch, most, at_once):
     monkeypatch.setattr(L, "BOOK_ROWS", most)
@@ -44,6 +61,8 @@ def test_lookups_agree_with_brute_force_whatever_way_a_book_goes(spark, monkeypa
     rows = spark.createDataFrame(chapters, f"{KIND}, content string, position long")
     got = L.same_chapter(requests, rows)
     assert sorted(map(repr, map(tuple, got.select(*requests.columns, "matched_index").collect()))) == sorted(map(repr, same(asked, chapters)))
+    found = L.lookup_stored(requests, rows)
+    assert sorted(map(repr, map(tuple, found.drop("stored_id").collect()))) == sorted(map(repr, stored(asked, chapters)))
 
 
 def exchanges(df):
@@ -51,7 +70,7 @@ def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ")
 
 
-@pytest.mark.parametrize("name", ["same_chapter"])
+@pytest.mark.parametrize("name", ["same_chapter", "lookup_stored"])
 def test_requests_and_chapters_are_shuffled_once_by_book(spark, name):
     asked, chapters = tables(spark)
     rows = spark.createDataFrame(chapters, f"{KIND}, content string, position long")
