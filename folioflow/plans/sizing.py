@@ -15,5 +15,6 @@ def estimated_bytes(df: DataFrame) -> int:
 def in_pieces(df: DataFrame, source: DataFrame, piece_bytes: int, *by: str) -> DataFrame:
     """The same rows in a part for about every `piece_bytes` of the files that `source` reads.  For rows that
     become many times larger, or dear to compute: neither a file read whole nor shuffled rows that fit
-    together while they are small then make one task of them."""
-    return df.repartition(max(1, math.ceil(estimated_bytes(source) / piece_bytes)), *by)
+    together while they are small then make one task of them.  Rows of one piece stay as they are."""
+    parts = math.ceil(estimated_bytes(source) / piece_bytes)
+    return df.repartition(parts, *by) if parts > 1 else df
